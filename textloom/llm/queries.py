@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, warc_archive
+from . import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,5 +86,14 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
 FROM h
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_chat_format": op4_chat_format, "op6_mixing": op6_mixing, "op7_warc": op7_warc}
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.score_quality(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash_dedup.simhash_classes(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op9_simhash": op9_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_warc": OP7_SQL}
