@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
+from . import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +38,16 @@ FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id
 """
 
 
+def _bpe_digest(ids, id_text: str, decoded: bytes) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(id_text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encode_digests(docs, ranks, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -95,5 +108,5 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op9_simhash": op9_simhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op9_simhash": op9_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_warc": OP7_SQL}
