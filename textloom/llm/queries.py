@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
+from . import byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -103,10 +103,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.score_quality(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
 
 
+def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     out = simhash_dedup.simhash_classes(_table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op9_simhash": op9_simhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_warc": OP7_SQL}
