@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 SALTS = 16
 
 
@@ -32,9 +34,11 @@ def boilerplate(lines: DataFrame, min_sites: int, band: float) -> DataFrame:
     """(_ld_a, _ld_b, _ld_first) of lines on ``min_sites`` sites or more; _ld_first is the first (id, line) place."""
     key = ["_ld_a", "_ld_b"]
     seen = lines.groupBy(*key).agg(F.hll_sketch_agg("_ld_site", 12).alias("_ld_sketch"), F.min("_ld_place").alias("_ld_first"))
-    seen = seen.withColumn("_ld_sites", F.hll_sketch_estimate("_ld_sketch")).drop("_ld_sketch").where(F.col("_ld_sites") >= min_sites * (1 - band))
+    seen = seen.withColumn("_ld_sites", F.hll_sketch_estimate("_ld_sketch")).drop("_ld_sketch")
+    seen = written(seen.where(F.col("_ld_sites") >= min_sites * (1 - band)), "spread-lines")
     near = F.col("_ld_sites") <= min_sites * (1 + band)
-    exact = lines.join(seen.where(near).select(*key), key, "left_semi").groupBy(*key).agg(F.countDistinct("_ld_site").alias("_ld_sites"))
+    pairs = lines.select(*key, "_ld_site").distinct()
+    exact = pairs.join(seen.where(near).select(*key), key, "left_semi").groupBy(*key).agg(F.count("_ld_site").alias("_ld_sites"))
     exact = exact.where(F.col("_ld_sites") >= min_sites).select(*key).join(seen, key)
     return seen.where(~near).select(*key, "_ld_first").unionByName(exact.select(*key, "_ld_first"))
 
@@ -46,11 +50,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, band: float = 0.25, id_col
     exploded = docs.where(F.col(text_col).isNotNull()).select(
         row_a.alias("_ld_row_a"), row_b.alias("_ld_row_b"), site.alias("_ld_site"), F.col(id_col).alias("_ld_id"), F.posexplode(F.split(text_col, "\n")).alias("_ld_no", "_ld_line")
     )
-    line = F.regexp_replace("_ld_line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    line = F.btrim("_ld_line", F.lit(" \t\n\x0b\x0c\r"))
     a, b = _hashes(F.col("_ld_line"))
     lines = exploded.withColumn("_ld_line", line).where("_ld_line <> ''").select(
         "_ld_row_a", "_ld_row_b", "_ld_site", a.alias("_ld_a"), b.alias("_ld_b"), "_ld_no", F.struct(F.col("_ld_id").alias("i"), F.col("_ld_no").alias("n")).alias("_ld_place")
     )
+    lines = written(lines, "lines")
     found = boilerplate(lines, min_sites, band)
     # A line may be in a third of all rows: its (one) row of the found side is spread over salts.
     found = found.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
