@@ -9,9 +9,10 @@ Blocks: each source is dealt by a seeded hash of the id into shards of about
 is cut into blocks of ``block_words`` words. Seats (blocks to take) go to
 sources by the highest quotients target / (2k - 1), then to a source's shards
 in the same way by their words. A shard with n blocks and q seats takes every
-block q div n times and the first q mod n blocks of a seeded permutation once
-more. What a document gives is the overlap of its words with the taken blocks,
-so nothing but (id, source, size) is shuffled and no block becomes a row.
+block q div n times and, once more, the q mod n blocks that follow a seeded one.
+What a document gives is the overlap of its words with the taken blocks, so
+nothing but (id, source, size) is shuffled and no block becomes a row; as
+blocks follow the hash order, nearly every document is taken whole or not.
 
 Defined results: null and blank texts have size 0 and give 0 words; a null
 source is a source of its own; repeated rows count and are taken one by one;
@@ -74,9 +75,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max
     return by.select("source", "source_size", F.least("_cap", F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 1 << 22, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per row of ``docs``; ``keep`` names columns to carry along."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 1 << 22, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row per row of ``docs``."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = written(sized, "mix-sizes")
     sources = source_targets(sized, weights, share, max_repeat).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     sources = written(sainte_lague(sources, [], ["source"], "target", "_seats").drop("_seats"), "mix-sources")
@@ -93,11 +94,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     blocks = F.ceil(F.col("_words") / block_words).cast("long")
     d = d.withColumn("_n", blocks).withColumn("_q", F.least("quota", max_repeat * F.col("_n")))
     d = d.withColumn("_turns", F.floor(F.col("_q") / F.col("_n"))).withColumn("_extra", F.col("_q") % F.col("_n"))
-    # 1,000,003 is prime and above any shard's block count, hence coprime to it: j -> a j + c is a permutation.
-    shift = F.xxhash64(F.lit(seed + 1), "source", "_shard") % 1_000_003
-    place = lambda j: F.pmod(j * 1_000_003 + shift, F.col("_n"))
-    first, last = F.floor(F.col("_from") / block_words), F.floor((F.col("_from") + F.col("size") - 1) / block_words)
-    overlap = lambda j: F.least(F.col("_from") + F.col("size"), (j + 1) * block_words) - F.greatest(F.col("_from"), j * block_words)
-    more = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda s, j: s + F.when(place(j) < F.col("_extra"), overlap(j)).otherwise(F.lit(0)))
+    # The extra blocks run on from a seeded one, past the end to the start: documents in hash order, nearly all of them whole.
+    first = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "_shard"), F.greatest("_n", F.lit(1)))
+    ends = F.col("_from") + F.col("size")
+    within = lambda a, b: F.greatest(F.least(ends, b * block_words) - F.greatest(F.col("_from"), a * block_words), F.lit(0))
+    more = within(first, first + F.col("_extra")) + within(F.lit(0), first + F.col("_extra") - F.col("_n"))
     taken = F.when(F.col("size") > 0, F.col("size") * F.col("_turns") + more).otherwise(0).cast("long")
-    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with each row repeated as often as the mix takes it, to the nearest whole time; rows of size 0 stay once."""
+    rows = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    # Rows that share an id share their number of times, the largest that one of them has.
+    times = rows.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_n"))
+    out = docs.join(times, docs[id_col].eqNullSafe(F.col("_mix_id"))).where("_mix_n > 0")
+    return out.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), "_mix_n")).alias("_mix_i")).drop("_mix_i")
