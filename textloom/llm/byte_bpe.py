@@ -216,7 +216,7 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
     return {p: flat[a:b] for p, a, b in zip(pieces, [0, *ends], ends, strict=False)}
 
 
-def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
     """``finish(ids, id_text, decoded)`` gives a document's values of ``fields``; ids is an array of uint16, id_text its decimals joined by commas."""
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must be below 2**16")
@@ -316,6 +316,21 @@ def _keys(text: str, splitter: _Splitter) -> list[str]:
     return splitter.chunks(text)
 
 
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, **options) -> DataFrame:
+    """(id, the columns ``rest``, ids, n_tokens): every text's ids as array<int>."""
+    return encode_with(docs, ranks, pattern, lambda ids, _, __: (ids.astype(np.int32), len(ids)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", as_col: str = "bytes") -> DataFrame:
+    """``encoded`` with the bytes of its ids, each id's piece after the other; null ids decode to null."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for b, i in ranks.items():
+        pieces[i] = b
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(b).decode() for b in pieces])), "array<binary>")
+    start = F.lit(b"").cast("binary")
+    return encoded.withColumn(as_col, F.aggregate(ids_col, start, lambda s, i: F.concat(s, F.get(table, i))))
+
+
 class _Encoder:
     def __init__(self, known: dict[bytes, int], frequent: dict[bytes, bytes], splitter: _Splitter) -> None:
         self.known, self.frequent, self.splitter = known, frequent, splitter

@@ -45,7 +45,7 @@ def _bpe_digest(ids, id_text: str, decoded: bytes) -> tuple[int, str, str]:
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode_digests(docs, ranks, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
