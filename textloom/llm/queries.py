@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, quality_rules, simhash_dedup, warc_archive
+from . import byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, pitman_yor, quality_rules, simhash_dedup, warc_archive
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -112,5 +112,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash}
+def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score_texts(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash, "op10_pitman_yor": op10_pitman_yor}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_warc": OP7_SQL}
