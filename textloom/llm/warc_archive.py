@@ -1,7 +1,7 @@
-"""Content-addressed WARC archive, in DataFrame functions only.
+"""Content-addressed WARC archive.
 
-Two tables make an archive: ``payloads`` holds each distinct payload once,
-keyed by its SHA-256, and ``headers`` holds each record's exact header bytes
+Two tables make an archive: ``payloads`` holds each distinct payload once as a
+zstd frame, keyed by the SHA-256 of the payload, and ``headers`` holds each record's exact header bytes
 with that key. Records are rebuilt by a join. Digests are verified: on writing,
 payloads of one key must agree in length and in a second, unlike hash; on
 reading, each stored payload is hashed again. Of the records with equal
@@ -18,23 +18,55 @@ adaptive skew handling may split a payload that a third of all pages share.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+
+import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import new_path, written
 
-#: RFC 4648 base32 alphabet, WARC/1.1 names.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: WARC/1.1 names.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URN = "urn:textloom:page:"
 CRLF = "\r\n"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Five hex digits are twenty bits, hence four letters; SHA-1 has eight such groups."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(F.sha1(payload), i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    letter = lambda v, shift: F.substring(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1))
-    return F.array_join(F.transform(groups, lambda v: F.concat(*[letter(v, s) for s in (15, 10, 5, 0)])), "")
+def _keyed(id_type: str):
+    """(page_id, url, html) to rows with the payload's digests, length, a second hash, and the payload as a zstd frame."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            payloads = [x or b"" for x in batch.column(2).to_pylist()]
+            columns = [
+                pa.array([hashlib.sha256(x).digest() for x in payloads], pa.binary()),
+                pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in payloads], pa.string()),
+                pa.array([len(x) for x in payloads], pa.int64()),
+                pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in payloads], pa.int64()),
+                pa.array(map(pack, payloads), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "key", "sha1", "n", "second", "frame"])
+
+    return run, f"page_id {id_type}, url string, key binary, sha1 string, n long, second long, frame binary"
+
+
+def _unpacked(batches):
+    """(header, key, frame) to (header, payload, record), with the payload verified against its key."""
+    for batch in batches:
+        payloads, records = [], []
+        unpack = zstandard.ZstdDecompressor().decompress
+        for header, key, frame in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            payload = unpack(frame)
+            if hashlib.sha256(payload).digest() != key:
+                raise ValueError("a stored payload does not have its digest")
+            payloads.append(payload)
+            block = b"" if b"\r\nWARC-Type: revisit\r\n" in header else payload
+            records.append(header + block + CRLF.encode() * 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(payloads, pa.binary()), pa.array(records, pa.binary())], names=["header", "payload", "record"])
 
 
 def record_header(page_id: Column, url: Column, revisit: Column, refers_to: Column, digest: Column, length: Column) -> Column:
@@ -58,27 +90,24 @@ def record_header(page_id: Column, url: Column, revisit: Column, refers_to: Colu
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write ``payloads`` and ``headers`` below ``path``."""
-    payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
-    check = F.struct(F.octet_length("payload").alias("n"), F.xxhash64("payload").alias("h"))
-    keys = rows.select("key", "page_id", check.alias("c")).groupBy("key").agg(F.max("page_id").alias("top"), F.min("c").alias("c"), F.max("c").alias("d"))
-    keys = keys.select("key", F.when(F.col("c") == F.col("d"), F.col("top")).otherwise(F.raise_error(F.lit("unlike payloads share a SHA-256 digest"))).alias("top"))
-    told = rows.join(keys, "key").withColumn("first", F.col("page_id").eqNullSafe(F.col("top")))
-    told.where("first").dropDuplicates(["key"]).select("key", "payload").write.parquet(f"{path}/payloads", compression="zstd")
-    revisit = ~F.col("first") & (F.octet_length("payload") >= min_bytes)
-    header = record_header(F.col("page_id"), F.col("url"), revisit, F.col("top"), sha1_base32(F.col("payload")), F.octet_length("payload"))
+    run, fields = _keyed(pages.schema[id_col].dataType.simpleString())
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html")).mapInArrow(run, fields)
+    check = F.struct("n", "second")
+    keys = rows.groupBy("key").agg(F.max("page_id").alias("top"), F.min(check).alias("c"), F.max(check).alias("d"))
+    keys = keys.select("key", F.when(F.col("c") == F.col("d"), F.struct("top")).otherwise(F.raise_error(F.lit("unlike payloads share a SHA-256 digest")).cast(keys.select(F.struct("top")).dtypes[0][1])).alias("t"))
+    keys = written(keys.select("key", "t.top"), "warc-keys")
+    first = F.col("page_id").eqNullSafe(F.col("top"))
+    rows.join(keys, "key").where(first).dropDuplicates(["key"]).select("key", "frame").write.parquet(f"{path}/payloads", compression="none")
+    told = rows.select("key", "page_id", "url", "sha1", "n").join(keys, "key")
+    header = record_header(F.col("page_id"), F.col("url"), ~first & (F.col("n") >= min_bytes), F.col("top"), F.col("sha1"), F.col("n"))
     told.select("key", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers", compression="zstd")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(header, payload, record): the full payload of each record, and its exact bytes."""
-    stored = spark.read.schema("key binary, payload binary").parquet(f"{path}/payloads")
-    good = F.unhex(F.sha2("payload", 256)) == F.col("key")
-    stored = stored.select("key", F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest"))).alias("payload"))
+    stored = spark.read.schema("key binary, frame binary").parquet(f"{path}/payloads")
     headers = spark.read.schema("key binary, header binary").parquet(f"{path}/headers")
-    block = F.when(header_field(F.col("header"), "WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    end = F.lit(CRLF.encode() * 2)
-    return headers.join(stored, "key").select("header", "payload", F.concat("header", block, end).alias("record"))
+    return headers.join(stored, "key").select("header", "key", "frame").mapInArrow(_unpacked, "header binary, payload binary, record binary")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -88,14 +117,14 @@ def header_field(header: Column, name: str) -> Column:
 
 
 def digest_archive(records: DataFrame) -> DataFrame:
-    """One row per record, from what was read back."""
+    """One row per record, from what was read back; the digest is that of the payload read, as the header says it."""
     page = lambda field: F.regexp_extract(header_field(F.col("header"), field), rf"^<{RECORD_URN}(-?\d*)>$", 1)
     kind = header_field(F.col("header"), "WARC-Type")
     number = lambda x: F.when(x != "", x.cast("long"))
     return records.select(
         number(page("WARC-Record-ID")).alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        sha1_base32(F.col("payload")).alias("payload_digest"),
+        F.replace(header_field(F.col("header"), "WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("payload_digest"),
         kind.alias("record_type"),
         F.when(kind == "revisit", number(page("WARC-Refers-To"))).alias("refers_to"),
         F.octet_length("record").cast("long").alias("record_bytes"),
