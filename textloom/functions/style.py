@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank_words, trimmed, words
+from .text import blank_words, bound, trimmed, words
 
 # Forms of "be", hedging words, and punctuation that is counted.
 BE_VERBS = ["is", "are", "was", "were", "be", "been", "being"]
@@ -21,36 +21,42 @@ PUNCTUATION = ".,;:!?\"'()"
 def style_sentences(text: Column) -> Column:
     """Cut after .!? at white space; sentences of over 5 characters, or else the whole text."""
     parts = F.filter(F.split(trimmed(text), r"(?<=[.!?])\s+"), lambda x: F.length(x) > 5)
-    return F.when(F.size(parts) == 0, F.array(text)).otherwise(parts)
+    return bound(parts, lambda p: F.when(F.size(p) == 0, F.array(text)).otherwise(p))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Array of counts, one for each distinct word: the lengths of runs in the sorted words."""
-    ordered = F.array_sort(tokens)
-    ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    return F.transform(ends, lambda e, k: e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1)))
+def n_hapaxes(tokens: Column) -> Column:
+    """How many words occur once: in the sorted words, those unlike both neighbours."""
+    alone = lambda o: F.filter(o, lambda x, i: ((i == 0) | (F.get(o, i - 1) != x)) & ((i + 1 == F.size(o)) | (F.get(o, i + 1) != x)))
+    return bound(F.array_sort(tokens), lambda o: F.size(alone(o)))
 
 
 def style_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the nine features."""
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        grams = F.when(n < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+        share = lambda among: F.size(F.filter(w, lambda x: x.isin(among))) / n
+        types = F.size(F.array_distinct(w))
+        return F.struct(
+            (types / n).alias("vocab_diversity"),
+            (F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)) / n).alias("avg_word_length"),
+            (n_hapaxes(w) / types).alias("rare_word_ratio"),
+            bound(grams, lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.greatest(F.size(g), F.lit(1))).alias("ngram_repetition"),
+            share(BE_VERBS).alias("passive_voice_estimate"),
+            share(HEDGES).alias("hedging_words_ratio"),
+        )
+
+    def of_lengths(lengths: Column) -> Column:
+        return bound(mean(lengths), lambda m: F.struct(m.alias("avg_sentence_length"), F.sqrt(mean(F.transform(lengths, lambda x: (x - m) * (x - m)))).alias("sentence_length_std")))
+
     found = words(F.col(text_col))
-    d = docs.withColumn("_w", F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
-    d = d.withColumn("_len", F.transform(style_sentences(F.col(text_col)), lambda s: F.size(blank_words(s)))).withColumn("avg_sentence_length", mean(F.col("_len")))
-    square = F.transform("_len", lambda x: (x - F.col("avg_sentence_length")) * (x - F.col("avg_sentence_length")))
-    d = d.withColumn("sentence_length_std", F.sqrt(mean(square)))
-    n = F.size("_w")
-    grams = F.when(n < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, 3), " ")))
-    d = d.withColumn("_g", grams).withColumn("_types", F.size(F.array_distinct("_w"))).withColumn("_grams", F.size("_g"))
-    d = d.withColumn("vocab_diversity", F.col("_types") / n).withColumn("avg_word_length", F.aggregate("_w", F.lit(0), lambda s, w: s + F.length(w)) / n)
+    real = bound(found, lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
+    lengths = F.transform(style_sentences(F.col(text_col)), lambda s: F.size(blank_words(s)))
     marks = F.length(text_col) - F.length(F.translate(F.col(text_col), PUNCTUATION, ""))
-    d = d.withColumn("punctuation_density", marks / F.greatest(F.length(text_col), F.lit(1)))
-    once = F.size(F.filter(term_counts(F.col("_w")), lambda c: c == 1))
-    d = d.withColumn("rare_word_ratio", once / F.col("_types"))
-    d = d.withColumn("ngram_repetition", (F.col("_grams") - F.size(F.array_distinct("_g"))) / F.greatest(F.col("_grams"), F.lit(1)))
-    share = lambda among: F.size(F.filter("_w", lambda w: w.isin(among))) / n
-    d = d.withColumn("passive_voice_estimate", share(BE_VERBS)).withColumn("hedging_words_ratio", share(HEDGES))
-    return d.drop("_w", "_len", "_g", "_types", "_grams")
+    d = docs.withColumn("_w", bound(real, of_words)).withColumn("_l", bound(lengths, of_lengths))
+    return d.select("*", "_l.*", "_w.*", (marks / F.greatest(F.length(text_col), F.lit(1))).alias("punctuation_density")).drop("_w", "_l")
 
 
 FEATURES = ["avg_sentence_length", "sentence_length_std", "vocab_diversity", "avg_word_length", "punctuation_density", "rare_word_ratio", "ngram_repetition", "passive_voice_estimate", "hedging_words_ratio"]

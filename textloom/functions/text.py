@@ -41,6 +41,11 @@ bahkan bahwa bahwasanya biar
 """.split()
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named, also in the body's own lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -64,9 +69,8 @@ def blank_words(text: Column) -> Column:
 
 def shingles(tokens: Column, k: int = 3) -> Column:
     """Distinct runs of k words; all words as one run if there are fewer; none if there are none."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+    return bound(tokens, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs(w))))
 
 
 def sentences(text: Column, min_chars: int = 15) -> Column:
@@ -76,9 +80,8 @@ def sentences(text: Column, min_chars: int = 15) -> Column:
 
 
 def looks_indonesian(text: Column) -> Column:
-    tokens = words(text)
-    hits = F.size(F.filter(tokens, lambda w: w.isin(INDONESIAN_FUNCTION_WORDS)))
-    return (F.size(tokens) >= 6) & (hits / F.greatest(F.size(tokens), F.lit(1)) > 0.08)
+    hits = lambda ws: F.size(F.filter(ws, lambda w: w.isin(INDONESIAN_FUNCTION_WORDS)))
+    return bound(words(text), lambda ws: (F.size(ws) >= 6) & (hits(ws) / F.greatest(F.size(ws), F.lit(1)) > 0.08))
 
 
 def roughly_indonesian(text: Column) -> Column:
@@ -143,8 +146,8 @@ def highlighted(text: Column, other: Column, chars: int = 800) -> Column:
     """Words of ``text`` in HTML; those that ``other`` has too (case and end punctuation aside, over two characters) are marked."""
     key = lambda w: F.regexp_replace(F.lower(w), r"""^[.,;:!?"'()\[\]]+|[.,;:!?"'()\[\]]+$""", "")
     keys = F.transform(blank_words(F.substring(other, 1, chars)), key)
-    shown = lambda w: F.when(F.array_contains(keys, key(w)) & (F.length(key(w)) > 2), F.concat(F.lit("<mark>"), escape_html(w), F.lit("</mark>"))).otherwise(escape_html(w))
-    return F.array_join(F.transform(blank_words(F.substring(text, 1, chars)), shown), " ")
+    shown = lambda keys, w: F.when(F.array_contains(keys, key(w)) & (F.length(key(w)) > 2), F.concat(F.lit("<mark>"), escape_html(w), F.lit("</mark>"))).otherwise(escape_html(w))
+    return bound(keys, lambda ks: F.array_join(F.transform(blank_words(F.substring(text, 1, chars)), lambda w: shown(ks, w)), " "))
 
 
 def safe_title(title: Column, chars: int = 60) -> Column:
@@ -200,10 +203,10 @@ SYNONYMS = {
 def paraphrased(text: Column, seed: int = 42) -> Column:
     """Some neighbouring sentences swapped and some words replaced, each with probability 0.3 by a hash of its place and text."""
     chance = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(10)) < 3
-    parts = F.filter(F.transform(F.split(text, r"[.;] "), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split(text, r"[.;] "), lambda x: F.trim(x)), lambda x: x != "")
     partner = lambda i: F.when(i % 2 == 0, i + 1).otherwise(i - 1)
-    swapped = lambda i: (F.size(parts) > 2) & F.get(parts, partner(i)).isNotNull() & chance(F.floor(i / 2), text)
-    parts = F.transform(parts, lambda x, i: F.when(swapped(i), F.get(parts, partner(i))).otherwise(x))
+    swapped = lambda ps, i: (F.size(ps) > 2) & F.get(ps, partner(i)).isNotNull() & chance(F.floor(i / 2), F.length(text))
+    parts = bound(cut, lambda ps: F.transform(ps, lambda x, i: F.when(swapped(ps, i), F.get(ps, partner(i))).otherwise(x)))
     table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     key = lambda w: F.btrim(F.lower(w), F.lit(".,;:"))
     out = F.transform(blank_words(F.array_join(parts, ". ")), lambda w, i: F.when(chance(i, w), F.coalesce(F.try_element_at(table, key(w)), w)).otherwise(w))

@@ -143,7 +143,8 @@ def indonesian_time(ts: Column) -> Column:
 
 
 def time_ago(ts: Column, now: Column) -> Column:
-    s = F.floor(F.unix_micros(now) / 1e6 - F.unix_micros(ts) / 1e6)
+    micros = lambda x: F.unix_micros(x.cast("timestamp"))
+    s = F.floor((micros(now) - micros(ts)) / 1e6)
     part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f" {unit} lalu"))
     return F.when(s < 60, part(1, "detik")).when(s < 3600, part(60, "menit")).when(s < 86400, part(3600, "jam")).otherwise(part(86400, "hari"))
 

@@ -74,7 +74,7 @@ def windows(source: str) -> str:
   SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM w
 ), nx AS (
   SELECT a.chunk_id, a.i, a.n, a.i + count(*) FILTER (b.c < a.c + 400) AS j, a.i + count(*) FILTER (b.c < a.c + 100) AS k, bool_or(regexp_matches(b.w, '[\\p{{L}}\\p{{N}}_]')) AS ok
-  FROM cu a JOIN cu b ON a.chunk_id = b.chunk_id AND b.i >= a.i AND b.c < a.c + 400 GROUP BY ALL
+  FROM cu a JOIN cu b ON a.chunk_id = b.chunk_id AND b.i >= a.i AND b.c < a.c + 400 GROUP BY a.chunk_id, a.i, a.n
 ), st AS (
   SELECT *, j - i >= 3 AND ok AS scored, CASE WHEN NOT (j - i >= 3 AND ok) THEN i + 1 WHEN j >= n THEN NULL ELSE greatest(i + 1, k) END AS go FROM nx
 ), r AS (
@@ -143,7 +143,7 @@ def display(x: str) -> str:
 
 def strip(before: str, now: str, pattern: str, flags: str, count: str, condition: str = "") -> str:
     """A step of a chain of subqueries that counts and removes a pattern."""
-    p = lit(f"({flags})" * bool(flags) + pattern)
+    p = lit(f"(?{flags})" * bool(flags) + pattern)
     new = f"regexp_replace(t, {p}, '', 'g')"
     new = f"CASE WHEN len(regexp_extract_all(t, {p})) > 2 THEN {new} ELSE t END" if condition else new
     return f"{now} AS (SELECT * REPLACE ({new} AS t){', len(regexp_extract_all(t, ' + p + ')) AS ' + count if count else ''} FROM {before})"
@@ -201,7 +201,7 @@ TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0
 FILE_SOURCE = """CASE WHEN starts_with(name, 'news_') THEN 'news.' || coalesce(string_split(name, '_')[2], '') WHEN starts_with(name, 'arxiv__') THEN 'arxiv' WHEN starts_with(name, 'openalex_') THEN 'openalex'
   WHEN starts_with(name, 'crossref') THEN 'crossref' WHEN starts_with(name, 'local__') THEN 'local' WHEN starts_with(name, 'cc_') OR contains(name, 'commoncrawl') THEN 'commoncrawl' ELSE 'other' END"""
 REPORTS = """reports AS (
-  SELECT event_id AS report_id, user_id::VARCHAR AS session, CASE WHEN event_id % 17 = 0 THEN '?' ELSE epoch_ms(ts)::VARCHAR || '_abcd1234_' || event_type || ' ' || event_id::VARCHAR || '.docx' END AS document_name,
+  SELECT event_id AS report_id, user_id::VARCHAR AS session, CASE WHEN event_id % 17 = 0 THEN '?' ELSE (epoch_us(ts) // 1000)::VARCHAR || '_abcd1234_' || event_type || ' ' || event_id::VARCHAR || '.docx' END AS document_name,
     event_id % 5 AS total_paragraphs, (event_id % 101) / 100::DOUBLE AS overall_score, (event_id % 97)::DOUBLE AS ai_percent, ts AS finished_at FROM events
 )"""
 

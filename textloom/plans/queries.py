@@ -357,7 +357,7 @@ def cache_keys(spark, folder):
 def _reports(spark, folder):
     """Events as reports: the user is the session, the value makes the score."""
     e = read(spark, folder, "events")
-    name = F.when(F.col("event_id") % 17 == 0, "?").otherwise(F.concat(F.unix_millis("ts").cast("string"), F.lit("_abcd1234_"), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(".docx")))
+    name = F.when(F.col("event_id") % 17 == 0, "?").otherwise(F.concat(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").cast("string"), F.lit("_abcd1234_"), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(".docx")))
     return e.select(
         F.col("event_id").alias("report_id"), F.col("user_id").cast("string").alias("session"), name.alias("document_name"), (F.col("event_id") % 5).alias("total_paragraphs"),
         ((F.col("event_id") % 101) / 100).alias("overall_score"), (F.col("event_id") % 97).cast("double").alias("ai_percent"), F.col("ts").alias("finished_at"),

@@ -107,7 +107,7 @@ def article_metadata(html: Column) -> Column:
     """Struct of what a journal article's page tells."""
     text = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(html, f"(?s){p}", 1), r"<[^>]+>", ""), r"\s+", " "))
     first = lambda p: F.trim(F.coalesce(F.get(F.regexp_extract_all(html, F.lit(f"(?s){p}"), 1), 0), F.lit("")))
-    every = lambda p: F.transform(F.regexp_extract_all(html, F.lit(p), 1), F.trim)
+    every = lambda p: F.transform(F.regexp_extract_all(html, F.lit(p), 1), lambda x: F.trim(x))
     title = text(r"<xmp>([^<]+)</xmp>\s*</h3>")
     authors = every(r'<a href="/author/view/\d+"><xmp>([^<]+)</xmp>')
     others = every(r'<xmp>([A-Z][^<]{2,40})</xmp>\s*</a>\s*<span class="author-article-afil"')
@@ -129,7 +129,7 @@ def linked_ids(html: Column, path: str) -> Column:
 
 def issue_links(html: Column) -> Column:
     """Issues named in links, decoded, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r'href="[^"]*issue=([^"&]+)'), 1), F.url_decode))
+    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r'href="[^"]*issue=([^"&]+)'), 1), lambda x: F.url_decode(x)))
 
 
 def linked_text(html: Column) -> Column:
@@ -139,5 +139,5 @@ def linked_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|h[1-6]|li|tr|section|article)\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
     out = F.replace(F.replace(F.replace(out, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    lines = F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
