@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, pitman_yor, quality_rules, simhash_dedup, warc_archive
+from . import byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, pitman_yor, quality_rules, simhash_dedup, suffix_dedup, warc_archive
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, _bpe_digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.dedup_runs(_table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -116,5 +121,5 @@ def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.score_texts(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash, "op10_pitman_yor": op10_pitman_yor}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash, "op10_pitman_yor": op10_pitman_yor}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_warc": OP7_SQL}
