@@ -91,11 +91,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     shards = sainte_lague(shards, ["source"], ["source", "_shard"], "_words", "_seats")
     shards = shards.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "quota")
     d = d.drop("quota").join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h"))).drop("_s", "_h")
-    blocks = F.ceil(F.col("_words") / block_words).cast("long")
+    blocks = F.greatest(F.ceil(F.col("_words") / block_words).cast("long"), F.lit(1))
     d = d.withColumn("_n", blocks).withColumn("_q", F.least("quota", max_repeat * F.col("_n")))
     d = d.withColumn("_turns", F.floor(F.col("_q") / F.col("_n"))).withColumn("_extra", F.col("_q") % F.col("_n"))
     # The extra blocks run on from a seeded one, past the end to the start: documents in hash order, nearly all of them whole.
-    first = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "_shard"), F.greatest("_n", F.lit(1)))
+    first = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "_shard"), F.col("_n"))
     ends = F.col("_from") + F.col("size")
     within = lambda a, b: F.greatest(F.least(ends, b * block_words) - F.greatest(F.col("_from"), a * block_words), F.lit(0))
     more = within(first, first + F.col("_extra")) + within(F.lit(0), first + F.col("_extra") - F.col("_n"))
