@@ -1,14 +1,15 @@
 """Byte-level BPE: ranked merges folded over byte arrays of distinct words by Spark higher-order functions.
 
-First the pieces (matches of the pattern) of all documents are counted and the
-``max_frequent`` most frequent ones folded and broadcast; that bound holds at any
-size, and results do not depend on it. Then a partition's documents are read
-twice on their way through one stage, without a shuffle: a first pass finds the
-other distinct pieces that the partition has not met before and sends each as an
-array of byte ids, ahead of the documents that need it; Spark folds the merges
-over each array; a last pass puts the documents' ids together from the pieces'
-ids, and decodes them by concatenating each id's bytes. Both passes forget
-pieces at the same marker rows, so memory is bounded whatever a partition holds.
+First the words of all documents are counted, and the pieces (matches of the
+pattern) of the most frequent ones, ``max_frequent`` at most, are folded and
+broadcast; that bound holds at any size, and results do not depend on it. Then a
+partition's documents pass through one stage, without a shuffle: a first pass
+numbers the pieces as it meets them and sends each document as piece numbers;
+ahead of it go the pieces that are new to the partition, those that are neither
+tokens nor frequent as arrays of byte ids. Spark folds the merges over each such
+array; a last pass puts the documents' ids together from the pieces' ids, and
+decodes them by concatenating each id's bytes. Both passes forget pieces at the
+same marker rows, so memory is bounded whatever a partition holds.
 
 The rank map is a literal: Spark finds a key of a map value by a linear scan, so
 the map from a pair of ids to the rank of their merge is laid out as two arrays
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NO_RANK = 1 << 30
+NO_RANK = 1 << 16
 #: White space as in the Unicode property; Python's own \s has four control characters more.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -85,16 +86,18 @@ class PairTable:
     def slot(self, key: int, side: int) -> int:
         return (key * self.factors[side] >> 26) & ((1 << self.bits) - 1)
 
-    def ranks(self, keys: Column) -> Column:
-        """Ranks of an array of keys; NO_RANK where two ids make no token."""
+    def ranked(self, elements: Column) -> Column:
+        """Elements key * 2**28 + rest become rank * 2**28 + rest; the rank is NO_RANK where a key has none."""
         tables = [F.from_json(F.lit(json.dumps(row, separators=(",", ":"))), "array<bigint>") for row in self.rows]
 
-        def rank(key: Column) -> Column:
+        def one(x: Column) -> Column:
+            key = F.shiftright(x, 28)
             found = [F.get(t, F.shiftright(key * f, 26).bitwiseAND((1 << self.bits) - 1).cast("int")) for t, f in zip(tables, self.factors, strict=True)]
-            hit = [(F.shiftright(v, 16) == key, v.bitwiseAND(65535).cast("int")) for v in found]
-            return F.when(*hit[0]).when(*hit[1]).otherwise(NO_RANK)
+            rest = x.bitwiseAND((1 << 28) - 1)
+            hit = [(F.shiftright(v, 16) == key, F.shiftleft(v.bitwiseAND(65535), 28) + rest) for v in found]
+            return F.when(*hit[0]).when(*hit[1]).otherwise(rest + (NO_RANK << 28))
 
-        return F.transform(keys, rank)
+        return F.transform(elements, one)
 
 
 def _let(value: Column, body) -> Column:
@@ -104,27 +107,34 @@ def _let(value: Column, body) -> Column:
 def fold_merges(word: Column, table: PairTable) -> Column:
     """Ids of a word, given as an array of its bytes' ids (int): while two neighbours have a rank, the leftmost of lowest rank merges.
 
-    State: the ids, and the ranks of all neighbours. Step 0 only looks these up;
-    a merge looks up those beside the merged id.
+    A token is rank * 2**28 + start * 2**16 + id: the rank of its merge with the
+    next one (NO_RANK if none), the byte it starts at, and its id. The least
+    element is thus the merge to make, and its rank is the id that it makes.
+    A merge writes the merged token and looks up two ranks, its own and that of
+    the token before.
     """
-    no_keys, n = F.array().cast("array<bigint>"), F.size(word)
-    key = lambda a, b: a.cast("bigint") * 65536 + b
-
-    def merge(s: Column, p: Column, low: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-        before = F.when(p > 1, F.array(key(F.get(ids, p - 2), low))).otherwise(no_keys)
-        after = F.when(p < F.size(ranks), F.array(key(low, F.get(ids, p + 1)))).otherwise(no_keys)
-        merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, n))
-        fresh = F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), table.ranks(F.concat(before, after)), F.slice(ranks, p + 2, n))
-        return F.struct(merged.alias("ids"), fresh.alias("ranks"))
+    n = F.size(word)
+    ident = lambda x: x.bitwiseAND(65535)
+    stem = lambda x: x.bitwiseAND((1 << 28) - 1)
+    keyed = lambda x, left, right: F.shiftleft(left * 65536 + right, 28) + x
+    last = lambda x: x + (((1 << 32) - 1) << 28)  # noqa: E731  a key that no pair has
+
+    def merge(s: Column, least: Column, p: Column) -> Column:
+        made = F.shiftright(least, 28)
+        start = stem(least) - ident(least) + made
+        new = F.when(p + 1 < F.size(s), keyed(start, made, ident(F.get(s, p + 1)))).otherwise(last(start))
+        before = F.get(s, p - 2)
+        near = F.when(p > 1, F.array(keyed(stem(before), ident(before), made), new)).otherwise(F.array(new))
+        return F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), table.ranked(near), F.slice(s, p + 2, n))
 
     def step(s: Column, _: Column) -> Column:
-        low = F.array_min(s["ranks"])
-        return F.when(low < NO_RANK, _let(low, lambda m: _let(F.array_position(s["ranks"], m).cast("int"), lambda p: merge(s, p, m)))).otherwise(s)
+        return _let(F.array_min(s), lambda m: F.when(m < NO_RANK << 28, _let(F.array_position(s, m).cast("int"), lambda p: merge(s, m, p))).otherwise(s))
 
-    neighbours = F.transform(F.sequence(F.lit(0), n - 2), lambda k: key(F.get(word, k), F.get(word, k + 1)))
-    start = F.struct(word.alias("ids"), table.ranks(neighbours).alias("ranks"))
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["ids"]))
+    token = lambda k: F.shiftleft(k.cast("bigint"), 16) + F.get(word, k)
+    first = F.transform(F.sequence(F.lit(0), n - 2), lambda k: keyed(token(k), F.get(word, k).cast("bigint"), F.get(word, k + 1)))
+    start = F.concat(table.ranked(first), F.array(token(n - 1) + (NO_RANK << 28)))
+    ids = lambda s: F.transform(s, lambda x: ident(x).cast("int"))
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, ids))
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,17 +159,15 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Splitter:
-    """Cuts texts into chunks that the pattern matches independently: no match crosses from other text into white space."""
-
-    def __init__(self, pattern: str) -> None:
-        own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-        self.pieces = regex.compile(own).findall
-        self.chunks = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+def _finder(pattern: str):
+    own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+    return regex.compile(own).findall
 
 
-#: What a partition's passes remember is forgotten after so many distinct chunks.
-FORGET = 1 << 19
+#: What a partition's passes remember is forgotten after so many distinct pieces.
+FORGET = 1 << 18
+#: Documents that a pass handles at a time, so that few texts are in memory twice.
+SLICE = 256
 #: Frequent pieces have no more bytes than this.
 FREQUENT_BYTES = 64
 
@@ -170,31 +178,33 @@ def _byte_ids(pieces: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(single[np.frombuffer(b"".join(pieces), np.uint8)]))
 
 
-def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max_frequent: int) -> dict[bytes, bytes]:
-    """The ids (as bytes of uint16) of the most frequent pieces in ``_text`` that are no tokens themselves.
+def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max_frequent: int) -> bytes:
+    """An Arrow stream of (piece, ids): the most frequent pieces in ``_text`` that are no tokens themselves.
 
-    A partition leaves out what it has met once only; that saves rows and, as
-    the result only spares later folds, changes nothing else.
+    Words between blanks are counted, and those that a partition has met once only
+    are left out. That saves work and, as the result only spares later folds,
+    changes nothing else.
     """
 
     def count(batches):
-        known, splitter = shared.value, _Splitter(pattern)
+        known, find = shared.value, _finder(pattern)
 
         def counted(chunks):
             found = Counter()
             for chunk, n in chunks.items():
-                for piece in splitter.pieces(chunk):
-                    found[piece] += n
-            words = [(b, n) for x, n in found.items() if n > 1 and len(b := x.encode()) <= FREQUENT_BYTES and b not in known]
+                if n > 1:
+                    for piece in find(f" {chunk}"):
+                        found[piece] += n
+            words = [(b, n) for x, n in found.items() if len(b := x.encode()) <= FREQUENT_BYTES and b not in known]
             for at in range(0, len(words), 1 << 14):
                 part = words[at : at + (1 << 14)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["piece", "n"])
 
         chunks: Counter = Counter()
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
-                chunks.update(_keys(text, splitter))
-            if len(chunks) > FORGET:
+                chunks.update(text.split(" "))
+            if len(chunks) > 2 * FORGET:
                 yield from counted(chunks)
                 chunks.clear()
         yield from counted(chunks)
@@ -208,12 +218,84 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
     top = top.orderBy(F.desc("n"), "piece").limit(max_frequent).select("piece")
     top = top.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(as_ids, "piece binary, word array<int>")
     folded = top.select("piece", fold_merges(F.col("word"), table).alias("ids")).toArrow().combine_chunks()
-    pieces, ids = folded["piece"].to_pylist(), folded["ids"].combine_chunks() if folded.num_rows else None
-    if ids is None:
-        return {}
-    flat, ends = ids.flatten().to_numpy().astype(np.uint16), (2 * np.cumsum(ids.value_lengths().to_numpy())).tolist()
-    flat = flat.tobytes()
-    return {p: flat[a:b] for p, a, b in zip(pieces, [0, *ends], ends, strict=False)}
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, folded.schema) as stream:
+        stream.write_table(folded)
+    return out.getvalue().to_pybytes()
+
+
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _frequent(table: bytes) -> pa.Table:
+    return pa.ipc.open_stream(table).read_all().combine_chunks()
+
+
+class _Frequent:
+    """Frequent pieces in arrays: found by hash, then compared."""
+
+    def __init__(self, table: bytes) -> None:
+        frequent = _frequent(table)
+        n = frequent.num_rows
+        pieces = frequent["piece"].chunk(0) if n else pa.array([], pa.binary())
+        ids = frequent["ids"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
+        self.pieces = pieces
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer()) for x in pieces), np.uint64, n)
+        self.order = np.argsort(self.hashes)
+        self.hashes = self.hashes[self.order]
+        self.ids, self.ends = ids.flatten().to_numpy().astype("<u2"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece may be; -1 where it is not."""
+        if not pieces or not len(self.hashes):
+            return np.full(len(pieces), -1)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.order[at], -1)
+
+    def found(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids, as bytes, of those that are here."""
+        at = self.places(pieces).tolist()
+        return {p: self.ids[self.ends[k] : self.ends[k + 1]].tobytes() for p, k in zip(pieces, at, strict=True) if k >= 0 and self.pieces[k].as_py() == p}
+
+
+class _Numbers(dict):
+    """Piece to its number, in the order of first sight; ``new`` lists what was not seen before."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Pool:
+    """Ids of numbered pieces, and of documents given as numbers."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, "<u2"), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if not len(numbers):
+            return
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), "<u2")])
+        if (top := int(numbers.max()) + 1) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), top), np.int64)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        shift = self.start[numbers] - (np.cumsum(size) - size)
+        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
 def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
@@ -221,6 +303,10 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must be below 2**16")
     sc = docs.sparkSession.sparkContext
+    # The driver keeps the text of each plan, and that of this one would hold the rank map several times over.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
+    # Each task has two Python workers, and whole batches of texts stand in both and in Spark.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 11)
     shared, table = sc.broadcast(ranks), PairTable(pair_ranks(ranks))
     keep = [id_col, *rest]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
@@ -228,94 +314,87 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(text_col, F.lit("")).alias("_text"))
 
     frequent = sc.broadcast(frequent_pieces(rows, shared, pattern, table, max_frequent))
-    # A piece that is told to be frequent by chance of its hash is merged by heap in the last pass.
-    hashes = sc.broadcast(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, frequent.value), np.uint64, len(frequent.value))))
+
+    k = len(keep)
+    sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]
 
     def ask(batches):
-        known, splitter, often = shared.value, _Splitter(pattern), hashes.value
-        chunks: set[str] = set()
-        seen: set[str] = set()
-        for batch in batches:
-            types = batch.schema.types
-            if len(chunks) > FORGET:
-                chunks.clear()
-                seen.clear()
-                yield _rows([None] * len(keep), types, forget=True)
-            words = []
-            for text in batch.column(len(keep)).to_pylist():
-                new = set(_keys(text, splitter))
-                new -= chunks
-                chunks |= new
-                for chunk in new:
-                    for piece in splitter.pieces(chunk):
-                        if piece not in seen:
-                            seen.add(piece)
-                            b = piece.encode()
-                            if b not in known and len(b) <= max_fold:
-                                words.append(b)
-            if words and len(often):
-                h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                words = [words[i] for i in np.flatnonzero(often[at] != h).tolist()]
+        known, find, often, numbers = shared.value, _finder(pattern), _Frequent(frequent.value), _Numbers()
+
+        def row(types, n, numbers_=None, number=None, word=None, given=None, forget=False, kept=None):
+            blank = lambda x, t: pa.nulls(n, t) if x is None else x
+            kept = kept or [pa.nulls(n, t) for t in types]
+            return pa.RecordBatch.from_arrays([*kept, blank(numbers_, pa.binary()), blank(number, pa.int32()), blank(word, pa.list_(pa.int32())), blank(given, pa.binary()), pa.array([forget] * n)], names=sent_names)
+
+        for batch in _slices(batches):
+            types = batch.schema.types[:k]
+            if len(numbers) > FORGET:
+                numbers = _Numbers()
+                yield row(types, 1, forget=True)
+            first = len(numbers)
+            found = [find(t) for t in batch.column(k).to_pylist()]
+            coded = [np.fromiter(map(numbers.__getitem__, f), np.int32, len(f)).tobytes() for f in found]
+            new = [x.encode() for x in numbers.new]
+            numbers.new.clear()
+            many = often.found([b for b in new if b not in known])
+            given, sizes, ids, words = [], [], [], []
+            for n, b in enumerate(new, first):
+                if (one := known.get(b)) is not None:
+                    x = one.to_bytes(2, "little")
+                elif (x := many.get(b)) is None:
+                    if len(b) <= max_fold:
+                        words.append((n, b))
+                        continue
+                    x = np.array(merge_by_heap(b, known), "<u2").tobytes()
+                given.append(n)
+                sizes.append(len(x) // 2)
+                ids.append(x)
+            if given:
+                yield row(types, 1, given=pa.array([np.array([len(given), *given, *sizes], np.int32).tobytes() + b"".join(ids)], pa.binary()))
             for at in range(0, len(words), 1 << 14):
-                yield _words(_byte_ids(words[at : at + (1 << 14)], known), types, len(keep))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], batch.columns[-1], pa.nulls(n, pa.list_(pa.int32())), pa.array([False] * n)], names=[*[f"_k{i}" for i in range(len(keep))], "_text", "_word", "_forget"])
-
-    def _rows(values, types, forget):
-        return pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in types], pa.nulls(1, pa.list_(pa.int32())), pa.array([forget])], names=[*[f"_k{i}" for i in range(len(values))], "_text", "_word", "_forget"])
-
-    def _words(words, types, k):
-        n = len(words)
-        return pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in types], words, pa.array([False] * n)], names=[*[f"_k{i}" for i in range(k)], "_text", "_word", "_forget"])
+                part = words[at : at + (1 << 14)]
+                yield row(types, len(part), number=pa.array([n for n, _ in part], pa.int32()), word=_byte_ids([b for _, b in part], known))
+            yield row(types, batch.num_rows, numbers_=pa.array(coded, pa.binary()), kept=batch.columns[:k])
 
     def answer(batches):
-        known, splitter = shared.value, _Splitter(pattern)
-        single = np.array([known[bytes([b])] for b in range(256)], np.int32)
-        of_byte = np.zeros(max(known.values()) + 1, np.uint8)
-        of_byte[single] = np.arange(256)
-        pieces = {i: b for b, i in known.items()}
-        encoder = _Encoder(known, frequent.value, splitter)
-        k = len(keep)
+        known, pool = shared.value, _Pool()
+        pieces: list[bytes] = [b""] * (max(known.values()) + 1)
+        for b, i in known.items():
+            pieces[i] = b
+        decimals = [str(i) for i in range(len(pieces))]
         for batch in batches:
-            words, texts = batch.column(k + 1), batch.column(k)
-            asked = words.is_valid().to_numpy(zero_copy_only=False)
-            if asked.any():
-                w, f = words.filter(pa.array(asked)), batch.column(k + 3).filter(pa.array(asked))
-                wo, wv = w.offsets.to_numpy(), of_byte[w.values.to_numpy()].tobytes()
-                fo, fv = 2 * f.offsets.to_numpy(), f.values.to_numpy().astype("<u2").tobytes()
-                for a, b, c, d in zip(wo.tolist(), wo[1:].tolist(), fo.tolist(), fo[1:].tolist(), strict=False):
-                    encoder.folded[wv[a:b]] = fv[c:d]
-            if batch.column(k + 2).to_numpy(zero_copy_only=False).any():
-                encoder.forget()
-            some = texts.is_valid()
-            out = []
-            for text in texts.filter(some).to_pylist():
-                ids, id_text = encoder.encode(text)
-                out.append(finish(ids, id_text, b"".join(map(pieces.__getitem__, ids.tolist()))))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-            schema = [pa.array(c) if len(c) else None for c in columns]
+            docs_, number, given, forget, folded = (batch.column(k + i) for i in (0, 1, 3, 4, 5))
+            at, out = 0, []
+            # Rows of one kind stand together; a run of them is handled at a time.
+            kind = np.select([forget.to_numpy(zero_copy_only=False), given.is_valid().to_numpy(zero_copy_only=False), number.is_valid().to_numpy(zero_copy_only=False)], [3, 2, 1], 0)
+            edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+            for at, to in zip(edges, edges[1:], strict=False):
+                if at == to:
+                    continue
+                if kind[at] == 3:
+                    pool = _Pool()
+                elif kind[at] == 2:
+                    for data in given.slice(at, to - at).to_pylist():
+                        n = int(np.frombuffer(data, np.int32, 1)[0])
+                        head = np.frombuffer(data, np.int32, 2 * n, 4)
+                        pool.add(head[:n], head[n:].astype(np.int64), np.frombuffer(data, "<u2", -1, 4 + 8 * n))
+                elif kind[at] == 1:
+                    lists = folded.slice(at, to - at)
+                    pool.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
+                else:
+                    for data in docs_.slice(at, to - at).to_pylist():
+                        ids = pool.ids(np.frombuffer(data, np.int32))
+                        listed = ids.tolist()
+                        out.append(finish(ids, ",".join(map(decimals.__getitem__, listed)), b"".join(map(pieces.__getitem__, listed))))
             if out:
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(some) for i in range(k)], *schema], names=[*keep, *names])
+                some = pa.array(kind == 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(some) for i in range(k)), *(pa.array(c) for c in zip(*out, strict=True))], names=[*keep, *names])
 
-    asked = rows.mapInArrow(ask, f"{keep_ddl}, _text string, _word array<int>, _forget boolean")
+    asked = rows.mapInArrow(ask, ", ".join([*([keep_ddl] if keep else []), "_numbers binary, _number int, _word array<int>, _given binary, _forget boolean"]))
     folded = asked.withColumn("_ids", F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), table)))
     return folded.mapInArrow(answer, ", ".join([*[f"`{c}` {t}" for c, t in zip(keep, kinds, strict=True)], fields]))
 
 
-def _keys(text: str, splitter: _Splitter) -> list[str]:
-    """Chunks of a text. The fast way holds where every word between single blanks starts and ends with other than white space."""
-    words = text.split(" ")
-    if len(words) > 1 and "" not in words and not text[:1].isspace() and not text[-1:].isspace():
-        chunks = [words[0], *[f" {w}" for w in words[1:]]]
-        for w in words:
-            if w[0].isspace() or w[-1].isspace():
-                break
-        else:
-            return chunks
-    return splitter.chunks(text)
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, **options) -> DataFrame:
     """(id, the columns ``rest``, ids, n_tokens): every text's ids as array<int>."""
     return encode_with(docs, ranks, pattern, lambda ids, _, __: (ids.astype(np.int32), len(ids)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
@@ -329,30 +408,3 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", as
     table = F.from_json(F.lit(json.dumps([base64.b64encode(b).decode() for b in pieces])), "array<binary>")
     start = F.lit(b"").cast("binary")
     return encoded.withColumn(as_col, F.aggregate(ids_col, start, lambda s, i: F.concat(s, F.get(table, i))))
-
-
-class _Encoder:
-    def __init__(self, known: dict[bytes, int], frequent: dict[bytes, bytes], splitter: _Splitter) -> None:
-        self.known, self.frequent, self.splitter = known, frequent, splitter
-        self.forget()
-
-    def forget(self) -> None:
-        self.folded: dict[bytes, bytes] = {}
-        self.chunk_ids: dict[str, tuple[bytes, str]] = {}
-
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        keys, found = _keys(text, self.splitter), self.chunk_ids
-        for chunk in keys:
-            if chunk not in found:
-                ids = b""
-                for piece in self.splitter.pieces(chunk):
-                    b = piece.encode()
-                    if (one := self.known.get(b)) is not None:
-                        ids += one.to_bytes(2, "little")
-                    elif (many := self.folded.get(b) or self.frequent.get(b)) is not None:
-                        ids += many
-                    else:
-                        ids += np.array(merge_by_heap(b, self.known), "<u2").tobytes()
-                found[chunk] = ids, ",".join(map(str, np.frombuffer(ids, "<u2").tolist()))
-        parts = [found[c] for c in keys]
-        return np.frombuffer(b"".join([p[0] for p in parts]), "<u2"), ",".join([p[1] for p in parts])
