@@ -327,21 +327,17 @@ def test_pitman_yor_base(odd_docs, no_docs):
 
 
 def test_pitman_yor_sums_to_one(spark):
-    """After one context, the probabilities of all known words and of an unknown one."""
-    train = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c a b b", "c"] * 9) if zlib.crc32(str(i).encode()) % 7 != 2]
-    words, asked = ["a", "b", "c", "zzz"], [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
-    texts = [*(f"a {w}" for w in words), "a"]
+    """All words end alike, so they are one context: with e = p(end | word), sums over texts of one and two words tell e twice."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = ["alphaxyz", "bravoxyz", "deltaxyz", "unknownxyz"]
+    train = [(i, " ".join(words[(i * k + k * k) % 3] for k in range(i % 6))) for i in range(300) if not held(i)]
+    texts = ["", *words, *(f"{words[0]} {w}" for w in words)]
+    asked = [i for i in range(1000, 1400) if held(i)][: len(texts)]
     docs = spark.createDataFrame([*train, *zip(asked, texts, strict=True)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in pitman_yor.score_texts(docs).collect()}
-    # p(a w end) = p(a) p(w | a) p(end | w); with p(a) and p(end | w) from other texts only their product is known, so sum p(w | a) through texts that share them.
-    start = spark.createDataFrame([*train, *zip(asked, [*words, ""], strict=True)], "doc_id long, text string")
-    alone = {r.doc_id: r.score for r in pitman_yor.score_texts(start).collect()}
-    begin_end = alone[asked[4]]
-    p_first = {}
-    # p(w end) = p(w | begin) p(end | w) and p(a w end) = p(a | begin) p(w | a) p(end | w): ratios give p(a | begin) p(w | a) / p(w | begin).
-    for w, i in zip(words, asked, strict=False):
-        p_first[w] = 10 ** (got[i] - alone[i])
-    assert begin_end < 0 and all(0 < x < 20 for x in p_first.values())
+    score = {r.doc_id: r.score for r in pitman_yor.score_texts(docs).collect()}
+    p = {t: 10 ** score[i] for i, t in zip(asked, texts, strict=True)}
+    end = 1 - sum(p[f"{words[0]} {w}"] for w in words) / p[words[0]]
+    assert 0 < end < 1 and abs(sum(p[w] for w in words) - end * (1 - p[""])) < 1e-9
 
 
 def test_pitman_yor_beats_base_on_held_out(spark):
