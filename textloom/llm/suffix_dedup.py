@@ -56,6 +56,28 @@ def _open(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def _pack64(x: np.ndarray) -> bytes:
+    """uint64 in as few bytes each as the greatest needs; the first byte says how many."""
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << (8 * k))
+    return bytes([size]) + zstandard.compress(x.astype(f"<u{size}").tobytes(), 1)
+
+
+def _open64(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.uint64)
+
+
+def _packed_triple(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The same order in as few keys as symbols of ``bits`` bits allow, the first key first."""
+    n = np.uint64(bits)
+    if 3 * bits <= 64:
+        return [(a << n | b) << n | c]
+    return [a << n | b, c] if 2 * bits <= 64 else [a, b, c]
+
+
+def _packed_pair(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [a << np.uint64(bits) | b] if 2 * bits <= 64 else [a, b]
+
+
 def run_hashes(text: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of every run of ``length`` bytes, by doubling."""
 
@@ -206,7 +228,7 @@ class _Sorter:
         def some(batches):
             for batch in batches:
                 for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    s = _open(data, "<u8")
+                    s = _open64(data)
                     at = np.random.default_rng(block).integers(0, len(s), max(1, -(-wanted // n_blocks)))
                     a, b, _ = triple(s, at)
                     yield pa.RecordBatch.from_arrays([pa.array(key(a, b, bits) >> np.uint64(1), pa.int64())], names=["key"])
@@ -230,15 +252,15 @@ class _Sorter:
                     order = np.argsort(part, kind="stable")
                     parts, first = np.unique(part[order], return_index=True)
                     cut = np.split(order, first[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([row[0]] * len(parts), pa.int64()), *(pa.array([_pack(v[o]) for o in cut], pa.binary()) for v in (places.astype("<u4"), *arrays))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([row[0]] * len(parts), pa.int64()), pa.array([_pack(places[o].astype("<u4")) for o in cut], pa.binary()), *(pa.array([_pack64(v[o]) for o in cut], pa.binary()) for v in arrays)], names=names)
 
         def back(batches):
             for part, (blocks, places, *packed) in _groups(batches, columns + 2):
                 p = [_open(x, "<u4") for x in places]
-                arrays = [np.concatenate([_open(x, "<u8") for x in c]) for c in packed]
+                arrays = [np.concatenate([_open64(x) for x in c]) for c in packed]
                 values, n = receive(arrays, np.repeat(np.array(blocks), [len(x) for x in p]), np.concatenate(p))
                 cuts = np.cumsum([len(x) for x in p])[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(places, pa.binary()), pa.array([_pack(v) for v in np.split(values, cuts)], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())], names=["block", "part", "places", "found", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(places, pa.binary()), pa.array([_pack64(v) for v in np.split(values, cuts)], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())], names=["block", "part", "places", "found", "n"])
 
         sent = level.mapInArrow(out, ddl).repartition(self.n_parts, "part").sortWithinPartitions("part", "block")
         got = written(sent.mapInArrow(back, "block long, part long, places binary, found binary, n long"), "suffix-ranges", "none")
@@ -257,8 +279,8 @@ class _Sorter:
                 out = np.zeros(size, np.uint64)
                 for part, p, v in zip(parts, places, values, strict=True):
                     if p is not None:
-                        out[_open(p, "<u4")] = _open(v, "<u8") + np.uint64(below[part] + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([next(d for d in data if d is not None)], pa.binary()), pa.array([_pack(out)], pa.binary())], names=["block", "symbols", "values"])
+                        out[_open(p, "<u4")] = _open64(v) + np.uint64(below[part] + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([next(d for d in data if d is not None)], pa.binary()), pa.array([_pack64(out)], pa.binary())], names=["block", "symbols", "values"])
 
         none = F.lit(None).cast("binary")
         both = found.select("block", "part", "places", "found", none.alias("symbols")).unionByName(blocks.select("block", F.lit(None).cast("long").alias("part"), none.alias("places"), none.alias("found"), "symbols"))
@@ -267,22 +289,30 @@ class _Sorter:
 
     def merged(self, named: DataFrame, cuts: np.ndarray, bits: int) -> DataFrame:
         """(block, symbols, values): ranks of all suffixes, from the ranks of those at 1 and 2 mod 3."""
-        found, below, _ = self.exchanged(named, _send_suffixes(cuts, bits), lambda arrays, _, __: (merge_order(*arrays), len(arrays[0])), 6)
+        width = 4 if 2 * bits <= 64 else 5
+        found, below, _ = self.exchanged(named, _send_suffixes(cuts, bits), lambda arrays, _, places: (merge_order(*_suffix_arrays(arrays, places, bits)), len(places)), width)
         out = self.assembled(found, below, named)
         erase(found)
         return out
 
 
+def _suffix_arrays(arrays: list[np.ndarray], places: np.ndarray, bits: int):
+    """(class, first symbol, second symbol, own rank, next rank, rank after that)."""
+    *pair, own, one, two = arrays
+    a, b = (pair[0] >> np.uint64(bits), pair[0] & np.uint64((1 << bits) - 1)) if len(pair) == 1 else pair
+    return places % 3, a, b, own, one, two
+
+
 def _count_places(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(_open(x, "<u8"))) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(_open64(x))) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
 
 def _next_level(batches):
     """Names at 1 mod 3, a zero, names at 2 mod 3."""
     for batch in batches:
-        rows = [_open(x, "<u8") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(np.concatenate([v[1::3], np.zeros(1, np.uint64), v[2::3]])) for v in rows], pa.binary())], names=["block", "symbols"])
+        rows = [_open64(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack64(np.concatenate([v[1::3], np.zeros(1, np.uint64), v[2::3]])) for v in rows], pa.binary())], names=["block", "symbols"])
 
 
 def _level_ranks(batches):
@@ -290,24 +320,24 @@ def _level_ranks(batches):
     for batch in batches:
         out = []
         for symbols, ranks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n, r = len(_open(symbols, "<u8")), _open(ranks, "<u8")
+            n, r = len(_open64(symbols)), _open64(ranks)
             values = np.zeros(n, np.uint64)
             ones = len(values[1::3])
             r = np.concatenate([r, np.zeros(max(0, ones + 1 + len(values[2::3]) - len(r)), np.uint64)])
             values[1::3], values[2::3] = r[:ones], r[ones + 1 : ones + 1 + len(values[2::3])]
-            out.append(_pack(values))
+            out.append(_pack64(values))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "symbols", "values"])
 
 
 def _send_suffixes(cuts: np.ndarray, bits: int, more=None):
-    """Of every suffix: class, first two symbols, own rank, and the ranks one and two places on."""
+    """Of every suffix: first two symbols, own rank, and the ranks one and two places on (of these three, those known)."""
 
     def send(row):
-        s, r = _open(row[1], "<u8"), _open(row[2], "<u8")
+        s, r = _open64(row[1]), _open64(row[2])
         at = np.arange(len(s))
         r = np.concatenate([r, np.zeros(len(s) + 3 - len(r), np.uint64)])
         a, b, _ = _Sorter.triple(s, at)
-        arrays = [(at % 3).astype("<u8"), a, b, r[: len(s)], r[at + 1], r[at + 2]]
+        arrays = [*_packed_pair(a, b, bits), r[: len(s)], r[at + 1], r[at + 2]]
         part = np.searchsorted(cuts, _Sorter.range_key(a, b, bits), "right")
         if more is None:
             return part, at, arrays
@@ -343,13 +373,13 @@ def merge_order(kind, a, b, own, one, two) -> np.ndarray:
     return at
 
 
-def _repeats(length: int):
+def _repeats(length: int, bits: int):
     """Order the suffixes of a range, and mark those whose first ``length`` bytes occur at an earlier place."""
 
     def receive(arrays, blocks, places):
         *suffix, h1, h2 = arrays
         order = np.empty(len(h1), np.int64)
-        order[merge_order(*suffix).astype(np.int64)] = np.arange(len(h1))
+        order[merge_order(*_suffix_arrays(suffix, places, bits)).astype(np.int64)] = np.arange(len(h1))
         whole = h1[order] != 0
         same = np.zeros(len(order), bool)
         same[1:] = whole[1:] & whole[:-1] & (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
@@ -368,7 +398,7 @@ def _prefix_hashes(length: int):
     """Two hashes of the first ``length`` bytes of each suffix of a block's row (its third column on: sizes); zero where a segment has fewer."""
 
     def more(row):
-        s, sizes = _open(row[1], "<u8"), _open(row[3], "<i8")
+        s, sizes = _open64(row[1]), _open(row[3], "<i8")
         h = [np.concatenate([x, np.zeros(len(s) - len(x), np.uint64)]) | np.uint64(1) for x in (run_hashes(s, length), run_hashes(s, length, 77))]
         left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
         for x in h:
@@ -386,7 +416,7 @@ def _covered(length: int):
             meta = next(i for i, x in enumerate(rows) if x is not None)
             r, s, n = (_open(c[meta], "<i8") for c in (rows, starts, sizes))
             begin = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
-            hits = [_open(p, "<u4")[_open(v, "<u8") == 1] for p, v in zip(places, found, strict=True) if p is not None]
+            hits = [_open(p, "<u4")[_open64(v) == 1] for p, v in zip(places, found, strict=True) if p is not None]
             at = np.sort(np.concatenate(hits)).astype(np.int64) if hits else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -417,7 +447,7 @@ def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame
     level = written(blocks.select("block", "text").mapInArrow(_widened, "block long, symbols binary"), "suffix-level", "none")
     named, cuts, bits = _sample_ranks(sorter, level, 9, 1, length)
     data = named.select("block", "symbols", "values").join(blocks.select("block", "sizes"), "block").select("block", "symbols", "values", "sizes")
-    found, _, _ = sorter.exchanged(data, _send_suffixes(cuts, bits, _prefix_hashes(length)), _repeats(length), 8)
+    found, _, _ = sorter.exchanged(data, _send_suffixes(cuts, bits, _prefix_hashes(length)), _repeats(length, bits), 6)
     none = F.lit(None).cast("binary")
     meta = blocks.select("block", none.alias("places"), none.alias("found"), "rows", "starts", "sizes")
     told = found.select("block", "places", "found", none.alias("rows"), none.alias("starts"), none.alias("sizes")).unionByName(meta)
@@ -431,7 +461,12 @@ def _sample_ranks(sorter: _Sorter, level: DataFrame, bits: int, covered: int, le
         below, below_cuts, below_bits = _sample_ranks(sorter, following, max(1, n_names.bit_length()), 3 * covered, length)
         ranks = sorter.merged(below, below_cuts, below_bits)
         pairs = named.select("block", "symbols").join(ranks.select("block", F.col("values").alias("r")), "block").select("block", "symbols", "r")
-        named = written(pairs.mapInArrow(_level_ranks, "block long, symbols binary, values binary"), "suffix-ranked", "none")
+        ranked = written(pairs.mapInArrow(_level_ranks, "block long, symbols binary, values binary"), "suffix-ranked", "none")
+        for table in (named, following, below, ranks):
+            erase(table)
+        named = ranked
+        # Shuffles go when the driver's JVM finds that nothing refers to them; on disk they weigh as much as the tables.
+        sorter.spark.sparkContext._jvm.System.gc()
     return named, cuts, bits
 
 
@@ -439,24 +474,25 @@ def _names(sorter: _Sorter, level: DataFrame, bits: int, covered: int, length: i
     cuts, key, triple = sorter.splitters(level, bits), sorter.range_key, sorter.triple
 
     def send(row):
-        s = _open(row[1], "<u8")
+        s = _open64(row[1])
         at = np.flatnonzero(np.arange(len(s)) % 3)
         abc = triple(s, at)
-        return np.searchsorted(cuts, key(abc[0], abc[1], bits), "right"), at, abc
+        return np.searchsorted(cuts, key(abc[0], abc[1], bits), "right"), at, _packed_triple(*abc, bits)
 
-    def receive(abc, _, __):
-        order = np.lexsort(abc[::-1])
+    def receive(keys, _, __):
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
         new = np.zeros(len(order), bool)
-        for x in abc:
-            new[1:] |= x[order[1:]] != x[order[:-1]]
+        for x in keys:
+            ordered = x[order]
+            new[1:] |= ordered[1:] != ordered[:-1]
         names = np.empty(len(order), np.uint64)
         names[order] = np.cumsum(new)
         return names, int(new.sum()) + 1
 
-    found, below, n_names = sorter.exchanged(level.select("block", "symbols"), send, receive, 3)
+    found, below, n_names = sorter.exchanged(level.select("block", "symbols"), send, receive, 1 if 3 * bits <= 64 else 2 if 2 * bits <= 64 else 3)
     named = sorter.assembled(found, below, level)
-    n_places = named.select("values").mapInArrow(_count_places, "n long").agg(F.sum("n")).first()[0] or 0
     erase(found)
+    n_places = named.select("values").mapInArrow(_count_places, "n long").agg(F.sum("n")).first()[0] or 0
     if n_names == n_places or 3 * covered >= length:
         return named, cuts, None, n_names
     return named, cuts, written(named.select("block", "values").mapInArrow(_next_level, "block long, symbols binary"), "suffix-level", "none"), n_names
@@ -464,7 +500,7 @@ def _names(sorter: _Sorter, level: DataFrame, bits: int, covered: int, length: i
 
 def _widened(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(_open(x, "<u2").astype("<u8")) for x in batch.column(1).to_pylist()], pa.binary())], names=["block", "symbols"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack64(_open(x, "<u2").astype(np.uint64)) for x in batch.column(1).to_pylist()], pa.binary())], names=["block", "symbols"])
 
 
 def _cut_out(batches):
