@@ -75,7 +75,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max
     return by.select("source", "source_size", F.least("_cap", F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 1 << 22, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 1 << 18, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of ``docs``."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = written(sized, "mix-sizes")
