@@ -25,7 +25,9 @@ def query(f):
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt over all of them, as a row group can't be split."""
+    df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
