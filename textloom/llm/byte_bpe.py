@@ -1,9 +1,9 @@
 """Byte-level BPE: ranked merges folded over byte arrays of distinct words by Spark higher-order functions.
 
-First the words of all documents are counted, and the pieces (matches of the
-pattern) of the most frequent ones, ``max_frequent`` at most, are folded and
-broadcast; that bound holds at any size, and results do not depend on it. Then a
-partition's documents pass through one stage, without a shuffle: a first pass
+First a cache is made: pieces (matches of the pattern) that are frequent in some
+documents, ``max_frequent`` at most at any size, are folded and broadcast. What
+it holds, and which documents it was made from, spares later folds and has no
+effect on any result. Then each partition's documents, all and whole, pass through one stage, without a shuffle: a first pass
 numbers the pieces as it meets them and sends each document as piece numbers;
 ahead of it go the pieces that are new to the partition, those that are neither
 tokens nor frequent as arrays of byte ids. Spark folds the merges over each such
@@ -110,8 +110,9 @@ def fold_merges(word: Column, table: PairTable) -> Column:
     A token is rank * 2**28 + start * 2**16 + id: the rank of its merge with the
     next one (NO_RANK if none), the byte it starts at, and its id. The least
     element is thus the merge to make, and its rank is the id that it makes.
-    A merge writes the merged token and looks up two ranks, its own and that of
-    the token before.
+    Step 1 looks the ranks of all tokens up. A merge writes the merged token and
+    looks up two ranks, its own and that of the token before; the rank map stands
+    in the plan once, as the driver keeps the text of plans.
     """
     n = F.size(word)
     ident = lambda x: x.bitwiseAND(65535)
@@ -119,22 +120,26 @@ def fold_merges(word: Column, table: PairTable) -> Column:
     keyed = lambda x, left, right: F.shiftleft(left * 65536 + right, 28) + x
     last = lambda x: x + (((1 << 32) - 1) << 28)  # noqa: E731  a key that no pair has
 
-    def merge(s: Column, least: Column, p: Column) -> Column:
+    def step(s: Column, i: Column, least: Column, p: Column) -> Column:
+        size, opening = F.size(s), i == 1
+        every = F.transform(F.sequence(F.lit(0), size - 2), lambda k: keyed(F.get(s, k), ident(F.get(s, k)), ident(F.get(s, k + 1))))
         made = F.shiftright(least, 28)
         start = stem(least) - ident(least) + made
-        new = F.when(p + 1 < F.size(s), keyed(start, made, ident(F.get(s, p + 1)))).otherwise(last(start))
+        new = F.when(p + 1 < size, keyed(start, made, ident(F.get(s, p + 1)))).otherwise(last(start))
         before = F.get(s, p - 2)
         near = F.when(p > 1, F.array(keyed(stem(before), ident(before), made), new)).otherwise(F.array(new))
-        return F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), table.ranked(near), F.slice(s, p + 2, n))
+        found = table.ranked(F.when(opening, every).otherwise(near))
+        none = F.array().cast("array<bigint>")
+        left = F.when(opening, none).otherwise(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))))
+        right = F.when(opening, F.array(F.get(s, size - 1) + (NO_RANK << 28))).otherwise(F.slice(s, p + 2, n))
+        return F.concat(left, found, right)
 
-    def step(s: Column, _: Column) -> Column:
-        return _let(F.array_min(s), lambda m: F.when(m < NO_RANK << 28, _let(F.array_position(s, m).cast("int"), lambda p: merge(s, m, p))).otherwise(s))
+    def next_state(s: Column, i: Column) -> Column:
+        return _let(F.array_min(s), lambda m: F.when((i == 1) | (m < NO_RANK << 28), _let(F.array_position(s, m).cast("int"), lambda p: step(s, i, m, p))).otherwise(s))
 
-    token = lambda k: F.shiftleft(k.cast("bigint"), 16) + F.get(word, k)
-    first = F.transform(F.sequence(F.lit(0), n - 2), lambda k: keyed(token(k), F.get(word, k).cast("bigint"), F.get(word, k + 1)))
-    start = F.concat(table.ranked(first), F.array(token(n - 1) + (NO_RANK << 28)))
+    tokens = F.transform(word, lambda x, k: F.shiftleft(k.cast("bigint"), 16) + x)
     ids = lambda s: F.transform(s, lambda x: ident(x).cast("int"))
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, ids))
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), n), tokens, next_state, ids))
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -168,6 +173,8 @@ def _finder(pattern: str):
 FORGET = 1 << 18
 #: Documents that a pass handles at a time, so that few texts are in memory twice.
 SLICE = 256
+#: The share of documents that the cache is made from.
+CACHE_SHARE = 0.125
 #: Frequent pieces have no more bytes than this.
 FREQUENT_BYTES = 64
 
@@ -178,12 +185,10 @@ def _byte_ids(pieces: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(single[np.frombuffer(b"".join(pieces), np.uint8)]))
 
 
-def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max_frequent: int) -> bytes:
-    """An Arrow stream of (piece, ids): the most frequent pieces in ``_text`` that are no tokens themselves.
+def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max_frequent: int) -> _Frequent:
+    """Frequent pieces in ``_text`` that are no tokens themselves, with their ids.
 
-    Words between blanks are counted, and those that a partition has met once only
-    are left out. That saves work and, as the result only spares later folds,
-    changes nothing else.
+    ``CACHE_SHARE`` of the documents tell well enough which pieces are frequent.
     """
 
     def count(batches):
@@ -192,9 +197,8 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
         def counted(chunks):
             found = Counter()
             for chunk, n in chunks.items():
-                if n > 1:
-                    for piece in find(f" {chunk}"):
-                        found[piece] += n
+                for piece in find(f" {chunk}"):
+                    found[piece] += n
             words = [(b, n) for x, n in found.items() if len(b := x.encode()) <= FREQUENT_BYTES and b not in known]
             for at in range(0, len(words), 1 << 14):
                 part = words[at : at + (1 << 14)]
@@ -214,14 +218,11 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
             pieces = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), _byte_ids(pieces, shared.value)], names=["piece", "word"])
 
-    top = rows.select("_text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = rows.select("_text").sample(CACHE_SHARE, seed=1).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "piece").limit(max_frequent).select("piece")
     top = top.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(as_ids, "piece binary, word array<int>")
     folded = top.select("piece", fold_merges(F.col("word"), table).alias("ids")).toArrow().combine_chunks()
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, folded.schema) as stream:
-        stream.write_table(folded)
-    return out.getvalue().to_pybytes()
+    return _Frequent(folded)
 
 
 def _slices(batches):
@@ -230,15 +231,10 @@ def _slices(batches):
             yield batch.slice(at, SLICE)
 
 
-def _frequent(table: bytes) -> pa.Table:
-    return pa.ipc.open_stream(table).read_all().combine_chunks()
-
-
 class _Frequent:
     """Frequent pieces in arrays: found by hash, then compared."""
 
-    def __init__(self, table: bytes) -> None:
-        frequent = _frequent(table)
+    def __init__(self, frequent: pa.Table) -> None:
         n = frequent.num_rows
         pieces = frequent["piece"].chunk(0) if n else pa.array([], pa.binary())
         ids = frequent["ids"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
@@ -319,7 +315,7 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]
 
     def ask(batches):
-        known, find, often, numbers = shared.value, _finder(pattern), _Frequent(frequent.value), _Numbers()
+        known, find, often, numbers = shared.value, _finder(pattern), frequent.value, _Numbers()
 
         def row(types, n, numbers_=None, number=None, word=None, given=None, forget=False, kept=None):
             blank = lambda x, t: pa.nulls(n, t) if x is None else x
