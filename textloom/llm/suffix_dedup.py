@@ -17,9 +17,10 @@ only sorting is shared by the cluster:
  - going back, the suffixes at 0 mod 3 are sorted by (symbol, rank of the next
    place) and merged with the others, whose ranks are known, by the comparisons
    of the algorithm, in one task for each range of triples.
-At the end each suffix has the one before it in the order: those with the same
-first ``length`` bytes (compared by two 64-bit hashes) are one run of the order,
-and all of a run but its first place in the documents are repeats.
+At the end each suffix has the one before it in the order: neighbours with the
+same first ``length`` bytes (compared by a 64-bit hash; as only neighbours are
+compared, n suffixes err with chance n / 2**64) are one run of the order, and
+all of a run but its first place in the documents are repeats.
 
 Ranges, blocks and counts per range are all that tasks need to know of each
 other; the driver sees splitters and one count for each range.
@@ -32,6 +33,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -264,6 +266,7 @@ class _Sorter:
 
         sent = level.mapInArrow(out, ddl).repartition(self.n_parts, "part").sortWithinPartitions("part", "block")
         got = written(sent.mapInArrow(back, "block long, part long, places binary, found binary, n long"), "suffix-ranges", "none")
+        _let_go(self.spark)
         counts = {r["part"]: r["n"] for r in got.groupBy("part").agg(F.sum("n").alias("n")).collect()}
         below, total = {}, 0
         for part in sorted(counts):
@@ -285,7 +288,9 @@ class _Sorter:
         none = F.lit(None).cast("binary")
         both = found.select("block", "part", "places", "found", none.alias("symbols")).unionByName(blocks.select("block", F.lit(None).cast("long").alias("part"), none.alias("places"), none.alias("found"), "symbols"))
         met = both.repartition("block").sortWithinPartitions("block")
-        return written(met.mapInArrow(run, "block long, symbols binary, values binary"), "suffix-blocks", "none")
+        out = written(met.mapInArrow(run, "block long, symbols binary, values binary"), "suffix-blocks", "none")
+        _let_go(self.spark)
+        return out
 
     def merged(self, named: DataFrame, cuts: np.ndarray, bits: int) -> DataFrame:
         """(block, symbols, values): ranks of all suffixes, from the ranks of those at 1 and 2 mod 3."""
@@ -296,6 +301,12 @@ class _Sorter:
         return out
 
 
+def _let_go(spark) -> None:
+    """Shuffles go when the driver finds that nothing refers to them; on disk they weigh more than the tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _suffix_arrays(arrays: list[np.ndarray], places: np.ndarray, bits: int):
     """(class, first symbol, second symbol, own rank, next rank, rank after that)."""
     *pair, own, one, two = arrays
@@ -377,12 +388,11 @@ def _repeats(length: int, bits: int):
     """Order the suffixes of a range, and mark those whose first ``length`` bytes occur at an earlier place."""
 
     def receive(arrays, blocks, places):
-        *suffix, h1, h2 = arrays
-        order = np.empty(len(h1), np.int64)
-        order[merge_order(*_suffix_arrays(suffix, places, bits)).astype(np.int64)] = np.arange(len(h1))
-        whole = h1[order] != 0
+        *suffix, h = arrays
+        order = np.empty(len(h), np.int64)
+        order[merge_order(*_suffix_arrays(suffix, places, bits)).astype(np.int64)] = np.arange(len(h))
         same = np.zeros(len(order), bool)
-        same[1:] = whole[1:] & whole[:-1] & (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        same[1:] = h[order[1:]] == h[order[:-1]]
         run = np.cumsum(~same)
         first = np.lexsort((places[order], blocks[order], run))
         start = np.ones(len(order), bool)
@@ -395,15 +405,13 @@ def _repeats(length: int, bits: int):
 
 
 def _prefix_hashes(length: int):
-    """Two hashes of the first ``length`` bytes of each suffix of a block's row (its third column on: sizes); zero where a segment has fewer."""
+    """The hash of the first ``length`` bytes of each suffix of a block's row (its fourth column: sizes), and which suffixes have as many."""
 
     def more(row):
         s, sizes = _open64(row[1]), _open(row[3], "<i8")
-        h = [np.concatenate([x, np.zeros(len(s) - len(x), np.uint64)]) | np.uint64(1) for x in (run_hashes(s, length), run_hashes(s, length, 77))]
+        h = run_hashes(s, length)
         left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
-        for x in h:
-            x[left < length] = 0
-        return h, left > 0
+        return [np.concatenate([h, np.zeros(len(s) - len(h), np.uint64)])], left >= length
 
     return more
 
@@ -447,7 +455,7 @@ def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame
     level = written(blocks.select("block", "text").mapInArrow(_widened, "block long, symbols binary"), "suffix-level", "none")
     named, cuts, bits = _sample_ranks(sorter, level, 9, 1, length)
     data = named.select("block", "symbols", "values").join(blocks.select("block", "sizes"), "block").select("block", "symbols", "values", "sizes")
-    found, _, _ = sorter.exchanged(data, _send_suffixes(cuts, bits, _prefix_hashes(length)), _repeats(length, bits), 6)
+    found, _, _ = sorter.exchanged(data, _send_suffixes(cuts, bits, _prefix_hashes(length)), _repeats(length, bits), 5 if 2 * bits <= 64 else 6)
     none = F.lit(None).cast("binary")
     meta = blocks.select("block", none.alias("places"), none.alias("found"), "rows", "starts", "sizes")
     told = found.select("block", "places", "found", none.alias("rows"), none.alias("starts"), none.alias("sizes")).unionByName(meta)
@@ -465,8 +473,6 @@ def _sample_ranks(sorter: _Sorter, level: DataFrame, bits: int, covered: int, le
         for table in (named, following, below, ranks):
             erase(table)
         named = ranked
-        # Shuffles go when the driver's JVM finds that nothing refers to them; on disk they weigh as much as the tables.
-        sorter.spark.sparkContext._jvm.System.gc()
     return named, cuts, bits
 
 
