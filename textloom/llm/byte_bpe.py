@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import let_go
+
 NO_RANK = 1 << 16
 #: White space as in the Unicode property; Python's own \s has four control characters more.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -309,7 +311,9 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     keep_ddl = ", ".join(f"`_k{i}` {k}" for i, k in enumerate(kinds))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(text_col, F.lit("")).alias("_text"))
 
+    let_go(docs.sparkSession)
     frequent = sc.broadcast(frequent_pieces(rows, shared, pattern, table, max_frequent))
+    let_go(docs.sparkSession)
 
     k = len(keep)
     sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]

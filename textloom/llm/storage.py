@@ -7,6 +7,7 @@ Such a table survives a lost executor, unlike a local checkpoint or a cache.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver find what nothing refers to any more: shuffles on disk, broadcasts, and plans with their literals."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def erase(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
     spark = df.sparkSession

@@ -33,7 +33,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -43,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import erase, written
+from .storage import erase, let_go, written
 
 BLOCK_BYTES = 1 << 20
 GRAM = 50
@@ -266,7 +265,7 @@ class _Sorter:
 
         sent = level.mapInArrow(out, ddl).repartition(self.n_parts, "part").sortWithinPartitions("part", "block")
         got = written(sent.mapInArrow(back, "block long, part long, places binary, found binary, n long"), "suffix-ranges", "none")
-        _let_go(self.spark)
+        let_go(self.spark)
         counts = {r["part"]: r["n"] for r in got.groupBy("part").agg(F.sum("n").alias("n")).collect()}
         below, total = {}, 0
         for part in sorted(counts):
@@ -289,7 +288,7 @@ class _Sorter:
         both = found.select("block", "part", "places", "found", none.alias("symbols")).unionByName(blocks.select("block", F.lit(None).cast("long").alias("part"), none.alias("places"), none.alias("found"), "symbols"))
         met = both.repartition("block").sortWithinPartitions("block")
         out = written(met.mapInArrow(run, "block long, symbols binary, values binary"), "suffix-blocks", "none")
-        _let_go(self.spark)
+        let_go(self.spark)
         return out
 
     def merged(self, named: DataFrame, cuts: np.ndarray, bits: int) -> DataFrame:
@@ -301,12 +300,6 @@ class _Sorter:
         return out
 
 
-def _let_go(spark) -> None:
-    """Shuffles go when the driver finds that nothing refers to them; on disk they weigh more than the tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _suffix_arrays(arrays: list[np.ndarray], places: np.ndarray, bits: int):
     """(class, first symbol, second symbol, own rank, next rank, rank after that)."""
     *pair, own, one, two = arrays
