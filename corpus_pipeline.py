@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash_dedup
+from textloom.llm import byte_bpe, line_dedup, mixing, quality_rules, shingle_dedup
 from textloom.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return simhash_dedup.keep_one(docs).select(*COLUMNS)
+    """One document of each class of near duplicates stays: links are five-word Jaccard similarities of 0.8 or more, all of them."""
+    return shingle_dedup.keep_one(docs, shingle_words=5, num=4, den=5).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, rest=("lang", "source"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("shingle near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: Hashed likelihood ratios, fingerprints and ranked merges are beyond SQL; tests hold the stages against brute force.
+#: Hashed likelihood ratios, similarities and ranked merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
