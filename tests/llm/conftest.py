@@ -11,6 +11,11 @@ def prose(n: int, seed: int) -> str:
     return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed", "ing", "er", str(rng.randrange(9))]) for _ in range(n))
 
 
+@pytest.fixture(scope="session")
+def make_prose():
+    return prose
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, blanks, copies, near copies, ties, a long text, and columns whose names clash with inner ones."""

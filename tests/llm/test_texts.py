@@ -93,7 +93,7 @@ TOKENIZER = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeabl
 
 @pytest.mark.parametrize("max_frequent", [0, 1 << 10])
 def test_bpe(spark, odd_docs, no_docs, max_frequent):
-    more = ["anana banana ananas", "a  b   c\n\n d \n", " lead", "trail ", "it's I'LL we've  x", " em space \x1d sep", "ababababab" * 30, "日本語テキスト 中文", "\x00\x01\x7f", "áé", "<|endoftext|>"]
+    more = ["anana banana ananas", "a  b   c\n\n d \n", " lead", "trail ", "it's I'LL we've  x", " em space \x1d sep", "ababababab" * 30, "日本語テキスト 中文", " ", "  ", "\n", " a ", "a \n b", "a\n b  c\n", "x\u3000 y \u2028z", "q" + " " * 3000 + "r", "don't  'll 's", "\x00\x01\x7f", "áé", "<|endoftext|>"]
     docs = odd_docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(100 + i, t, "z") for i, t in enumerate(more)], "doc_id long, text string, source string"))
     encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, rest=("source",), max_frequent=max_frequent, max_fold=200)
     got = sorted((str(r.doc_id), r.ids, r.n_tokens) for r in encoded.collect())
@@ -137,9 +137,9 @@ def removed(docs, length):
 @pytest.mark.parametrize("length", [100, 30])
 def test_suffixes(odd_docs, no_docs, length, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
-    docs = odd_docs.where("doc_id is null or doc_id <> 13")  # rows alike in id and text are both first
-    got = suffix_dedup.dedup_runs(docs, length).collect()
-    ordered = sorted(rows(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 5000)
+    got = suffix_dedup.dedup_runs(odd_docs, length).collect()
+    ordered = sorted(rows(odd_docs), key=lambda r: (r[0] is not None, r[0] or 0))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(ordered, length)
     assert all(sum(x.end - x.start for x in r.removed) == r.n_removed for r in got)
     assert suffix_dedup.dedup_runs(no_docs).count() == 0
@@ -150,6 +150,18 @@ def test_suffixes_without_repeats(spark):
     assert {r.n_removed for r in suffix_dedup.dedup_runs(docs).collect()} == {0}
 
 
+def test_suffixes_with_hot_prefixes(spark, make_prose, monkeypatch):
+    """Half of the text starts with two bytes, one passage is in every other document among unlike neighbours, and runs go on over ranges."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2500)
+    prose = make_prose
+    passage, other = prose(40, 77), prose(30, 78)
+    texts = ["ab" * 200 + prose(20, k) if k % 3 == 0 else prose(15, k) + passage[k % 7 :] + prose(15, 100 + k) + (other if k % 2 else other[5:]) for k in range(60)]
+    texts += [passage * 3, "x" * 400, "xy" + "x" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = suffix_dedup.dedup_runs(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(list(enumerate(texts)), 100)
+
+
 def test_merge_order():
     rng = np.random.default_rng(5)
     s = rng.integers(1, 4, 200).astype(np.uint64)

@@ -1,24 +1,31 @@
 """Byte-level BPE: ranked merges folded over byte arrays of distinct words by Spark higher-order functions.
 
 First a cache is made: pieces (matches of the pattern) that are frequent in some
-documents, ``max_frequent`` at most at any size, are folded and broadcast. What
-it holds, and which documents it was made from, spares later folds and has no
-effect on any result. Then each partition's documents, all and whole, pass through one stage, without a shuffle: a first pass
-numbers the pieces as it meets them and sends each document as piece numbers;
-ahead of it go the pieces that are new to the partition, those that are neither
-tokens nor frequent as arrays of byte ids. Spark folds the merges over each such
-array; a last pass puts the documents' ids together from the pieces' ids, and
-decodes them by concatenating each id's bytes. Both passes forget pieces at the
-same marker rows, so memory is bounded whatever a partition holds.
+documents, ``max_frequent`` of at most ``FREQUENT_BYTES`` bytes at any size, are
+folded and broadcast. What it holds, and which documents it was made from, spares
+later folds and has no effect on any result. Then each partition's documents, all
+and whole, pass through one stage, without a shuffle: a first pass numbers the
+words (stretches between single spaces, which no match of the pattern goes over)
+as it meets them and sends each document as word numbers; ahead of it go the
+words that are new to the partition, as the numbers of their pieces, and the new
+pieces, those that are neither tokens nor frequent as arrays of byte ids. Spark
+folds the merges over each such array; a last pass puts the words' ids together
+from the pieces' ids and the documents' from the words', and decodes them by
+concatenating each id's bytes. Both passes forget at the same marker rows, so
+memory is bounded whatever a partition holds.
 
 The rank map is a literal: Spark finds a key of a map value by a linear scan, so
 the map from a pair of ids to the rank of their merge is laid out as two arrays
 with one slot a key in either (cuckoo hashing), and a lookup reads two elements.
 
+Results are written in the shared folder, and what was broadcast for them is
+destroyed; settings of the session that the job needs are as before afterwards.
+
 Defined results: a null text is empty (no ids); pieces of more than
 ``max_fold`` bytes, for which a fold takes quadratic time, are merged by the
 same ranks with a heap instead; rows with null or repeated ids are rows like
-others; an empty table gives an empty result; further columns are ignored.
+others; an empty table gives an empty result; further columns are ignored, and
+may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import base64
 import heapq
 import json
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import let_go
+from .storage import erase, written
 
 NO_RANK = 1 << 16
 #: White space as in the Unicode property; Python's own \s has four control characters more.
@@ -83,6 +91,7 @@ class PairTable:
                 side = 1 - side
             else:
                 return False
+        self.texts = [json.dumps(row, separators=(",", ":")) for row in self.rows]
         return True
 
     def slot(self, key: int, side: int) -> int:
@@ -90,7 +99,7 @@ class PairTable:
 
     def ranked(self, elements: Column) -> Column:
         """Elements key * 2**28 + rest become rank * 2**28 + rest; the rank is NO_RANK where a key has none."""
-        tables = [F.from_json(F.lit(json.dumps(row, separators=(",", ":"))), "array<bigint>") for row in self.rows]
+        tables = [F.from_json(F.lit(text), "array<bigint>") for text in self.texts]
 
         def one(x: Column) -> Column:
             key = F.shiftright(x, 28)
@@ -102,6 +111,11 @@ class PairTable:
         return F.transform(elements, one)
 
 
+@cache
+def _pair_table(ranks: tuple[tuple[bytes, int], ...]) -> PairTable:
+    return PairTable(pair_ranks(dict(ranks)))
+
+
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -171,7 +185,7 @@ def _finder(pattern: str):
     return regex.compile(own).findall
 
 
-#: What a partition's passes remember is forgotten after so many distinct pieces.
+#: What a partition's passes remember is forgotten after so many distinct words.
 FORGET = 1 << 18
 #: Documents that a pass handles at a time, so that few texts are in memory twice.
 SLICE = 256
@@ -179,6 +193,9 @@ SLICE = 256
 CACHE_SHARE = 0.125
 #: Frequent pieces have no more bytes than this.
 FREQUENT_BYTES = 64
+#: While a job runs: the driver keeps the text of each plan, and that of these would hold the rank map several times over;
+#: each task has two Python workers, and whole batches of texts stand in both and in Spark.
+DURING = {"spark.sql.maxPlanStringLength": str(1 << 16), "spark.sql.execution.arrow.maxRecordsPerBatch": str(1 << 11)}
 
 
 def _byte_ids(pieces: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
@@ -188,7 +205,7 @@ def _byte_ids(pieces: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
 
 
 def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max_frequent: int) -> _Frequent:
-    """Frequent pieces in ``_text`` that are no tokens themselves, with their ids.
+    """The most frequent pieces in ``_text`` that are no tokens themselves, with their ids: those as frequent as can all be taken.
 
     ``CACHE_SHARE`` of the documents tell well enough which pieces are frequent.
     """
@@ -220,10 +237,19 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
             pieces = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), _byte_ids(pieces, shared.value)], names=["piece", "word"])
 
-    top = rows.select("_text").sample(CACHE_SHARE, seed=1).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "piece").limit(max_frequent).select("piece")
-    top = top.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(as_ids, "piece binary, word array<int>")
-    folded = top.select("piece", fold_merges(F.col("word"), table).alias("ids")).toArrow().combine_chunks()
+    counts = rows.select("_text").sample(CACHE_SHARE, seed=1).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = written(counts, "bpe-counts", during=DURING)
+    # How many pieces have each count tells the least count to take, so that no task sorts or holds all of them.
+    least, taken = 1 << 62, 0
+    level = F.when(F.col("n") > 1000, 1000 + F.floor(F.log2("n"))).otherwise(F.col("n"))
+    for r in sorted(counts.groupBy(level.alias("n")).count().collect(), key=lambda r: -r["n"]):
+        taken += r["count"]
+        if taken > max_frequent:
+            break
+        least = r["n"]
+    top = counts.where(level >= least).select("piece").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(as_ids, "piece binary, word array<int>")
+    folded = written(top.select("piece", fold_merges(F.col("word"), table).alias("ids")), "bpe-frequent", during=DURING).toArrow().combine_chunks()
+    erase(counts)
     return _Frequent(folded)
 
 
@@ -242,9 +268,9 @@ class _Frequent:
         ids = frequent["ids"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
         self.pieces = pieces
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer()) for x in pieces), np.uint64, n)
-        self.order = np.argsort(self.hashes)
+        self.order = np.argsort(self.hashes).astype(np.int32)
         self.hashes = self.hashes[self.order]
-        self.ids, self.ends = ids.flatten().to_numpy().astype("<u2"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+        self.ids, self.ends = ids.flatten().to_numpy().astype("<u2"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int32)
 
     def places(self, pieces: list[bytes]) -> np.ndarray:
         """Where each piece may be; -1 where it is not."""
@@ -261,19 +287,50 @@ class _Frequent:
 
 
 class _Numbers(dict):
-    """Piece to its number, in the order of first sight; ``new`` lists what was not seen before."""
+    """Text to its number, in the order of first sight; ``new`` lists what was not seen before."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.new.append(text)
         return n
 
 
+class _Words(dict):
+    """A stretch between spaces to the number of it with the space before it; -1 where white space is at its ends, as matches may go over such ends."""
+
+    def __init__(self, numbers: _Numbers) -> None:
+        self.numbers, self.white = numbers, regex.compile(f"[{WHITE}]").match
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = -1 if not word or self.white(word[0]) or self.white(word[-1]) else self.numbers[f" {word}"]
+        return n
+
+
+class _Splitter:
+    """Texts to the numbers of their words."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.words = _Words(self.numbers)
+        self.cut = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").split
+
+    def coded(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        first, *rest = text.split(" ")
+        known, white = self.words, self.words.white
+        found = np.fromiter(map(known.__getitem__, rest), np.int32, len(rest))
+        if first and not white(first[-1]) and (not len(found) or found.min() >= 0):
+            return np.concatenate([np.array([self.numbers[first]], np.int32), found])
+        first, *rest = self.cut(text)
+        return np.fromiter([self.numbers[first], *(self.numbers[f" {w}"] for w in rest)], np.int32, 1 + len(rest))
+
+
 class _Pool:
-    """Ids of numbered pieces, and of documents given as numbers."""
+    """Ids of numbered things, and of sequences of them."""
 
     def __init__(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, "<u2"), 0
@@ -296,54 +353,76 @@ class _Pool:
         return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
-def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """``finish(ids, id_text, decoded)`` gives a document's values of ``fields``; ids is an array of uint16, id_text its decimals joined by commas."""
+class Coded:
+    """A document: its ids, their decimals joined by commas, and the bytes that they decode to."""
+
+    def __init__(self, words: np.ndarray, pool: _Pool, texts: list[str], decoded: list[bytes]) -> None:
+        self._words, self._pool, self._texts, self._decoded = words, pool, texts, decoded
+
+    def __len__(self) -> int:
+        return int(self._pool.size[self._words].sum())
+
+    def ids(self) -> np.ndarray:
+        return self._pool.ids(self._words)
+
+    def id_text(self) -> str:
+        return ",".join(map(self._texts.__getitem__, self._words.tolist()))
+
+    def decoded(self) -> bytes:
+        return b"".join(map(self._decoded.__getitem__, self._words.tolist()))
+
+
+def _pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for b, i in ranks.items():
+        pieces[i] = b
+    return pieces
+
+
+def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, the columns ``rest``, ``fields``): ``finish(coded)`` gives a document's values of ``fields``, see :class:`Coded`."""
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must be below 2**16")
     sc = docs.sparkSession.sparkContext
-    # The driver keeps the text of each plan, and that of this one would hold the rank map several times over.
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
-    # Each task has two Python workers, and whole batches of texts stand in both and in Spark.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 << 11)
-    shared, table = sc.broadcast(ranks), PairTable(pair_ranks(ranks))
+    shared, table = sc.broadcast(ranks), _pair_table(tuple(ranks.items()))
     keep = [id_col, *rest]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     keep_ddl = ", ".join(f"`_k{i}` {k}" for i, k in enumerate(kinds))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(text_col, F.lit("")).alias("_text"))
-
-    let_go(docs.sparkSession)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     frequent = sc.broadcast(frequent_pieces(rows, shared, pattern, table, max_frequent))
-    let_go(docs.sparkSession)
 
     k = len(keep)
     sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]
 
     def ask(batches):
-        known, find, often, numbers = shared.value, _finder(pattern), frequent.value, _Numbers()
+        known, find, often = shared.value, _finder(pattern), frequent.value
+        words, pieces = _Splitter(), _Numbers()
 
-        def row(types, n, numbers_=None, number=None, word=None, given=None, forget=False, kept=None):
+        def row(types, n, numbers=None, number=None, word=None, given=None, forget=False, kept=None):
             blank = lambda x, t: pa.nulls(n, t) if x is None else x
             kept = kept or [pa.nulls(n, t) for t in types]
-            return pa.RecordBatch.from_arrays([*kept, blank(numbers_, pa.binary()), blank(number, pa.int32()), blank(word, pa.list_(pa.int32())), blank(given, pa.binary()), pa.array([forget] * n)], names=sent_names)
+            return pa.RecordBatch.from_arrays([*kept, blank(numbers, pa.binary()), blank(number, pa.int32()), blank(word, pa.list_(pa.int32())), blank(given, pa.binary()), pa.array([forget] * n)], names=sent_names)
 
         for batch in _slices(batches):
             types = batch.schema.types[:k]
-            if len(numbers) > FORGET:
-                numbers = _Numbers()
+            if len(words.numbers) > FORGET:
+                words, pieces = _Splitter(), _Numbers()
                 yield row(types, 1, forget=True)
-            first = len(numbers)
-            found = [find(t) for t in batch.column(k).to_pylist()]
-            coded = [np.fromiter(map(numbers.__getitem__, f), np.int32, len(f)).tobytes() for f in found]
-            new = [x.encode() for x in numbers.new]
-            numbers.new.clear()
+            first_word, first = len(words.numbers), len(pieces)
+            coded = [words.coded(t).tobytes() for t in batch.column(k).to_pylist()]
+            made = [find(w) for w in words.numbers.new]
+            flat = [pieces[p] for m in made for p in m]
+            new = [x.encode() for x in pieces.new]
+            words.numbers.new.clear()
+            pieces.new.clear()
             many = often.found([b for b in new if b not in known])
-            given, sizes, ids, words = [], [], [], []
+            given, sizes, ids, folds = [], [], [], []
             for n, b in enumerate(new, first):
                 if (one := known.get(b)) is not None:
                     x = one.to_bytes(2, "little")
                 elif (x := many.get(b)) is None:
                     if len(b) <= max_fold:
-                        words.append((n, b))
+                        folds.append((n, b))
                         continue
                     x = np.array(merge_by_heap(b, known), "<u2").tobytes()
                 given.append(n)
@@ -351,20 +430,37 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
                 ids.append(x)
             if given:
                 yield row(types, 1, given=pa.array([np.array([len(given), *given, *sizes], np.int32).tobytes() + b"".join(ids)], pa.binary()))
-            for at in range(0, len(words), 1 << 14):
-                part = words[at : at + (1 << 14)]
+            for at in range(0, len(folds), 1 << 14):
+                part = folds[at : at + (1 << 14)]
                 yield row(types, len(part), number=pa.array([n for n, _ in part], pa.int32()), word=_byte_ids([b for _, b in part], known))
-            yield row(types, batch.num_rows, numbers_=pa.array(coded, pa.binary()), kept=batch.columns[:k])
+            if made:  # after its pieces: below zero, how many words, the first, how many pieces each, and the pieces
+                yield row(types, 1, given=pa.array([np.array([-len(made), first_word, *map(len, made), *flat], np.int32).tobytes()], pa.binary()))
+            yield row(types, batch.num_rows, numbers=pa.array(coded, pa.binary()), kept=batch.columns[:k])
 
     def answer(batches):
-        known, pool = shared.value, _Pool()
-        pieces: list[bytes] = [b""] * (max(known.values()) + 1)
-        for b, i in known.items():
-            pieces[i] = b
-        decimals = [str(i) for i in range(len(pieces))]
+        known, pieces, words = shared.value, _Pool(), _Pool()
+        by_id, texts, decoded = _pieces_by_id(known), [], []
+        decimals = [str(i) for i in range(len(by_id))]
+
+        def learn(data: bytes) -> None:
+            n = int(np.frombuffer(data, np.int32, 1)[0])
+            if n >= 0:
+                head = np.frombuffer(data, np.int32, 2 * n, 4)
+                pieces.add(head[:n], head[n:].astype(np.int64), np.frombuffer(data, "<u2", -1, 4 + 8 * n))
+                return
+            first, n = int(np.frombuffer(data, np.int32, 1, 4)[0]), -n
+            counts, flat = np.frombuffer(data, np.int32, n, 8).astype(np.int64), np.frombuffer(data, np.int32, -1, 8 + 4 * n)
+            ends = np.cumsum(np.concatenate([[0], pieces.size[flat]]))[np.concatenate([[0], np.cumsum(counts)])]
+            ids = pieces.ids(flat)
+            words.add(np.arange(first, first + n), np.diff(ends), ids)
+            listed, cuts = ids.tolist(), ends.tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                texts.append(",".join([decimals[i] for i in listed[a:b]]))
+                decoded.append(b"".join([by_id[i] for i in listed[a:b]]))
+
         for batch in batches:
             docs_, number, given, forget, folded = (batch.column(k + i) for i in (0, 1, 3, 4, 5))
-            at, out = 0, []
+            out = []
             # Rows of one kind stand together; a run of them is handled at a time.
             kind = np.select([forget.to_numpy(zero_copy_only=False), given.is_valid().to_numpy(zero_copy_only=False), number.is_valid().to_numpy(zero_copy_only=False)], [3, 2, 1], 0)
             edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
@@ -372,39 +468,38 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
                 if at == to:
                     continue
                 if kind[at] == 3:
-                    pool = _Pool()
+                    pieces, words, texts, decoded = _Pool(), _Pool(), [], []
                 elif kind[at] == 2:
                     for data in given.slice(at, to - at).to_pylist():
-                        n = int(np.frombuffer(data, np.int32, 1)[0])
-                        head = np.frombuffer(data, np.int32, 2 * n, 4)
-                        pool.add(head[:n], head[n:].astype(np.int64), np.frombuffer(data, "<u2", -1, 4 + 8 * n))
+                        learn(data)
                 elif kind[at] == 1:
                     lists = folded.slice(at, to - at)
-                    pool.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
+                    pieces.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
                 else:
-                    for data in docs_.slice(at, to - at).to_pylist():
-                        ids = pool.ids(np.frombuffer(data, np.int32))
-                        listed = ids.tolist()
-                        out.append(finish(ids, ",".join(map(decimals.__getitem__, listed)), b"".join(map(pieces.__getitem__, listed))))
+                    out += [finish(Coded(np.frombuffer(data, np.int32), words, texts, decoded)) for data in docs_.slice(at, to - at).to_pylist()]
             if out:
                 some = pa.array(kind == 0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(some) for i in range(k)), *(pa.array(c) for c in zip(*out, strict=True))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(some) for i in range(k)), *(pa.array(c) for c in zip(*out, strict=True))], names=[*(f"_k{i}" for i in range(k)), *names])
 
     asked = rows.mapInArrow(ask, ", ".join([*([keep_ddl] if keep else []), "_numbers binary, _number int, _word array<int>, _given binary, _forget boolean"]))
     folded = asked.withColumn("_ids", F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), table)))
-    return folded.mapInArrow(answer, ", ".join([*[f"`{c}` {t}" for c, t in zip(keep, kinds, strict=True)], fields]))
+    out = written(folded.mapInArrow(answer, f"{keep_ddl}, {fields}"), "bpe", during=DURING)
+    frequent.destroy()
+    shared.destroy()
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *names)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, **options) -> DataFrame:
     """(id, the columns ``rest``, ids, n_tokens): every text's ids as array<int>."""
-    return encode_with(docs, ranks, pattern, lambda ids, _, __: (ids.astype(np.int32), len(ids)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
+    return encode_with(docs, ranks, pattern, lambda c: (c.ids().astype(np.int32), len(c)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", as_col: str = "bytes") -> DataFrame:
     """``encoded`` with the bytes of its ids, each id's piece after the other; null ids decode to null."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for b, i in ranks.items():
-        pieces[i] = b
-    table = F.from_json(F.lit(json.dumps([base64.b64encode(b).decode() for b in pieces])), "array<binary>")
-    start = F.lit(b"").cast("binary")
-    return encoded.withColumn(as_col, F.aggregate(ids_col, start, lambda s, i: F.concat(s, F.get(table, i))))
+    pieces = _pieces_by_id(ranks)
+
+    @F.arrow_udf("binary")
+    def joined(column: pa.Array) -> pa.Array:
+        return pa.array([None if ids is None else b"".join([pieces[i] for i in ids]) for ids in column.to_pylist()], pa.binary())
+
+    return encoded.withColumn(as_col, joined(ids_col))

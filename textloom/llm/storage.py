@@ -7,10 +7,10 @@ Such a table survives a lost executor, unlike a local checkpoint or a cache.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +18,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one if all of Spark runs in this process; else an error, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="textloom-")
@@ -33,17 +36,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it as read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings while a job runs; they are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have the driver find what nothing refers to any more: shuffles on disk, broadcasts, and plans with their literals."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, name: str, compression: str = "zstd", during: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return it as read back. The job's shuffle files go as soon as it ends."""
+    path = new_path(df.sparkSession, name)
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (during or {})):
+        df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def erase(df: DataFrame) -> None:

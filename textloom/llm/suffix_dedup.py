@@ -3,32 +3,37 @@
 Reduction, exact: of equal texts only the first is sorted (every byte of the
 others is repeated, if they have ``length`` bytes at all). Winnowing marks one
 anchor in every run of ``length`` bytes, by content alone, so equal runs share
-their anchors; only text within ``length`` bytes of an anchor hash that occurs
-twice can hold a repeated run, and only that text is sorted, in segments.
+their anchors. An anchor's context is all runs that hold it at its place; of
+equal contexts, too, only the first is sorted (the others are repeated whole),
+and contexts whose anchor occurs once in all texts hold no repeated run. What is
+left is sorted, in segments.
 
 Sort: segments are packed into blocks, in the order of documents and starts.
 Every block is a string of its own, so the recursion stays inside blocks and
 only sorting is shared by the cluster:
  - triples at places 1 and 2 mod 3 of all blocks are sorted by sampled splitters
-   and named by rank; a block's names at 1 mod 3, then at 2 mod 3, are its
-   string of the next level;
+   and named by rank; a block sends each triple once, however often it has it;
+   its names at 1 mod 3, then at 2 mod 3, are its string of the next level;
  - the recursion ends when names are unique or cover ``length`` bytes, beyond
    which an order is of no interest;
  - going back, the suffixes at 0 mod 3 are sorted by (symbol, rank of the next
    place) and merged with the others, whose ranks are known, by the comparisons
-   of the algorithm, in one task for each range of triples.
+   of the algorithm, in one task for each range of the order. Ranges are cut at
+   sampled suffixes, which are compared whole, so that no prefix, however
+   frequent, makes a range large.
 At the end each suffix has the one before it in the order: neighbours with the
 same first ``length`` bytes (compared by a 64-bit hash; as only neighbours are
 compared, n suffixes err with chance n / 2**64) are one run of the order, and
-all of a run but its first place in the documents are repeats.
+all of a run but its first place in the documents are repeats. A run may go on
+over ranges: each range tells its first and last run, and these are joined.
 
 Ranges, blocks and counts per range are all that tasks need to know of each
-other; the driver sees splitters and one count for each range.
+other; the driver sees ``SAMPLES`` splitters a block and three rows a range.
 
 Defined results: a null text is empty; documents go by (id, text hash), null
-ids first, and rows alike in both are copies of one another; documents shorter
-than ``length`` bytes have no repeats; an empty table gives an empty result;
-further columns are ignored.
+ids first, and of rows alike in both one is the first; documents shorter than
+``length`` bytes have no repeats; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,67 +42,83 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import erase, let_go, written
+from .storage import erase, written
 
-BLOCK_BYTES = 1 << 20
+#: Bytes of text in a block, in a task's group of texts while anchors are found, and places of a block that are sampled.
+BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 20, 1 << 24, 16
+#: Texts longer than this are searched for anchors in parts.
+PART_BYTES = 1 << 22
 GRAM = 50
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Whole numbers in as few bytes each as the greatest needs (the first byte says how many), low bytes before high ones."""
+    top = int(x.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or top < 1 << (8 * k))
+    x = x.astype(f"<u{size}")
+    if size > 1:
+        x = np.ascontiguousarray(x.view(np.uint8).reshape(-1, size).T)
+    return bytes([size]) + zstandard.compress(x.tobytes(), 1)
 
 
-def _open(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _open(data: bytes) -> np.ndarray:
+    size, x = data[0], np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
+    if size > 1:
+        x = np.ascontiguousarray(x.reshape(size, -1).T)
+    return x.view(f"<u{size}").ravel().astype(np.uint64)
 
 
-def _pack64(x: np.ndarray) -> bytes:
-    """uint64 in as few bytes each as the greatest needs; the first byte says how many."""
-    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << (8 * k))
-    return bytes([size]) + zstandard.compress(x.astype(f"<u{size}").tobytes(), 1)
+def _pack_rising(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=x.dtype.type(0)))
 
 
-def _open64(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.uint64)
+def _open_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(_open(data), dtype=np.uint64)
 
 
-def _packed_triple(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The same order in as few keys as symbols of ``bits`` bits allow, the first key first."""
-    n = np.uint64(bits)
-    if 3 * bits <= 64:
-        return [(a << n | b) << n | c]
-    return [a << n | b, c] if 2 * bits <= 64 else [a, b, c]
+def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for x in sorted_columns:
+            new[1:] |= x[1:] != x[:-1]
+    return new
 
 
-def _packed_pair(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [a << np.uint64(bits) | b] if 2 * bits <= 64 else [a, b]
+# --- anchors ---------------------------------------------------------------------------------------------------------
 
 
-def run_hashes(text: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of every run of ``length`` bytes, by doubling."""
+def _joined(a: np.ndarray, shift: int, b: np.ndarray) -> np.ndarray:
+    n = max(0, min(len(a), len(b) - shift))
+    y = (a[:n] * MIX) ^ b[shift : shift + n]
+    y *= TURN
+    y ^= y >> np.uint64(29)
+    return y
 
-    def joined(a, shift, b):
-        n = max(0, min(len(a), len(b) - shift))
-        y = (a[:n] * MIX) ^ b[shift : shift + n]
-        y *= TURN
-        y ^= y >> np.uint64(29)
-        return y
 
-    powers, size = [text.astype(np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed)], 1
-    while 2 * size <= length:
-        powers.append(joined(powers[-1], size, powers[-1]))
+def run_hashes(text: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """For each length, a 64-bit hash of every run of so many symbols, by doubling."""
+    powers, size = [text.astype(np.uint64) * np.uint64(3) + np.uint64(1)], 1
+    while 2 * size <= max(lengths):
+        powers.append(_joined(powers[-1], size, powers[-1]))
         size *= 2
-    out, have = powers[-1], size
-    for k in range(len(powers) - 2, -1, -1):
-        if have + (1 << k) <= length:
-            out = joined(out, have, powers[k])
-            have += 1 << k
+    out = []
+    for length in lengths:
+        top = length.bit_length() - 1
+        found, have = powers[top], 1 << top
+        for k in range(top - 1, -1, -1):
+            if have + (1 << k) <= length:
+                found = _joined(found, have, powers[k])
+                have += 1 << k
+        out.append(found)
     return out
 
 
@@ -110,33 +131,114 @@ def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes): in each run of ``length`` bytes the grams of least hash."""
-    x = np.frombuffer(text, np.uint8)
-    if len(x) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """(text number, place, anchor hash, context hash) of the grams of least hash in each run of ``length`` bytes.
+
+    The context of an anchor at p is ``[p - (length - gram), p + length)``, as far as the text goes; its hash tells how far.
+    """
     gram = min(GRAM, length)
-    h, width = run_hashes(x, gram), length - gram + 1
-    low = _extreme(h, width, np.minimum)
+    margin, width = length - gram, length - gram + 1
+    sizes = np.array([len(t) for t in texts], np.int64)
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    if len(x) < length:
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+    ends = np.cumsum(sizes)
+    h, whole = run_hashes(x, gram, margin + length)
+    h = np.maximum(h, np.uint64(1))
+    low = _extreme(h, width, np.minimum).copy()
+    end_of = np.repeat(ends, sizes)
+    low[np.arange(len(low)) + length > end_of[: len(low)]] = 0  # runs must not go on into the next text
     pad = np.zeros(width - 1, np.uint64)
-    high = _extreme(np.concatenate([pad, low, pad]), width, np.maximum)[: len(h)]
-    at = np.flatnonzero(h == high)
-    return at, h[at]
-
+    at = np.flatnonzero(h == _extreme(np.concatenate([pad, low, pad]), width, np.maximum)[: len(h)])
+    of = np.searchsorted(ends, at, "right")
+    starts = ends - sizes
+    begin, end = at - margin, at + length
+    cut = (begin < starts[of]) | (end > ends[of])
+    context = np.empty(len(at), np.uint64)
+    context[~cut] = whole[begin[~cut]]
+    for k in np.flatnonzero(cut).tolist():
+        d = int(of[k])
+        s, a = int(starts[d]), int(at[k])
+        context[k] = xxhash.xxh64_intdigest(texts[d][max(0, a - margin - s) : a + length - s], min(a - s, margin) + 1)
+    return [of, at - starts[of], h[at], context]
+
+
+def _text_anchors(rows: list[int], texts: list[bytes], length: int) -> list[np.ndarray]:
+    """(row, place, anchor hash, context hash), rising by row and place; long texts go in parts that overlap."""
+    parts, held, size, found = [], [], 0, []
+
+    def go():
+        of, place, h, c = anchors([t for _, _, t, _, _ in held], length)
+        row, shift, _, least, most = (np.array(v, np.int64) if i != 2 else None for i, v in enumerate(zip(*held, strict=True)))
+        place = place + shift[of]
+        inside = (place >= least[of]) & (place < most[of])
+        found.append([row[of][inside], place[inside], h[inside], c[inside]])
+        held.clear()
+
+    for row, text in zip(rows, texts, strict=True):
+        n = len(text)
+        if n <= PART_BYTES:
+            parts = [(row, 0, text, 0, n)]
+        else:  # anchors of a part's middle have all their runs and their whole context in it
+            parts = [(row, a := max(0, s - 2 * length), text[a : s + PART_BYTES + 2 * length], s, s + PART_BYTES) for s in range(0, n, PART_BYTES)]
+        for part in parts:
+            held.append(part)
+            size += len(part[2])
+            if size > PART_BYTES:
+                go()
+                size = 0
+    if held:
+        go()
+    return [np.concatenate([f[i] for f in found]) for i in range(4)]
+
+
+def _send_anchors(length: int, n_buckets: int):
+    """Texts (row, text) to packed anchors: each context once a chunk (by its first place) to its bucket, and the other places, which are repeats, to the chunk's own answer."""
+
+    names = ["bucket", "chunk", "hashes", "contexts", "rows", "places", "many"]
+
+    def sent(chunk: int, rows: list, texts: list[bytes]):
+        order = np.argsort(np.array(rows), kind="stable").tolist()
+        row, place, h, c = _text_anchors([rows[i] for i in order], [texts[i] for i in order], length)
+        by = np.argsort((h ^ (c >> np.uint64(7))) * MIX ^ c, kind="stable")
+        by = by[np.lexsort((c[by], h[by]))] if len(by) and _mixed(h[by], c[by]) else by
+        new = _heads(h[by], c[by])
+        counts = np.diff(np.append(np.flatnonzero(new), len(by)))
+        first, again = by[new], np.sort(by[~new])
+        bucket = (h[first] % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((first, bucket))
+        first, many, bucket = first[order], (counts > 1)[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        pieces = [(b, first[cuts[b] : cuts[b + 1]], many[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        column = lambda make: pa.array([make(p, m) for _, p, m in pieces], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _, _ in pieces], pa.int64()), pa.array([chunk] * len(pieces), pa.int64()), column(lambda p, m: _pack(h[p])), column(lambda p, m: _pack(c[p])), column(lambda p, m: _pack_rising(row[p])), column(lambda p, m: _pack(place[p])), column(lambda p, m: _pack(m))],
+            names=names,
+        )
+        if len(again):
+            none = pa.nulls(1, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([(chunk * 0x9E3779B1 >> 16) % n_buckets], pa.int64()), pa.array([chunk], pa.int64()), none, none, pa.array([_pack_rising(row[again])], pa.binary()), pa.array([_pack(place[again])], pa.binary()), none], names=names)
 
-def _anchor_rows(length: int, n_buckets: int):
     def run(batches):
+        chunk, rows, texts, size = TaskContext.get().partitionId() << 20, [], [], 0
         for batch in batches:
-            rows = [anchors(t, length) for t in batch.column(1).to_pylist()]
-            at, h = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(2))
-            row = np.repeat(batch.column(0).to_numpy(), [len(r[0]) for r in rows])
-            bucket = (h % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            some = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), *(pa.array([_pack(v[o]) for _, o in some], pa.binary()) for v in (h, row, at.astype("<u4")))], names=["bucket", "hashes", "rows", "places"])
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append(row)
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield from sent(chunk, rows, texts)
+                    chunk, rows, texts, size = chunk + 1, [], [], 0
+        if rows:
+            yield from sent(chunk, rows, texts)
 
-    return run
+    return run, "bucket long, chunk long, hashes binary, contexts binary, rows binary, places binary, many binary"
+
+
+def _mixed(h: np.ndarray, c: np.ndarray) -> bool:
+    """Whether rows sorted by a hash of (h, c) have unlike rows of one hash; a chance of some 2**-24 a chunk."""
+    k = (h ^ (c >> np.uint64(7))) * MIX ^ c
+    return bool(((k[1:] == k[:-1]) & ((h[1:] != h[:-1]) | (c[1:] != c[:-1]))).any())
 
 
 def _groups(batches, n: int):
@@ -153,45 +255,86 @@ def _groups(batches, n: int):
         yield now, [list(c) for c in zip(*held, strict=True)]
 
 
-def _repeated_anchors(batches):
-    for _, (hashes, rows, places) in _groups(batches, 3):
-        h, r, p = (np.concatenate([_open(x, k) for x in xs]) for xs, k in ((hashes, "<u8"), (rows, "<i8"), (places, "<u4")))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        at = order[same[1:] | same[:-1]]
-        by = np.lexsort((p[at], r[at]))
-        r, p = r[at][by], p[at][by]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array([_pack(x) for x in np.split(p, first[1:])] if len(r) else [], pa.binary())], names=["row", "places"])
-
-
-def _segments(length: int):
-    """Documents (row, text, packed anchor places) to segments (row, start, bytes)."""
+def _classes(batches):
+    """A bucket's anchors to (chunk, rows, places, sort): repeats (sort 0), and first places of contexts to sort (1)."""
+    for _, (chunks, hashes, contexts, rows, places, many) in _groups(batches, 6):
+        known = [i for i, h in enumerate(hashes) if h is not None]
+        out = [(chunks[i], rows[i], places[i], _pack(np.zeros(len(_open(places[i])), np.uint64))) for i, h in enumerate(hashes) if h is None]
+        if known:
+            r, p = [_open_rising(rows[i]) for i in known], [_open(places[i]) for i in known]
+            of = np.repeat(np.array(known), [len(x) for x in p])
+            h, c, m = (np.concatenate([_open(x[i]) for i in known]) for x in (hashes, contexts, many))
+            r, p = np.concatenate(r), np.concatenate(p)
+            by = np.lexsort((p, r, c, h))
+            own = _heads(h[by], c[by])
+            anchor = np.cumsum(_heads(h[by])) - 1
+            group = np.cumsum(own) - 1
+            again = (np.bincount(group) > 1) | (np.bincount(group, m[by]) > 0)
+            wanted = own & (again[group] | (np.bincount(anchor, own)[anchor] > 1))
+            told = np.zeros(len(by), np.int8)
+            told[by] = np.where(own, np.where(wanted, 2, 0), 1)
+            some = np.flatnonzero(told)
+            cuts = np.searchsorted(of[some], known + [len(hashes)]) if len(some) else [0] * (len(known) + 1)
+            for i, a, b in zip(known, cuts, cuts[1:], strict=False):
+                if b > a:
+                    s = some[a:b]
+                    out.append((chunks[i], _pack_rising(r[s]), _pack(p[s]), _pack(told[s] - 1)))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=["chunk", "rows", "places", "sort"])
+
+
+def _stretches(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged stretches of rows; those that touch are one."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    if not len(row):
+        return row, begin, end
+    first = np.flatnonzero(_heads(row))
+    base = np.repeat(np.arange(len(first)) * (int(end.max()) + 2), np.diff(np.append(first, len(row))))
+    far = np.maximum.accumulate(end + base)
+    new = np.ones(len(row), bool)
+    new[1:] = begin[1:] + base[1:] > far[:-1]
+    at = np.flatnonzero(new)
+    return row[at], begin[at], far[np.append(at[1:], len(row)) - 1] - base[at]
+
+
+def _row_stretches(length: int):
+    """A chunk's answers to (row, repeats, wanted): stretches as packed starts and ends, which may go beyond the text's end."""
+    margin = length - min(GRAM, length)
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for row, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                p = np.sort(np.concatenate([_open(x, "<u4") for x in packed])).astype(np.int64)
-                a, b = np.maximum(p - (length - min(GRAM, length)), 0), np.minimum(p + length, len(text))
-                new = np.concatenate([[True], a[1:] > np.maximum.accumulate(b)[:-1]])
-                starts, ends = a[new], np.maximum.reduceat(b, np.flatnonzero(new))
-                out += [(row, s, text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["row", "start", "segment"])
+        for _, (rows, places, sort) in _groups(batches, 3):
+            r, p = np.concatenate([_open_rising(x) for x in rows]).astype(np.int64), np.concatenate([_open(x) for x in places]).astype(np.int64)
+            kind = np.concatenate([_open(x) for x in sort])
+            out: dict[int, list] = {}
+            for k in (0, 1):
+                some = kind == k
+                row, begin, end = _stretches(r[some], np.maximum(p[some] - margin, 0), p[some] + length)
+                first = np.flatnonzero(_heads(row))
+                for i, a, b in zip(row[first].tolist(), first.tolist(), [*first[1:].tolist(), len(row)], strict=False):
+                    out.setdefault(i, [None, None])[k] = np.stack([begin[a:b], end[a:b]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), *(pa.array([v[k] for v in out.values()], pa.binary()) for k in (0, 1))], names=["row", "repeats", "wanted"])
 
     return run
 
 
+def _segments(batches):
+    """(row, text, wanted) to segments (row, start, bytes)."""
+    for batch in batches:
+        out = []
+        for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out += [(row, a, text[a:b]) for a, b in np.frombuffer(wanted, "<i8").reshape(2, -1).T.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["row", "start", "segment"])
+
+
 def _blocks(batches):
-    """Sorted segments to blocks (block, rows, starts, sizes, text): each segment is followed by a zero, bytes count from one."""
+    """Sorted segments to blocks (block, rows, starts, sizes, symbols): each segment is followed by a zero, bytes count from one."""
     block, held, size = TaskContext.get().partitionId() << 24, [], 0
 
     def made():
-        text = np.concatenate([y for _, _, x in held for y in (np.frombuffer(x, np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16))])
-        columns = [np.array(c, np.int64) for c in ([r for r, _, _ in held], [s for _, s, _ in held], [len(x) for _, _, x in held])]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([_pack(c)], pa.binary()) for c in (*columns, text))], names=["block", "rows", "starts", "sizes", "text"])
+        text = np.concatenate([y for _, _, x in held for y in (np.frombuffer(x, np.uint8).astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16))])
+        columns = [_pack_rising(np.array([r for r, _, _ in held], np.uint64)), *(_pack(np.array(c, np.uint64)) for c in ([s for _, s, _ in held], [len(x) for _, _, x in held])), _pack(text)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["block", "rows", "starts", "sizes", "symbols"])
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -204,151 +347,174 @@ def _blocks(batches):
         yield made()
 
 
-class _Sorter:
-    """The suffix sort of all blocks. ``levels`` holds a table (block, symbols) for each level, symbols being uint64 with zero only as padding."""
+# --- the sort --------------------------------------------------------------------------------------------------------
 
-    def __init__(self, spark, n_parts: int) -> None:
-        self.spark, self.n_parts = spark, n_parts
 
-    @staticmethod
-    def triple(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        padded = np.concatenate([s, np.zeros(3, np.uint64)])
-        return [padded[at + k] for k in range(3)]
+def _triples(s: np.ndarray, at: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The triples at ``at`` in as few keys as symbols of ``bits`` bits allow, the first key first."""
+    padded, n = np.concatenate([s, np.zeros(3, np.uint64)]), np.uint64(bits)
+    a, b, c = (padded[at + k] for k in range(3))
+    if 3 * bits <= 64:
+        return [(a << n | b) << n | c]
+    return [a << n | b, c] if 2 * bits <= 64 else [a, b, c]
 
-    @staticmethod
-    def range_key(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-        """Ascends with (a, b); of b only as many leading bits as there is room for."""
-        room = 64 - bits
-        return a << np.uint64(room) | (b >> np.uint64(max(0, bits - room)) if bits > room else b << np.uint64(room - bits))
 
-    def splitters(self, level: DataFrame, bits: int) -> np.ndarray:
-        """Of about 64 keys a range, at even distances by hash."""
-        wanted, key, triple = 64 * self.n_parts, self.range_key, self.triple
-        n_blocks = max(1, level.count())
+def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns in order, and of each row which one it is."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = _heads(*(k[order] for k in keys))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return [k[order[new]] for k in keys], which
 
-        def some(batches):
-            for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    s = _open64(data)
-                    at = np.random.default_rng(block).integers(0, len(s), max(1, -(-wanted // n_blocks)))
-                    a, b, _ = triple(s, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(key(a, b, bits) >> np.uint64(1), pa.int64())], names=["key"])
 
-        found = np.sort(level.select("block", "symbols").mapInArrow(some, "key long").orderBy(F.xxhash64("key")).limit(4 * wanted).toArrow()["key"].to_numpy())
-        return np.unique(found[np.linspace(0, len(found) - 1, self.n_parts + 1).astype(int)[1:-1]].astype(np.uint64) << np.uint64(1)) if len(found) else np.zeros(0, np.uint64)
+def _before(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """Of each row of ``columns``, how many of the (rising) rows of ``cuts`` are not above it."""
+    if len(cuts) == 1:
+        return np.searchsorted(cuts[0], columns[0], "right")
+    order = np.lexsort([*[np.concatenate([c, x]) for c, x in zip(cuts, columns, strict=True)][::-1]])
+    is_cut = order < len(cuts[0])
+    out = np.empty(len(columns[0]), np.int64)
+    out[order[~is_cut] - len(cuts[0])] = np.cumsum(is_cut)[~is_cut]
+    return out
+
+
+def _sample(rows, n: int, pick):
+    """``n`` of a block's places, seeded by its number, as rows of the arrays that ``pick(row, places)`` gives."""
+    rng, size = np.random.default_rng(rows[0]), len(_open(rows[1]))
+    return pick(rows, np.sort(rng.integers(0, max(1, size), n)))
+
+
+def _splitters(level: DataFrame, n_parts: int, width: int, pick) -> list[np.ndarray]:
+    """At most ``n_parts`` - 1 rows that cut the sampled places evenly."""
+    names = [f"k{i}" for i in range(width)]
+
+    def some(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k, np.uint64).view(np.int64)) for k in _sample(row, SAMPLES, pick)], names=names)
+
+    found = level.mapInArrow(some, ", ".join(f"{c} long" for c in names)).toArrow()
+    keys = [found[c].to_numpy().view(np.uint64) for c in names]
+    if not len(keys[0]):
+        return keys
+    order = np.lexsort(keys[::-1])
+    at = order[np.linspace(0, len(order) - 1, n_parts + 1).astype(int)[1:-1]]
+    keys = [k[at] for k in keys]
+    new = _heads(*keys)
+    return [k[new] for k in keys]
+
+
+class _Exchange:
+    """Sends each block's rows to ranges of the order, and what a range finds for them back to the block.
+
+    ``send(row)`` gives (range of each row, arrays, packers); it is asked again when the answers are put in
+    place, so that no places travel. ``receive(arrays, blocks, part)`` gives (a value for each row, values in the range, extra).
+    """
+
+    def __init__(self, n_parts: int, send, receive, columns: int) -> None:
+        self.n_parts, self.send, self.receive, self.columns = n_parts, send, receive, columns
 
-    def exchanged(self, level: DataFrame, send, receive, columns: int) -> tuple[DataFrame, dict[int, int], int]:
-        """Send each block's places to ranges of keys, and what ``receive`` finds for a range back to the blocks.
+    @staticmethod
+    def cut(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        return order, parts, first
 
-        ``send(row)`` gives (range of each place, place numbers, arrays); ``receive(arrays)`` gives (a value for each, number of values).
-        Returns (block, part, places, values), the values below each range, and the number of all.
-        """
-        names = ["part", "block", "places", *(f"c{i}" for i in range(columns))]
-        ddl = "part long, block long, places binary" + "".join(f", c{i} binary" for i in range(columns))
+    def ranges(self, level: DataFrame) -> DataFrame:
+        """(block, part, found, n, extra), written."""
+        columns, send, receive, cut = self.columns, self.send, self.receive, self.cut
+        names = ["part", "block", *(f"c{i}" for i in range(columns))]
 
         def out(batches):
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    part, places, arrays = send(row)
-                    order = np.argsort(part, kind="stable")
-                    parts, first = np.unique(part[order], return_index=True)
-                    cut = np.split(order, first[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([row[0]] * len(parts), pa.int64()), pa.array([_pack(places[o].astype("<u4")) for o in cut], pa.binary()), *(pa.array([_pack64(v[o]) for o in cut], pa.binary()) for v in arrays)], names=names)
+                    part, arrays, pack = send(row)
+                    order, parts, first = cut(part)
+                    packed = [pack([v[o] for v in arrays]) for o in np.split(order, first[1:])] if len(parts) else []
+                    yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([row[0]] * len(parts), pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(columns))], names=names)
 
         def back(batches):
-            for part, (blocks, places, *packed) in _groups(batches, columns + 2):
-                p = [_open(x, "<u4") for x in places]
-                arrays = [np.concatenate([_open64(x) for x in c]) for c in packed]
-                values, n = receive(arrays, np.repeat(np.array(blocks), [len(x) for x in p]), np.concatenate(p))
-                cuts = np.cumsum([len(x) for x in p])[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(places, pa.binary()), pa.array([_pack64(v) for v in np.split(values, cuts)], pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64())], names=["block", "part", "places", "found", "n"])
-
-        sent = level.mapInArrow(out, ddl).repartition(self.n_parts, "part").sortWithinPartitions("part", "block")
-        got = written(sent.mapInArrow(back, "block long, part long, places binary, found binary, n long"), "suffix-ranges", "none")
-        let_go(self.spark)
-        counts = {r["part"]: r["n"] for r in got.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-        below, total = {}, 0
-        for part in sorted(counts):
-            below[part], total = total, total + counts[part]
-        return got.drop("n"), below, total
-
-    def assembled(self, found: DataFrame, below: dict[int, int], blocks: DataFrame) -> DataFrame:
-        """(block, *columns of blocks, values): values by place number, from one."""
+            for part, (blocks, *packed) in _groups(batches, columns + 1):
+                values, sizes, n, extra = receive(packed, np.array(blocks), part)
+                found = [_pack(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(found, pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64()), pa.array([extra] + [None] * (len(blocks) - 1), pa.binary())], names=["block", "part", "found", "n", "extra"])
+
+        sent = level.mapInArrow(out, "part long, block long" + "".join(f", c{i} binary" for i in range(columns)))
+        sent = sent.repartition(self.n_parts, "part").sortWithinPartitions("part", "block")
+        return written(sent.mapInArrow(back, "block long, part long, found binary, n long, extra binary"), "suffix-ranges", "none")
+
+    def back(self, found: DataFrame, level: DataFrame, answer, fields: str, names: list[str]) -> DataFrame:
+        """``answer(row, values)`` for each block, with the values in the order of ``send``'s rows; both sides have one row or few a block."""
+        send, cut, width = self.send, self.cut, len(level.columns)
+        none = [F.lit(None).cast(t).alias(c) for c, t in level.dtypes if c != "block"]
+        mine = found.select("block", "part", "found", *none)
+        theirs = level.select("block", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("found"), *[c for c in level.columns if c != "block"])
 
         def run(batches):
-            for block, (parts, places, values, data) in _groups(batches, 4):
-                size = max((int(_open(p, "<u4").max()) for p in places if p is not None), default=-1) + 1
-                out = np.zeros(size, np.uint64)
-                for part, p, v in zip(parts, places, values, strict=True):
-                    if p is not None:
-                        out[_open(p, "<u4")] = _open64(v) + np.uint64(below[part] + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([next(d for d in data if d is not None)], pa.binary()), pa.array([_pack64(out)], pa.binary())], names=["block", "symbols", "values"])
-
-        none = F.lit(None).cast("binary")
-        both = found.select("block", "part", "places", "found", none.alias("symbols")).unionByName(blocks.select("block", F.lit(None).cast("long").alias("part"), none.alias("places"), none.alias("found"), "symbols"))
-        met = both.repartition("block").sortWithinPartitions("block")
-        out = written(met.mapInArrow(run, "block long, symbols binary, values binary"), "suffix-blocks", "none")
-        let_go(self.spark)
-        return out
-
-    def merged(self, named: DataFrame, cuts: np.ndarray, bits: int) -> DataFrame:
-        """(block, symbols, values): ranks of all suffixes, from the ranks of those at 1 and 2 mod 3."""
-        width = 4 if 2 * bits <= 64 else 5
-        found, below, _ = self.exchanged(named, _send_suffixes(cuts, bits), lambda arrays, _, places: (merge_order(*_suffix_arrays(arrays, places, bits)), len(places)), width)
-        out = self.assembled(found, below, named)
-        erase(found)
-        return out
+            for block, (parts, values, *rest) in _groups(batches, width + 1):
+                row = (block, *(c[0] for c in rest))
+                part, _, _ = send(row)
+                order, _, _ = cut(part)
+                out = np.zeros(len(order), np.uint64)
+                if len(order):
+                    out[order] = np.concatenate([_open(v) + np.uint64(add) for v, add in zip(values[1:], self.below(parts[1:]), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in answer(row, out))], names=names)
+
+        return mine.unionByName(theirs).repartition(self.n_parts, "block").sortWithinPartitions("block", "part").mapInArrow(run, fields)
+
+    starts: dict[int, int] | None = None
+
+    def below(self, parts: list[int]) -> list[int]:
+        return [self.starts[p] if self.starts else 0 for p in parts]
+
+    def count(self, found: DataFrame) -> int:
+        """The number of values in all ranges; from now on answers count from one over all of them."""
+        counts = {r["part"]: r["n"] for r in found.where("n > 0").select("part", "n").collect()}
+        self.starts, total = {}, 0
+        for part in sorted(counts):
+            self.starts[part], total = total + 1, total + counts[part]
+        return total
 
 
-def _suffix_arrays(arrays: list[np.ndarray], places: np.ndarray, bits: int):
-    """(class, first symbol, second symbol, own rank, next rank, rank after that)."""
-    *pair, own, one, two = arrays
-    a, b = (pair[0] >> np.uint64(bits), pair[0] & np.uint64((1 << bits) - 1)) if len(pair) == 1 else pair
-    return places % 3, a, b, own, one, two
+class _Names(_Exchange):
+    """Names of the triples at 1 and 2 mod 3: their ranks."""
 
+    def __init__(self, level: DataFrame, n_parts: int, bits: int) -> None:
+        width = 1 if 3 * bits <= 64 else 2 if 2 * bits <= 64 else 3
 
-def _count_places(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(_open64(x))) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+        def keys(row):
+            s = _open(row[1])
+            return _triples(s, np.flatnonzero(np.arange(len(s)) % 3), bits)
 
+        cuts = _splitters(level, n_parts, width, lambda row, at: _triples(_open(row[1]), at, bits))
 
-def _next_level(batches):
-    """Names at 1 mod 3, a zero, names at 2 mod 3."""
-    for batch in batches:
-        rows = [_open64(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack64(np.concatenate([v[1::3], np.zeros(1, np.uint64), v[2::3]])) for v in rows], pa.binary())], names=["block", "symbols"])
+        def pack(arrays):
+            return [_pack_rising(arrays[0]), *map(_pack, arrays[1:])]
 
+        def send(row):
+            own, _ = _distinct(keys(row))
+            return _before(own, cuts), own, pack
 
-def _level_ranks(batches):
-    """Ranks of the next level's suffixes, put at the places they stand for."""
-    for batch in batches:
-        out = []
-        for symbols, ranks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n, r = len(_open64(symbols)), _open64(ranks)
-            values = np.zeros(n, np.uint64)
-            ones = len(values[1::3])
-            r = np.concatenate([r, np.zeros(max(0, ones + 1 + len(values[2::3]) - len(r)), np.uint64)])
-            values[1::3], values[2::3] = r[:ones], r[ones + 1 : ones + 1 + len(values[2::3])]
-            out.append(_pack64(values))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "symbols", "values"])
+        def receive(packed, blocks, part):
+            arrays = [[(_open_rising if i == 0 else _open)(x) for x in c] for i, c in enumerate(packed)]
+            own, which = _distinct([np.concatenate(a) for a in arrays])
+            return which.astype(np.uint64), [len(x) for x in arrays[0]], len(own[0]), None
 
+        super().__init__(n_parts, send, receive, width)
+        self.keys = keys
 
-def _send_suffixes(cuts: np.ndarray, bits: int, more=None):
-    """Of every suffix: first two symbols, own rank, and the ranks one and two places on (of these three, those known)."""
+    def named(self, found: DataFrame, level: DataFrame) -> DataFrame:
+        """(block, symbols, names by place: zero at 0 mod 3)."""
+        keys = self.keys
 
-    def send(row):
-        s, r = _open64(row[1]), _open64(row[2])
-        at = np.arange(len(s))
-        r = np.concatenate([r, np.zeros(len(s) + 3 - len(r), np.uint64)])
-        a, b, _ = _Sorter.triple(s, at)
-        arrays = [*_packed_pair(a, b, bits), r[: len(s)], r[at + 1], r[at + 2]]
-        part = np.searchsorted(cuts, _Sorter.range_key(a, b, bits), "right")
-        if more is None:
-            return part, at, arrays
-        extra, keep = more(row)
-        return part[keep], at[keep], [x[keep] for x in (*arrays, *extra)]
+        def answer(row, names):
+            s = _open(row[1])
+            values = np.zeros(len(s), np.uint64)
+            values[np.arange(len(s)) % 3 > 0] = names[_distinct(keys(row))[1]]
+            return row[1], _pack(values)
 
-    return send
+        return written(self.back(found, level, answer, "block long, symbols binary, values binary", ["block", "symbols", "values"]), "suffix-named", "none")
 
 
 def merge_order(kind, a, b, own, one, two) -> np.ndarray:
@@ -377,148 +543,244 @@ def merge_order(kind, a, b, own, one, two) -> np.ndarray:
     return at
 
 
-def _repeats(length: int, bits: int):
-    """Order the suffixes of a range, and mark those whose first ``length`` bytes occur at an earlier place."""
+class _Merge(_Exchange):
+    """Order of all suffixes, from (block, symbols, ranks at 1 and 2 mod 3); with ``length``, which of them repeat."""
+
+    WIDTH = 7
+
+    def __init__(self, ranked: DataFrame, n_parts: int, length: int = 0) -> None:
+        def known(row):
+            s, r = _open(row[1]), _open(row[2])
+            r = np.concatenate([r, np.zeros(len(s) + 3 - len(r), np.uint64)])
+            return np.concatenate([s, np.zeros(3, np.uint64)]), r
+
+        def pick(row, at):
+            """Of suffixes at 1 mod 3: own rank, symbol, rank of the next place."""
+            s, r = known(row)
+            at = at // 3 * 3 + 1
+            at = at[at < len(s) - 3]
+            return r[at], s[at], r[at + 1]
+
+        cuts = _splitters(ranked.select("block", "symbols", "values"), n_parts, 3, pick)
+        new = _heads(cuts[0])  # ranks tie where they are equal for long enough
+        cuts = [c[new] for c in cuts]
+
+        def rows(row):
+            """Which places are sent, in order, and for the last order the hash of each one's prefix."""
+            s = _open(row[1])
+            if not length:
+                return np.arange(len(s)), None
+            sizes = _open(row[3]).astype(np.int64)
+            (h,) = run_hashes(s, length)
+            left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
+            at = np.flatnonzero(left >= length)
+            # Of places with one prefix the first is sent: the others are repeats.
+            order = np.argsort(h[at], kind="stable")
+            at = np.sort(at[order[_heads(h[at][order])]])
+            return at, h[at]
+
+        def pack(arrays):
+            """Ranks that are unknown, or needed for no comparison, are left out."""
+            kind, a, b, own, one, two, *more = arrays
+            return [_pack(kind), _pack(a), _pack(b[kind != 1]), _pack(own[kind > 0]), _pack(one[kind < 2]), _pack(two[kind != 1]), _pack(more[0]) if more else b""]
+
+        def send(row):
+            at, h = rows(row)
+            s, r = known(row)
+            kind = (at % 3).astype(np.uint64)
+            part = np.empty(len(at), np.int64)
+            zero = kind == 0
+            part[~zero] = np.searchsorted(cuts[0], r[at[~zero]], "right")
+            part[zero] = _before([s[at[zero]], r[at[zero] + 1]], cuts[1:]) if len(cuts[0]) else 0
+            return part, [kind, s[at], s[at + 1], r[at], r[at + 1], r[at + 2], *([h] if length else [])], pack
+
+        def opened(packed):
+            kind = [_open(x) for x in packed[0]]
+            sizes = [len(x) for x in kind]
+            kind = np.concatenate(kind)
+
+            def spread(column, some):
+                out = np.zeros(len(kind), np.uint64)
+                out[some] = np.concatenate([_open(x) for x in column])
+                return out
+
+            every = np.ones(len(kind), bool)
+            masks = [every, kind != 1, kind > 0, kind < 2, kind != 1]
+            return sizes, kind, [spread(c, m) for c, m in zip(packed[1:6], masks, strict=True)]
+
+        def order_in(packed, blocks, part):
+            sizes, kind, arrays = opened(packed)
+            return merge_order(kind, *arrays), sizes, len(kind), None
+
+        def repeats_in(packed, blocks, part):
+            """A value of one for each suffix whose prefix occurs at an earlier place; rows come in the order of blocks and places."""
+            sizes, kind, arrays = opened(packed)
+            h = np.concatenate([_open(x) for x in packed[6]])
+            order = np.empty(len(h), np.int64)
+            order[merge_order(kind, *arrays).astype(np.int64)] = np.arange(len(h))
+            new = _heads(h[order])
+            run = np.cumsum(new) - 1
+            first = np.minimum.reduceat(order, np.flatnonzero(new))
+            repeat = np.ones(len(h), np.uint64)
+            repeat[first] = 0
+            of, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+            tell = lambda k: [int(blocks[of[first[k]]]), int(first[k] - begin[of[first[k]]])]
+            ends = [*tell(0), *tell(-1), int(h[order[0]]), int(h[order[-1]]), int(run[-1] + 1)]
+            return repeat, sizes, len(h), np.array([x if x < 1 << 63 else x - (1 << 64) for x in ends], np.int64).tobytes()
+
+        super().__init__(n_parts, send, repeats_in if length else order_in, self.WIDTH)
+        self.rows = rows
+
+    def carried(self, found: DataFrame) -> dict[int, dict[int, list[int]]]:
+        """Runs that go on over ranges: block to part to the answers (by number) that are repeats after all."""
+        ends = sorted((r["part"], np.frombuffer(r["extra"], np.int64).tolist()) for r in found.where("extra is not null").select("part", "extra").collect())
+        late: dict[int, dict[int, list[int]]] = {}
+        best, last = None, None  # the first place so far, as (block, part, answer), of the run that ends the range before
+        for part, (b0, k0, b1, k1, h0, h1, runs) in ends:
+            opening, closing = (b0, part, k0), (b1, part, k1)
+            if last is not None and last == h0:
+                # Ranges of one block's suffixes do not go by place: places are compared by the blocks that hold them.
+                kept, lost = self.earlier(best, opening)
+                late.setdefault(lost[0], {}).setdefault(lost[1], []).append(lost[2])
+                opening = kept
+            best, last = (opening if runs == 1 else closing), h1
+        return late
 
-    def receive(arrays, blocks, places):
-        *suffix, h = arrays
-        order = np.empty(len(h), np.int64)
-        order[merge_order(*_suffix_arrays(suffix, places, bits)).astype(np.int64)] = np.arange(len(h))
-        same = np.zeros(len(order), bool)
-        same[1:] = h[order[1:]] == h[order[:-1]]
-        run = np.cumsum(~same)
-        first = np.lexsort((places[order], blocks[order], run))
-        start = np.ones(len(order), bool)
-        start[1:] = run[first[1:]] != run[first[:-1]]
-        repeat = np.zeros(len(order), np.uint64)
-        repeat[order[first[~start]]] = 1
-        return repeat, len(order)
-
-    return receive
+    @staticmethod
+    def earlier(x, y):
+        """Places with one prefix are in different blocks, as a block sends each prefix once."""
+        return (x, y) if x[0] < y[0] else (y, x)
 
 
-def _prefix_hashes(length: int):
-    """The hash of the first ``length`` bytes of each suffix of a block's row (its fourth column: sizes), and which suffixes have as many."""
+def _next_level(batches):
+    """Names at 1 mod 3, a zero, names at 2 mod 3."""
+    for batch in batches:
+        rows = [_open(x) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(np.concatenate([v[1::3], np.zeros(1, np.uint64), v[2::3]])) for v in rows], pa.binary())], names=["block", "symbols"])
 
-    def more(row):
-        s, sizes = _open64(row[1]), _open(row[3], "<i8")
-        h = run_hashes(s, length)
-        left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
-        return [np.concatenate([h, np.zeros(len(s) - len(h), np.uint64)])], left >= length
 
-    return more
+def _level_ranks(symbols: bytes, ranks: np.ndarray) -> bytes:
+    """Ranks of the next level's suffixes, put at the places they stand for."""
+    values = np.zeros(len(_open(symbols)), np.uint64)
+    ones = len(values[1::3])
+    values[1::3], values[2::3] = ranks[:ones], ranks[ones + 1 : ones + 1 + len(values[2::3])]
+    return _pack(values)
 
 
-def _covered(length: int):
-    """Blocks (block, places, found, rows, starts, sizes) to removed stretches (row, start, end), merged within segments."""
+def _ranked(batches):
+    for batch in batches:
+        out = [_level_ranks(s, _open(r)) for s, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "symbols", "values"])
 
-    def run(batches):
-        for _, (places, found, rows, starts, sizes) in _groups(batches, 5):
-            meta = next(i for i, x in enumerate(rows) if x is not None)
-            r, s, n = (_open(c[meta], "<i8") for c in (rows, starts, sizes))
-            begin = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
-            hits = [_open(p, "<u4")[_open64(v) == 1] for p, v in zip(places, found, strict=True) if p is not None]
-            at = np.sort(np.concatenate(hits)).astype(np.int64) if hits else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            seg = np.searchsorted(begin, at, "right") - 1
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] > at[:-1] + length) | (seg[1:] != seg[:-1])
-            head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(at)) - 1
-            offset = s[seg[head]] - begin[seg[head]]
-            yield pa.RecordBatch.from_arrays([pa.array(r[seg[head]]), pa.array(at[head] + offset), pa.array(at[tail] + length + offset)], names=["row", "start", "end"])
 
-    return run
+def _count_places(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(_open(x))) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
 
 
-def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame | None:
-    """(row, start, end): bytes of ``texts(row, text binary)`` covered by repeated runs; rows in order are documents in order. None if there are none."""
-    spark = texts.sparkSession
-    n_buckets = max(8, n_bytes >> 25)
-    hits = texts.select("row", "text").mapInArrow(_anchor_rows(length, n_buckets), "bucket long, hashes binary, rows binary, places binary")
-    hits = hits.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_anchors, "row long, places binary")
-    hits = hits.groupBy("row").agg(F.collect_list("places").alias("places"))
-    segments = texts.join(hits, "row").select("row", "text", "places").mapInArrow(_segments(length), "row long, start long, segment binary")
-    segments = segments.repartitionByRange(max(1, n_bytes >> 24), "row", "start").sortWithinPartitions("row", "start")
-    blocks = written(segments.mapInArrow(_blocks, "block long, rows binary, starts binary, sizes binary, text binary"), "suffix-text", "none")
-    n_blocks = blocks.count()
-    if not n_blocks:
-        return None
-    sorter = _Sorter(spark, max(4, n_blocks))
-    level = written(blocks.select("block", "text").mapInArrow(_widened, "block long, symbols binary"), "suffix-level", "none")
-    named, cuts, bits = _sample_ranks(sorter, level, 9, 1, length)
-    data = named.select("block", "symbols", "values").join(blocks.select("block", "sizes"), "block").select("block", "symbols", "values", "sizes")
-    found, _, _ = sorter.exchanged(data, _send_suffixes(cuts, bits, _prefix_hashes(length)), _repeats(length, bits), 5 if 2 * bits <= 64 else 6)
-    none = F.lit(None).cast("binary")
-    meta = blocks.select("block", none.alias("places"), none.alias("found"), "rows", "starts", "sizes")
-    told = found.select("block", "places", "found", none.alias("rows"), none.alias("starts"), none.alias("sizes")).unionByName(meta)
-    return told.repartition("block").sortWithinPartitions("block").mapInArrow(_covered(length), "row long, start long, end long")
-
-
-def _sample_ranks(sorter: _Sorter, level: DataFrame, bits: int, covered: int, length: int):
-    """Ranks of the suffixes at 1 and 2 mod 3 of a level: their names, or, where these do not tell, the ranks of the next level."""
-    named, cuts, following, n_names = _names(sorter, level, bits, covered, length)
-    if following is not None:
-        below, below_cuts, below_bits = _sample_ranks(sorter, following, max(1, n_names.bit_length()), 3 * covered, length)
-        ranks = sorter.merged(below, below_cuts, below_bits)
-        pairs = named.select("block", "symbols").join(ranks.select("block", F.col("values").alias("r")), "block").select("block", "symbols", "r")
-        ranked = written(pairs.mapInArrow(_level_ranks, "block long, symbols binary, values binary"), "suffix-ranked", "none")
-        for table in (named, following, below, ranks):
-            erase(table)
-        named = ranked
-    return named, cuts, bits
-
-
-def _names(sorter: _Sorter, level: DataFrame, bits: int, covered: int, length: int):
-    cuts, key, triple = sorter.splitters(level, bits), sorter.range_key, sorter.triple
-
-    def send(row):
-        s = _open64(row[1])
-        at = np.flatnonzero(np.arange(len(s)) % 3)
-        abc = triple(s, at)
-        return np.searchsorted(cuts, key(abc[0], abc[1], bits), "right"), at, _packed_triple(*abc, bits)
-
-    def receive(keys, _, __):
-        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-        new = np.zeros(len(order), bool)
-        for x in keys:
-            ordered = x[order]
-            new[1:] |= ordered[1:] != ordered[:-1]
-        names = np.empty(len(order), np.uint64)
-        names[order] = np.cumsum(new)
-        return names, int(new.sum()) + 1
-
-    found, below, n_names = sorter.exchanged(level.select("block", "symbols"), send, receive, 1 if 3 * bits <= 64 else 2 if 2 * bits <= 64 else 3)
-    named = sorter.assembled(found, below, level)
+def sample_ranks(level: DataFrame, n_parts: int, bits: int, covered: int, length: int) -> DataFrame:
+    """(block, symbols, values): ranks at 1 and 2 mod 3 of ``level(block, symbols)``: their names, or, where these do not tell, the ranks of the next level."""
+    names = _Names(level, n_parts, bits)
+    found = names.ranges(level)
+    n_names = names.count(found)
+    named = names.named(found, level)
     erase(found)
     n_places = named.select("values").mapInArrow(_count_places, "n long").agg(F.sum("n")).first()[0] or 0
     if n_names == n_places or 3 * covered >= length:
-        return named, cuts, None, n_names
-    return named, cuts, written(named.select("block", "values").mapInArrow(_next_level, "block long, symbols binary"), "suffix-level", "none"), n_names
+        return named
+    following = written(named.select("block", "values").mapInArrow(_next_level, "block long, symbols binary"), "suffix-level", "none")
+    erase(named)
+    below = sample_ranks(following, n_parts, max(1, n_names.bit_length()), 3 * covered, length)
+    erase(following)
+    merge = _Merge(below, n_parts)
+    found = merge.ranges(below)
+    merge.count(found)
+    ranks = written(merge.back(found, below, lambda row, values: [_pack(values)], "block long, ranks binary", ["block", "ranks"]), "suffix-ranks", "none")
+    out = written(level.select("block", "symbols").join(ranks, "block").select("block", "symbols", "ranks").mapInArrow(_ranked, "block long, symbols binary, values binary"), "suffix-ranked", "none")
+    for table in (found, below, ranks):
+        erase(table)
+    return out
+
+
+def _covered(length: int, merge: _Merge, late: dict[int, dict[int, list[int]]]):
+    """A block's answers to removed stretches: packed rows, starts and ends."""
+
+    def answer(row, values):
+        at, _ = merge.rows(row)
+        part, _, _ = merge.send(row)
+        order, _, _ = merge.cut(part)
+        for p, lost in late.get(row[0], {}).items():
+            values[order[part[order] == p][lost]] = 1
+        sizes, r, s = _open(row[3]).astype(np.int64), _open_rising(row[4]).astype(np.int64), _open(row[5]).astype(np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        symbols = _open(row[1])
+        (h,) = run_hashes(symbols, length)
+        left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
+        sent = np.zeros(len(left), bool)
+        sent[at] = True
+        hits = np.sort(np.concatenate([np.flatnonzero((left >= length) & ~sent), at[values == 1]]))
+        seg = np.searchsorted(begin, hits, "right") - 1
+        place = hits - begin[seg] + s[seg]
+        row_, a, b = _stretches(r[seg], place, place + length)
+        return _pack_rising(row_.astype(np.uint64)), _pack(a), _pack(b)
 
+    return answer
 
-def _widened(batches):
+
+def _listed(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack64(_open(x, "<u2").astype(np.uint64)) for x in batch.column(1).to_pylist()], pa.binary())], names=["block", "symbols"])
+        r, a, b = ([(_open_rising if i == 0 else _open)(x) for x in batch.column(1 + i).to_pylist()] for i in range(3))
+        r, a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (r, a, b))
+        first = np.flatnonzero(_heads(r)) if len(r) else np.zeros(0, np.int64)
+        ends = [*first[1:].tolist(), len(r)]
+        yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array([np.stack([a[i:j], b[i:j]]).astype("<i8").tobytes() for i, j in zip(first.tolist(), ends, strict=False)], pa.binary())], names=["row", "stretches"])
+
+
+def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame:
+    """(row, stretches): packed starts and ends, in several rows for one text, of the bytes of ``texts(row, text binary)`` that repeated runs cover. Rows in order are documents in order."""
+    n_buckets = max(8, n_bytes >> 25)
+    run, fields = _send_anchors(length, n_buckets)
+    hits = texts.select("row", "text").mapInArrow(run, fields).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    hits = hits.mapInArrow(_classes, "chunk long, rows binary, places binary, sort binary").repartition(n_buckets, "chunk").sortWithinPartitions("chunk")
+    hits = written(hits.mapInArrow(_row_stretches(length), "row long, repeats binary, wanted binary"), "suffix-hits")
+    repeats = hits.where("repeats is not null").select("row", F.col("repeats").alias("stretches"))
+    segments = texts.join(hits.where("wanted is not null").select("row", "wanted"), "row").select("row", "text", "wanted").mapInArrow(_segments, "row long, start long, segment binary")
+    segments = segments.repartitionByRange(max(1, n_bytes >> 24), "row", "start").sortWithinPartitions("row", "start")
+    blocks = written(segments.mapInArrow(_blocks, "block long, rows binary, starts binary, sizes binary, symbols binary"), "suffix-text", "none")
+    n_parts = max(4, blocks.count())
+    if blocks.isEmpty():
+        return repeats
+    level = blocks.select("block", "symbols")
+    ranked = sample_ranks(level, n_parts, 9, 1, length)
+    ready = written(ranked.join(blocks.select("block", "sizes", "rows", "starts"), "block").select("block", "symbols", "values", "sizes", "rows", "starts"), "suffix-ready", "none")
+    erase(ranked)
+    erase(blocks)
+    merge = _Merge(ready, n_parts, length)
+    found = merge.ranges(ready)
+    told = merge.back(found, ready, _covered(length, merge, merge.carried(found)), "block long, rows binary, starts binary, ends binary", ["block", "rows", "starts", "ends"])
+    told = written(told.mapInArrow(_listed, "row long, stretches binary"), "suffix-stretches")
+    erase(found)
+    erase(ready)
+    return repeats.unionByName(told)
+
+
+# --- documents -------------------------------------------------------------------------------------------------------
 
 
 def _cut_out(batches):
-    """(row, text, copy, starts, ends) to what is left of each text."""
+    """(row, text, packed stretches) to what is left of each text."""
     for batch in batches:
         out = []
-        for text, stretches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for x in sorted(stretches or [], key=lambda x: x["s"]):
-                if merged and x["s"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x["e"])
-                else:
-                    merged.append([x["s"], x["e"]])
+        for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            both = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in packed or []] or [np.zeros((2, 0), np.int64)], axis=1)
+            _, a, b = _stretches(np.zeros(both.shape[1], np.int64), both[0], np.minimum(both[1], len(text)))
             kept, at = hashlib.sha256(), 0
-            for a, b in merged:
-                kept.update(text[at:a])
-                at = b
+            merged = list(zip(a.tolist(), b.tolist(), strict=True))
+            for s, e in merged:
+                kept.update(text[at:s])
+                at = e
             kept.update(text[at:])
-            out.append((len(text), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), [{"start": a, "end": b} for a, b in merged]))
+            out.append((len(text), int((b - a).sum()), len(merged), kept.hexdigest(), [{"start": s, "end": e} for s, e in merged]))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
@@ -533,30 +795,28 @@ def dedup_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_
     order = firsts.select("digest", "n", "f").repartitionByRange(F.col("f"), F.col("digest")).sortWithinPartitions("f", "digest")
     order = written(order.select("digest", "n", F.col("f.i").alias("first"), F.monotonically_increasing_id().alias("row")), "suffix-order")
     n_bytes = order.agg(F.sum("n")).first()[0] or 0
-    out_fields = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>"
+    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     if not n_bytes:
-        return docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
+        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256"), nothing.alias("removed"))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
-    one = keyed.join(order, "digest").where(F.col("id").eqNullSafe(F.col("first"))).select("row", "digest", "text").dropDuplicates(["digest"]).select("row", "text")
-    texts = written(one, "suffix-texts")
-    found = repeated_stretches(texts, length, n_bytes)
-    if found is None:
-        left = texts.withColumn("x", F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    else:
-        by = found.groupBy("row").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("x"))
-        left = texts.join(by, "row", "left").select("row", "text", "x")
-    told = written(left.mapInArrow(_cut_out, out_fields), "suffix-told")
-    # Of rows with one text the first has what was found for it; the others go whole. Of rows alike in id and text, all are first.
+    keyed = keyed.join(order, "digest").where(F.col("id").eqNullSafe(F.col("first"))).select("row", "digest", "text").dropDuplicates(["digest"]).select("row", "text")
+    texts = written(keyed, "suffix-texts")
+    by = repeated_stretches(texts, length, n_bytes).groupBy("row").agg(F.collect_list("stretches").alias("x"))
+    left = texts.join(by, "row", "left").select("row", "text", "x")
+    told = written(left.mapInArrow(_cut_out, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>"), "suffix-told")
+    erase(texts)
+    # Of rows with one text the first has what was found for it; the others, those alike in id and text included, go whole.
     told = told.join(order.select("row", "digest", "first"), "row").drop("row")
-    met = rows.join(told, "digest", "left")
-    copy = F.col("n_bytes").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    alike = rows.groupBy("id", "digest", "n").count()
+    met = alike.join(told, "digest", "left").withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
+    copy = F.col("n_bytes").isNotNull() & (~F.col("id").eqNullSafe(F.col("first")) | (F.col("no") > 1))
     pick = lambda whole, own, short: F.when(copy, whole).when(F.col("n_bytes").isNotNull(), own).otherwise(short)
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return met.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_bytes"),
-        pick(F.col("n"), F.col("n_removed"), F.lit(0).cast("long")).alias("n_removed"),
-        pick(F.lit(1).cast("long"), F.col("n_spans"), F.lit(0).cast("long")).alias("n_spans"),
+        pick(F.col("n"), F.col("n_removed"), zero).alias("n_removed"),
+        pick(one, F.col("n_spans"), zero).alias("n_spans"),
         pick(F.sha2(F.lit(b""), 256), F.col("kept_sha256"), F.col("digest")).alias("kept_sha256"),
-        pick(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))), F.col("removed"), nothing).alias("removed"),
+        pick(F.array(F.struct(zero.alias("start"), F.col("n").alias("end"))), F.col("removed"), nothing).alias("removed"),
     )
