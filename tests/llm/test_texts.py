@@ -138,6 +138,7 @@ def removed(docs, length):
 def test_suffixes(odd_docs, no_docs, length, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 5000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 9000)
     got = suffix_dedup.dedup_runs(odd_docs, length).collect()
     ordered = sorted(rows(odd_docs), key=lambda r: (r[0] is not None, r[0] or 0))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(ordered, length)

@@ -45,15 +45,15 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import erase, written
 
 #: Bytes of text in a block, in a task's group of texts while anchors are found, and places of a block that are sampled.
 BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 20, 1 << 24, 16
-#: Texts longer than this are searched for anchors in parts.
-PART_BYTES = 1 << 22
+#: Texts are searched for anchors so many bytes at a time, which fit in a processor's cache; longer ones in parts that overlap.
+PART_BYTES = 1 << 18
 GRAM = 50
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -368,14 +368,36 @@ def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[order[new]] for k in keys], which
 
 
-def _before(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
-    """Of each row of ``columns``, how many of the (rising) rows of ``cuts`` are not above it."""
-    if len(cuts) == 1:
-        return np.searchsorted(cuts[0], columns[0], "right")
-    order = np.lexsort([*[np.concatenate([c, x]) for c, x in zip(cuts, columns, strict=True)][::-1]])
-    is_cut = order < len(cuts[0])
+def _bits(*arrays: np.ndarray) -> int:
+    return max(int(x.max(initial=0)) for x in arrays).bit_length()
+
+
+def _one_key(columns: list[np.ndarray], *more: list[np.ndarray]) -> list[np.ndarray] | None:
+    """The columns of each list as one key, in the same order; None if that takes over 64 bits."""
+    lists = [columns, *more]
+    low = [min((int(x[i].min()) for x in lists if len(x[i])), default=0) for i in range(len(columns))]
+    lists = [[c - np.uint64(a) for c, a in zip(x, low, strict=True)] for x in lists]
+    widths = [_bits(*(x[i] for x in lists)) for i in range(len(columns))]
+    if sum(widths) > 64:
+        return None
+    out = []
+    for x in lists:
+        key = x[0]
+        for c, w in zip(x[1:], widths[1:], strict=True):
+            key = (key << np.uint64(w) | c) if w < 64 else c
+        out.append(key)
+    return out
+
+
+def _before(columns: list[np.ndarray], cuts: list[np.ndarray], side: str = "right") -> np.ndarray:
+    """Of each row of ``columns``, how many of the (rising) rows of ``cuts`` are not above it (below it, for "left")."""
+    if (keys := _one_key(columns, cuts)) is not None:
+        return np.searchsorted(keys[1], keys[0], side)
+    first, second = (cuts, columns) if side == "right" else (columns, cuts)
+    order = np.lexsort([*[np.concatenate(c) for c in zip(first, second, strict=True)][::-1]])
+    is_cut = (order < len(first[0])) == (side == "right")
     out = np.empty(len(columns[0]), np.int64)
-    out[order[~is_cut] - len(cuts[0])] = np.cumsum(is_cut)[~is_cut]
+    out[order[~is_cut] - (len(cuts[0]) if side == "right" else 0)] = np.cumsum(is_cut)[~is_cut]
     return out
 
 
@@ -417,7 +439,7 @@ class _Exchange:
 
     @staticmethod
     def cut(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.int16) if part.max(initial=0) < 1 << 15 else part, kind="stable")
         parts, first = np.unique(part[order], return_index=True)
         return order, parts, first
 
@@ -519,24 +541,17 @@ class _Names(_Exchange):
 
 def merge_order(kind, a, b, own, one, two) -> np.ndarray:
     """Place in the order of each suffix, from zero: those at 0 mod 3 merged with the others."""
-    zero, k1, k2 = (np.flatnonzero(kind == k) for k in range(3))
-    others = np.concatenate([k1, k2])
+    zero = np.flatnonzero(kind == 0)
+    others = np.flatnonzero(kind != 0)
     others = others[np.argsort(own[others], kind="stable")]
-    zero = zero[np.lexsort((one[zero], a[zero]))]
-
-    def less(group, keys):
-        """For each of zero, how many of ``group`` come before it."""
-        both = np.concatenate([zero, group])
-        order = np.lexsort([k[both] for k in keys[::-1]])
-        is_group = order >= len(zero)
-        out = np.empty(len(zero), np.int64)
-        out[order[~is_group]] = np.cumsum(is_group)[~is_group]
-        return out
-
-    before = less(k1, [a, one]) + less(k2, [a, b, two])
+    key = _one_key([a[zero], one[zero]])
+    zero = zero[np.lexsort((one[zero], a[zero])) if key is None else np.argsort(key[0], kind="stable")]
+    # Suffixes of one class in order of rank are in order of the keys that suffixes at 0 mod 3 are compared with them by.
+    k1, k2 = others[kind[others] == 1], others[kind[others] == 2]
+    before = sum(_before([k[zero] for k in keys], [k[group] for k in keys], "left") for group, keys in ((k1, [a, one]), (k2, [a, b, two])))
     at = np.empty(len(kind), np.uint64)
     # ``before`` ascends with zero's order up to ties beyond the sorted depth; made monotone so that places are distinct.
-    before = np.maximum.accumulate(before) if len(before) else before
+    before = np.maximum.accumulate(before) if len(zero) else before
     at[zero] = np.arange(len(zero)) + before
     rest = np.arange(len(others)) + np.searchsorted(before, np.arange(len(others)), "right")
     at[others] = rest
@@ -800,8 +815,11 @@ def dedup_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_
     if not n_bytes:
         return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256"), nothing.alias("removed"))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
-    keyed = keyed.join(order, "digest").where(F.col("id").eqNullSafe(F.col("first"))).select("row", "digest", "text").dropDuplicates(["digest"]).select("row", "text")
-    texts = written(keyed, "suffix-texts")
+    # By id as well, so that copies, which may be a third of all rows, are dealt over all tasks; of rows alike in both, one.
+    firsts = order.select("row", F.col("digest").alias("of"), "first")
+    keyed = keyed.join(firsts, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")))
+    keyed = keyed.withColumn("no", F.row_number().over(Window.partitionBy("digest", "id").orderBy("row"))).where("no = 1")
+    texts = written(keyed.select("row", "text"), "suffix-texts")
     by = repeated_stretches(texts, length, n_bytes).groupBy("row").agg(F.collect_list("stretches").alias("x"))
     left = texts.join(by, "row", "left").select("row", "text", "x")
     told = written(left.mapInArrow(_cut_out, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>"), "suffix-told")
