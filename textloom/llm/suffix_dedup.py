@@ -4,9 +4,9 @@ Reduction, exact: of equal texts only the first is sorted (every byte of the
 others is repeated, if they have ``length`` bytes at all). Winnowing marks one
 anchor in every run of ``length`` bytes, by content alone, so equal runs share
 their anchors. An anchor's context is all runs that hold it at its place; of
-equal contexts, too, only the first is sorted (the others are repeated whole),
-and contexts whose anchor occurs once in all texts hold no repeated run. What is
-left is sorted, in segments.
+equal contexts, too, only the first counts (the others are repeated whole), and
+one whose anchor has no other context then holds no repeated run. What is left
+is sorted, in segments.
 
 Sort: segments are packed into blocks, in the order of documents and starts.
 Every block is a string of its own, so the recursion stays inside blocks and
@@ -50,8 +50,9 @@ from pyspark.sql import functions as F
 
 from .storage import erase, written
 
-#: Bytes of text in a block, in a task's group of texts while anchors are found, and places of a block that are sampled.
-BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 20, 1 << 24, 16
+#: Bytes of text in a block (of up to a GB of texts; it doubles with each four times as much, so that pieces of blocks in ranges
+#: don't get too small), in a task's group of texts while anchors are found, and places of a block that are sampled.
+BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 18, 1 << 24, 16
 #: Texts are searched for anchors so many bytes at a time, which fit in a processor's cache; longer ones in parts that overlap.
 PART_BYTES = 1 << 18
 GRAM = 50
@@ -195,7 +196,7 @@ def _text_anchors(rows: list[int], texts: list[bytes], length: int) -> list[np.n
 def _send_anchors(length: int, n_buckets: int):
     """Texts (row, text) to packed anchors: each context once a chunk (by its first place) to its bucket, and the other places, which are repeats, to the chunk's own answer."""
 
-    names = ["bucket", "chunk", "hashes", "contexts", "rows", "places", "many"]
+    names = ["bucket", "chunk", "hashes", "contexts", "rows", "places"]
 
     def sent(chunk: int, rows: list, texts: list[bytes]):
         order = np.argsort(np.array(rows), kind="stable").tolist()
@@ -203,21 +204,20 @@ def _send_anchors(length: int, n_buckets: int):
         by = np.argsort((h ^ (c >> np.uint64(7))) * MIX ^ c, kind="stable")
         by = by[np.lexsort((c[by], h[by]))] if len(by) and _mixed(h[by], c[by]) else by
         new = _heads(h[by], c[by])
-        counts = np.diff(np.append(np.flatnonzero(new), len(by)))
         first, again = by[new], np.sort(by[~new])
         bucket = (h[first] % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((first, bucket))
-        first, many, bucket = first[order], (counts > 1)[order], bucket[order]
+        first, bucket = first[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        pieces = [(b, first[cuts[b] : cuts[b + 1]], many[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-        column = lambda make: pa.array([make(p, m) for _, p, m in pieces], pa.binary())
+        pieces = [(b, first[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        column = lambda make: pa.array([make(p) for _, p in pieces], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _, _ in pieces], pa.int64()), pa.array([chunk] * len(pieces), pa.int64()), column(lambda p, m: _pack(h[p])), column(lambda p, m: _pack(c[p])), column(lambda p, m: _pack_rising(row[p])), column(lambda p, m: _pack(place[p])), column(lambda p, m: _pack(m))],
+            [pa.array([b for b, _ in pieces], pa.int64()), pa.array([chunk] * len(pieces), pa.int64()), column(lambda p: _pack(h[p])), column(lambda p: _pack(c[p])), column(lambda p: _pack_rising(row[p])), column(lambda p: _pack(place[p]))],
             names=names,
         )
         if len(again):
             none = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([(chunk * 0x9E3779B1 >> 16) % n_buckets], pa.int64()), pa.array([chunk], pa.int64()), none, none, pa.array([_pack_rising(row[again])], pa.binary()), pa.array([_pack(place[again])], pa.binary()), none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([(chunk * 0x9E3779B1 >> 16) % n_buckets], pa.int64()), pa.array([chunk], pa.int64()), none, none, pa.array([_pack_rising(row[again])], pa.binary()), pa.array([_pack(place[again])], pa.binary())], names=names)
 
     def run(batches):
         chunk, rows, texts, size = TaskContext.get().partitionId() << 20, [], [], 0
@@ -232,7 +232,7 @@ def _send_anchors(length: int, n_buckets: int):
         if rows:
             yield from sent(chunk, rows, texts)
 
-    return run, "bucket long, chunk long, hashes binary, contexts binary, rows binary, places binary, many binary"
+    return run, "bucket long, chunk long, hashes binary, contexts binary, rows binary, places binary"
 
 
 def _mixed(h: np.ndarray, c: np.ndarray) -> bool:
@@ -257,20 +257,18 @@ def _groups(batches, n: int):
 
 def _classes(batches):
     """A bucket's anchors to (chunk, rows, places, sort): repeats (sort 0), and first places of contexts to sort (1)."""
-    for _, (chunks, hashes, contexts, rows, places, many) in _groups(batches, 6):
+    for _, (chunks, hashes, contexts, rows, places) in _groups(batches, 5):
         known = [i for i, h in enumerate(hashes) if h is not None]
         out = [(chunks[i], rows[i], places[i], _pack(np.zeros(len(_open(places[i])), np.uint64))) for i, h in enumerate(hashes) if h is None]
         if known:
             r, p = [_open_rising(rows[i]) for i in known], [_open(places[i]) for i in known]
             of = np.repeat(np.array(known), [len(x) for x in p])
-            h, c, m = (np.concatenate([_open(x[i]) for i in known]) for x in (hashes, contexts, many))
+            h, c = (np.concatenate([_open(x[i]) for i in known]) for x in (hashes, contexts))
             r, p = np.concatenate(r), np.concatenate(p)
             by = np.lexsort((p, r, c, h))
             own = _heads(h[by], c[by])
             anchor = np.cumsum(_heads(h[by])) - 1
-            group = np.cumsum(own) - 1
-            again = (np.bincount(group) > 1) | (np.bincount(group, m[by]) > 0)
-            wanted = own & (again[group] | (np.bincount(anchor, own)[anchor] > 1))
+            wanted = own & (np.bincount(anchor, own)[anchor] > 1)
             told = np.zeros(len(by), np.int8)
             told[by] = np.where(own, np.where(wanted, 2, 0), 1)
             some = np.flatnonzero(told)
@@ -327,24 +325,27 @@ def _segments(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["row", "start", "segment"])
 
 
-def _blocks(batches):
+def _blocks(block_bytes: int):
     """Sorted segments to blocks (block, rows, starts, sizes, symbols): each segment is followed by a zero, bytes count from one."""
-    block, held, size = TaskContext.get().partitionId() << 24, [], 0
 
-    def made():
+    def made(block, held):
         text = np.concatenate([y for _, _, x in held for y in (np.frombuffer(x, np.uint8).astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16))])
         columns = [_pack_rising(np.array([r for r, _, _ in held], np.uint64)), *(_pack(np.array(c, np.uint64)) for c in ([s for _, s, _ in held], [len(x) for _, _, x in held])), _pack(text)]
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["block", "rows", "starts", "sizes", "symbols"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            held.append(row)
-            size += len(row[2]) + 1
-            if size >= BLOCK_BYTES:
-                yield made()
-                block, held, size = block + 1, [], 0
-    if held:
-        yield made()
+    def run(batches):
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append(row)
+                size += len(row[2]) + 1
+                if size >= block_bytes:
+                    yield made(block, held)
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield made(block, held)
+
+    return run
 
 
 # --- the sort --------------------------------------------------------------------------------------------------------
@@ -361,7 +362,7 @@ def _triples(s: np.ndarray, at: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of the columns in order, and of each row which one it is."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = _heads(*(k[order] for k in keys))
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
@@ -407,35 +408,51 @@ def _sample(rows, n: int, pick):
     return pick(rows, np.sort(rng.integers(0, max(1, size), n)))
 
 
-def _splitters(level: DataFrame, n_parts: int, width: int, pick) -> list[np.ndarray]:
-    """At most ``n_parts`` - 1 rows that cut the sampled places evenly."""
-    names = [f"k{i}" for i in range(width)]
+class _Once:
+    """A function of a block's row that remembers its last value."""
+
+    def __init__(self, of) -> None:
+        self.of, self.block, self.value = of, None, None
+
+    def __call__(self, row):
+        if row[0] != self.block:
+            self.block, self.value = row[0], self.of(row)
+        return self.value
+
+
+def _splitters(level: DataFrame, n_parts: int, width: int, pick) -> tuple[list[np.ndarray], int]:
+    """At most ``n_parts`` - 1 rows that cut the sampled places evenly, and the number of places at 1 and 2 mod 3 of the level."""
+    names = [*(f"k{i}" for i in range(width)), "n"]
 
     def some(batches):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k, np.uint64).view(np.int64)) for k in _sample(row, SAMPLES, pick)], names=names)
+                keys, size = _sample(row, SAMPLES, pick), len(_open(row[1]))
+                n = np.zeros(len(keys[0]) + 1, np.int64)
+                n[-1] = size - -(-size // 3)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.append(k, np.uint64(0)).view(np.int64)) for k in keys), pa.array(n)], names=names)
 
     found = level.mapInArrow(some, ", ".join(f"{c} long" for c in names)).toArrow()
-    keys = [found[c].to_numpy().view(np.uint64) for c in names]
+    n, own = int(found["n"].to_numpy().sum()), found["n"].to_numpy() == 0
+    keys = [found[c].to_numpy()[own].view(np.uint64) for c in names[:-1]]
     if not len(keys[0]):
-        return keys
+        return keys, n
     order = np.lexsort(keys[::-1])
     at = order[np.linspace(0, len(order) - 1, n_parts + 1).astype(int)[1:-1]]
     keys = [k[at] for k in keys]
     new = _heads(*keys)
-    return [k[new] for k in keys]
+    return [k[new] for k in keys], n
 
 
 class _Exchange:
     """Sends each block's rows to ranges of the order, and what a range finds for them back to the block.
 
-    ``send(row)`` gives (range of each row, arrays, packers); it is asked again when the answers are put in
-    place, so that no places travel. ``receive(arrays, blocks, part)`` gives (a value for each row, values in the range, extra).
+    ``parts(row)`` gives the range of each place sent, also when answers are put in place, so that no places travel;
+    ``send(row)`` their arrays and how to pack them; ``receive(packed, blocks)`` a value for each, sizes, how many values the range has, and more to tell.
     """
 
-    def __init__(self, n_parts: int, send, receive, columns: int) -> None:
-        self.n_parts, self.send, self.receive, self.columns = n_parts, send, receive, columns
+    def __init__(self, n_parts: int, parts, send, receive, columns: int) -> None:
+        self.n_parts, self.parts, self.send, self.receive, self.columns = n_parts, parts, send, receive, columns
 
     @staticmethod
     def cut(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,20 +462,20 @@ class _Exchange:
 
     def ranges(self, level: DataFrame) -> DataFrame:
         """(block, part, found, n, extra), written."""
-        columns, send, receive, cut = self.columns, self.send, self.receive, self.cut
+        columns, part_of, send, receive, cut = self.columns, self.parts, self.send, self.receive, self.cut
         names = ["part", "block", *(f"c{i}" for i in range(columns))]
 
         def out(batches):
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    part, arrays, pack = send(row)
-                    order, parts, first = cut(part)
+                    order, parts, first = cut(part_of(row))
+                    arrays, pack = send(row)
                     packed = [pack([v[o] for v in arrays]) for o in np.split(order, first[1:])] if len(parts) else []
                     yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array([row[0]] * len(parts), pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(columns))], names=names)
 
         def back(batches):
             for part, (blocks, *packed) in _groups(batches, columns + 1):
-                values, sizes, n, extra = receive(packed, np.array(blocks), part)
+                values, sizes, n, extra = receive(packed, np.array(blocks))
                 found = [_pack(v) for v in np.split(values, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(found, pa.binary()), pa.array([n] + [0] * (len(blocks) - 1), pa.int64()), pa.array([extra] + [None] * (len(blocks) - 1), pa.binary())], names=["block", "part", "found", "n", "extra"])
 
@@ -468,7 +485,7 @@ class _Exchange:
 
     def back(self, found: DataFrame, level: DataFrame, answer, fields: str, names: list[str]) -> DataFrame:
         """``answer(row, values)`` for each block, with the values in the order of ``send``'s rows; both sides have one row or few a block."""
-        send, cut, width = self.send, self.cut, len(level.columns)
+        part_of, cut, width = self.parts, self.cut, len(level.columns)
         none = [F.lit(None).cast(t).alias(c) for c, t in level.dtypes if c != "block"]
         mine = found.select("block", "part", "found", *none)
         theirs = level.select("block", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("found"), *[c for c in level.columns if c != "block"])
@@ -476,8 +493,7 @@ class _Exchange:
         def run(batches):
             for block, (parts, values, *rest) in _groups(batches, width + 1):
                 row = (block, *(c[0] for c in rest))
-                part, _, _ = send(row)
-                order, _, _ = cut(part)
+                order, _, _ = cut(part_of(row))
                 out = np.zeros(len(order), np.uint64)
                 if len(order):
                     out[order] = np.concatenate([_open(v) + np.uint64(add) for v, add in zip(values[1:], self.below(parts[1:]), strict=True)])
@@ -507,23 +523,26 @@ class _Names(_Exchange):
 
         def keys(row):
             s = _open(row[1])
-            return _triples(s, np.flatnonzero(np.arange(len(s)) % 3), bits)
+            return _distinct(_triples(s, np.flatnonzero(np.arange(len(s)) % 3), bits))
 
-        cuts = _splitters(level, n_parts, width, lambda row, at: _triples(_open(row[1]), at, bits))
+        keys = _Once(keys)
+        cuts, self.n_places = _splitters(level, n_parts, width, lambda row, at: _triples(_open(row[1]), at, bits))
 
         def pack(arrays):
             return [_pack_rising(arrays[0]), *map(_pack, arrays[1:])]
 
+        def parts(row):
+            return _before(keys(row)[0], cuts)
+
         def send(row):
-            own, _ = _distinct(keys(row))
-            return _before(own, cuts), own, pack
+            return keys(row)[0], pack
 
-        def receive(packed, blocks, part):
+        def receive(packed, blocks):
             arrays = [[(_open_rising if i == 0 else _open)(x) for x in c] for i, c in enumerate(packed)]
             own, which = _distinct([np.concatenate(a) for a in arrays])
             return which.astype(np.uint64), [len(x) for x in arrays[0]], len(own[0]), None
 
-        super().__init__(n_parts, send, receive, width)
+        super().__init__(n_parts, parts, send, receive, width)
         self.keys = keys
 
     def named(self, found: DataFrame, level: DataFrame) -> DataFrame:
@@ -533,7 +552,7 @@ class _Names(_Exchange):
         def answer(row, names):
             s = _open(row[1])
             values = np.zeros(len(s), np.uint64)
-            values[np.arange(len(s)) % 3 > 0] = names[_distinct(keys(row))[1]]
+            values[np.arange(len(s)) % 3 > 0] = names[keys(row)[1]]
             return row[1], _pack(values)
 
         return written(self.back(found, level, answer, "block long, symbols binary, values binary", ["block", "symbols", "values"]), "suffix-named", "none")
@@ -543,9 +562,9 @@ def merge_order(kind, a, b, own, one, two) -> np.ndarray:
     """Place in the order of each suffix, from zero: those at 0 mod 3 merged with the others."""
     zero = np.flatnonzero(kind == 0)
     others = np.flatnonzero(kind != 0)
-    others = others[np.argsort(own[others], kind="stable")]
+    others = others[np.argsort(own[others])]
     key = _one_key([a[zero], one[zero]])
-    zero = zero[np.lexsort((one[zero], a[zero])) if key is None else np.argsort(key[0], kind="stable")]
+    zero = zero[np.lexsort((one[zero], a[zero])) if key is None else np.argsort(key[0])]
     # Suffixes of one class in order of rank are in order of the keys that suffixes at 0 mod 3 are compared with them by.
     k1, k2 = others[kind[others] == 1], others[kind[others] == 2]
     before = sum(_before([k[zero] for k in keys], [k[group] for k in keys], "left") for group, keys in ((k1, [a, one]), (k2, [a, b, two])))
@@ -576,7 +595,7 @@ class _Merge(_Exchange):
             at = at[at < len(s) - 3]
             return r[at], s[at], r[at + 1]
 
-        cuts = _splitters(ranked.select("block", "symbols", "values"), n_parts, 3, pick)
+        cuts, _ = _splitters(ranked.select("block", "symbols", "values"), n_parts, 3, pick)
         new = _heads(cuts[0])  # ranks tie where they are equal for long enough
         cuts = [c[new] for c in cuts]
 
@@ -590,24 +609,31 @@ class _Merge(_Exchange):
             left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
             at = np.flatnonzero(left >= length)
             # Of places with one prefix the first is sent: the others are repeats.
-            order = np.argsort(h[at], kind="stable")
-            at = np.sort(at[order[_heads(h[at][order])]])
+            order = np.argsort(h[at])
+            if len(at):
+                at = at[np.sort(np.minimum.reduceat(order, np.flatnonzero(_heads(h[at][order]))))]
             return at, h[at]
 
+        rows = _Once(rows)
+
         def pack(arrays):
             """Ranks that are unknown, or needed for no comparison, are left out."""
             kind, a, b, own, one, two, *more = arrays
             return [_pack(kind), _pack(a), _pack(b[kind != 1]), _pack(own[kind > 0]), _pack(one[kind < 2]), _pack(two[kind != 1]), _pack(more[0]) if more else b""]
 
-        def send(row):
-            at, h = rows(row)
+        def parts(row):
+            at, _ = rows(row)
             s, r = known(row)
-            kind = (at % 3).astype(np.uint64)
             part = np.empty(len(at), np.int64)
-            zero = kind == 0
+            zero = at % 3 == 0
             part[~zero] = np.searchsorted(cuts[0], r[at[~zero]], "right")
             part[zero] = _before([s[at[zero]], r[at[zero] + 1]], cuts[1:]) if len(cuts[0]) else 0
-            return part, [kind, s[at], s[at + 1], r[at], r[at + 1], r[at + 2], *([h] if length else [])], pack
+            return part
+
+        def send(row):
+            at, h = rows(row)
+            s, r = known(row)
+            return [(at % 3).astype(np.uint64), s[at], s[at + 1], r[at], r[at + 1], r[at + 2], *([h] if length else [])], pack
 
         def opened(packed):
             kind = [_open(x) for x in packed[0]]
@@ -623,11 +649,11 @@ class _Merge(_Exchange):
             masks = [every, kind != 1, kind > 0, kind < 2, kind != 1]
             return sizes, kind, [spread(c, m) for c, m in zip(packed[1:6], masks, strict=True)]
 
-        def order_in(packed, blocks, part):
+        def order_in(packed, blocks):
             sizes, kind, arrays = opened(packed)
             return merge_order(kind, *arrays), sizes, len(kind), None
 
-        def repeats_in(packed, blocks, part):
+        def repeats_in(packed, blocks):
             """A value of one for each suffix whose prefix occurs at an earlier place; rows come in the order of blocks and places."""
             sizes, kind, arrays = opened(packed)
             h = np.concatenate([_open(x) for x in packed[6]])
@@ -643,7 +669,7 @@ class _Merge(_Exchange):
             ends = [*tell(0), *tell(-1), int(h[order[0]]), int(h[order[-1]]), int(run[-1] + 1)]
             return repeat, sizes, len(h), np.array([x if x < 1 << 63 else x - (1 << 64) for x in ends], np.int64).tobytes()
 
-        super().__init__(n_parts, send, repeats_in if length else order_in, self.WIDTH)
+        super().__init__(n_parts, parts, send, repeats_in if length else order_in, self.WIDTH)
         self.rows = rows
 
     def carried(self, found: DataFrame) -> dict[int, dict[int, list[int]]]:
@@ -688,11 +714,6 @@ def _ranked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "symbols", "values"])
 
 
-def _count_places(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.count_nonzero(_open(x))) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
-
-
 def sample_ranks(level: DataFrame, n_parts: int, bits: int, covered: int, length: int) -> DataFrame:
     """(block, symbols, values): ranks at 1 and 2 mod 3 of ``level(block, symbols)``: their names, or, where these do not tell, the ranks of the next level."""
     names = _Names(level, n_parts, bits)
@@ -700,8 +721,7 @@ def sample_ranks(level: DataFrame, n_parts: int, bits: int, covered: int, length
     n_names = names.count(found)
     named = names.named(found, level)
     erase(found)
-    n_places = named.select("values").mapInArrow(_count_places, "n long").agg(F.sum("n")).first()[0] or 0
-    if n_names == n_places or 3 * covered >= length:
+    if n_names == names.n_places or 3 * covered >= length:
         return named
     following = written(named.select("block", "values").mapInArrow(_next_level, "block long, symbols binary"), "suffix-level", "none")
     erase(named)
@@ -722,14 +742,13 @@ def _covered(length: int, merge: _Merge, late: dict[int, dict[int, list[int]]]):
 
     def answer(row, values):
         at, _ = merge.rows(row)
-        part, _, _ = merge.send(row)
-        order, _, _ = merge.cut(part)
-        for p, lost in late.get(row[0], {}).items():
-            values[order[part[order] == p][lost]] = 1
+        if row[0] in late:
+            part = merge.parts(row)
+            order, _, _ = merge.cut(part)
+            for p, lost in late[row[0]].items():
+                values[order[part[order] == p][lost]] = 1
         sizes, r, s = _open(row[3]).astype(np.int64), _open_rising(row[4]).astype(np.int64), _open(row[5]).astype(np.int64)
         begin = np.cumsum(sizes + 1) - sizes - 1
-        symbols = _open(row[1])
-        (h,) = run_hashes(symbols, length)
         left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
         sent = np.zeros(len(left), bool)
         sent[at] = True
@@ -761,10 +780,12 @@ def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame
     repeats = hits.where("repeats is not null").select("row", F.col("repeats").alias("stretches"))
     segments = texts.join(hits.where("wanted is not null").select("row", "wanted"), "row").select("row", "text", "wanted").mapInArrow(_segments, "row long, start long, segment binary")
     segments = segments.repartitionByRange(max(1, n_bytes >> 24), "row", "start").sortWithinPartitions("row", "start")
-    blocks = written(segments.mapInArrow(_blocks, "block long, rows binary, starts binary, sizes binary, symbols binary"), "suffix-text", "none")
-    n_parts = max(4, blocks.count())
-    if blocks.isEmpty():
+    block_bytes = BLOCK_BYTES << (max(0, n_bytes.bit_length() - 30) // 2)
+    blocks = written(segments.mapInArrow(_blocks(block_bytes), "block long, rows binary, starts binary, sizes binary, symbols binary"), "suffix-text", "none")
+    n_blocks = blocks.count()
+    if not n_blocks:
         return repeats
+    n_parts = max(4, -(-n_blocks // 2))
     level = blocks.select("block", "symbols")
     ranked = sample_ranks(level, n_parts, 9, 1, length)
     ready = written(ranked.join(blocks.select("block", "sizes", "rows", "starts"), "block").select("block", "symbols", "values", "sizes", "rows", "starts"), "suffix-ready", "none")
