@@ -5,14 +5,12 @@ documents, ``max_frequent`` of at most ``FREQUENT_BYTES`` bytes at any size, are
 folded and broadcast. What it holds, and which documents it was made from, spares
 later folds and has no effect on any result. Then each partition's documents, all
 and whole, pass through one stage, without a shuffle: a first pass numbers the
-words (stretches between single spaces, which no match of the pattern goes over)
-as it meets them and sends each document as word numbers; ahead of it go the
-words that are new to the partition, as the numbers of their pieces, and the new
-pieces, those that are neither tokens nor frequent as arrays of byte ids. Spark
-folds the merges over each such array; a last pass puts the words' ids together
-from the pieces' ids and the documents' from the words', and decodes them by
-concatenating each id's bytes. Both passes forget at the same marker rows, so
-memory is bounded whatever a partition holds.
+pieces as it meets them and sends each document as piece numbers; ahead of it go
+the pieces that are new to the partition, those that are neither tokens nor
+frequent as arrays of byte ids. Spark folds the merges over each such array; a
+last pass puts the documents' ids together from the pieces' ids, and decodes them
+by concatenating each id's bytes. Both passes forget pieces at the same marker
+rows, so memory is bounded whatever a partition holds.
 
 The rank map is a literal: Spark finds a key of a map value by a linear scan, so
 the map from a pair of ids to the rank of their merge is laid out as two arrays
@@ -185,7 +183,7 @@ def _finder(pattern: str):
     return regex.compile(own).findall
 
 
-#: What a partition's passes remember is forgotten after so many distinct words.
+#: What a partition's passes remember is forgotten after so many distinct pieces.
 FORGET = 1 << 18
 #: Documents that a pass handles at a time, so that few texts are in memory twice.
 SLICE = 256
@@ -287,50 +285,19 @@ class _Frequent:
 
 
 class _Numbers(dict):
-    """Text to its number, in the order of first sight; ``new`` lists what was not seen before."""
+    """Piece to its number, in the order of first sight; ``new`` lists what was not seen before."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
 
-    def __missing__(self, text: str) -> int:
-        self[text] = n = len(self)
-        self.new.append(text)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
         return n
 
 
-class _Words(dict):
-    """A stretch between spaces to the number of it with the space before it; -1 where white space is at its ends, as matches may go over such ends."""
-
-    def __init__(self, numbers: _Numbers) -> None:
-        self.numbers, self.white = numbers, regex.compile(f"[{WHITE}]").match
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = -1 if not word or self.white(word[0]) or self.white(word[-1]) else self.numbers[f" {word}"]
-        return n
-
-
-class _Splitter:
-    """Texts to the numbers of their words."""
-
-    def __init__(self) -> None:
-        self.numbers = _Numbers()
-        self.words = _Words(self.numbers)
-        self.cut = regex.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").split
-
-    def coded(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        first, *rest = text.split(" ")
-        known, white = self.words, self.words.white
-        found = np.fromiter(map(known.__getitem__, rest), np.int32, len(rest))
-        if first and not white(first[-1]) and (not len(found) or found.min() >= 0):
-            return np.concatenate([np.array([self.numbers[first]], np.int32), found])
-        first, *rest = self.cut(text)
-        return np.fromiter([self.numbers[first], *(self.numbers[f" {w}"] for w in rest)], np.int32, 1 + len(rest))
-
-
 class _Pool:
-    """Ids of numbered things, and of sequences of them."""
+    """Ids of numbered pieces, and of documents given as numbers."""
 
     def __init__(self) -> None:
         self.flat, self.used = np.zeros(1 << 16, "<u2"), 0
@@ -356,20 +323,17 @@ class _Pool:
 class Coded:
     """A document: its ids, their decimals joined by commas, and the bytes that they decode to."""
 
-    def __init__(self, words: np.ndarray, pool: _Pool, texts: list[str], decoded: list[bytes]) -> None:
-        self._words, self._pool, self._texts, self._decoded = words, pool, texts, decoded
+    def __init__(self, ids: np.ndarray, decimals: list[str], pieces: list[bytes]) -> None:
+        self.ids, self._listed, self._decimals, self._pieces = ids, ids.tolist(), decimals, pieces
 
     def __len__(self) -> int:
-        return int(self._pool.size[self._words].sum())
-
-    def ids(self) -> np.ndarray:
-        return self._pool.ids(self._words)
+        return len(self.ids)
 
     def id_text(self) -> str:
-        return ",".join(map(self._texts.__getitem__, self._words.tolist()))
+        return ",".join(map(self._decimals.__getitem__, self._listed))
 
     def decoded(self) -> bytes:
-        return b"".join(map(self._decoded.__getitem__, self._words.tolist()))
+        return b"".join(map(self._pieces.__getitem__, self._listed))
 
 
 def _pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:
@@ -379,7 +343,7 @@ def _pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
-def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, fields: str, names: list[str], max_fold: int = 2048, max_frequent: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, the columns ``rest``, ``fields``): ``finish(coded)`` gives a document's values of ``fields``, see :class:`Coded`."""
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids must be below 2**16")
@@ -395,8 +359,7 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]
 
     def ask(batches):
-        known, find, often = shared.value, _finder(pattern), frequent.value
-        words, pieces = _Splitter(), _Numbers()
+        known, find, often, numbers = shared.value, _finder(pattern), frequent.value, _Numbers()
 
         def row(types, n, numbers=None, number=None, word=None, given=None, forget=False, kept=None):
             blank = lambda x, t: pa.nulls(n, t) if x is None else x
@@ -405,16 +368,15 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
 
         for batch in _slices(batches):
             types = batch.schema.types[:k]
-            if len(words.numbers) > FORGET:
-                words, pieces = _Splitter(), _Numbers()
+            if len(numbers) > FORGET:
+                numbers = _Numbers()
                 yield row(types, 1, forget=True)
-            first_word, first = len(words.numbers), len(pieces)
-            coded = [words.coded(t).tobytes() for t in batch.column(k).to_pylist()]
-            made = [find(w) for w in words.numbers.new]
-            flat = [pieces[p] for m in made for p in m]
-            new = [x.encode() for x in pieces.new]
-            words.numbers.new.clear()
-            pieces.new.clear()
+            first, coded = len(numbers), []
+            for text in batch.column(k).to_pylist():
+                found = find(text)
+                coded.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
+            new = [x.encode() for x in numbers.new]
+            numbers.new.clear()
             many = often.found([b for b in new if b not in known])
             given, sizes, ids, folds = [], [], [], []
             for n, b in enumerate(new, first):
@@ -433,31 +395,12 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
             for at in range(0, len(folds), 1 << 14):
                 part = folds[at : at + (1 << 14)]
                 yield row(types, len(part), number=pa.array([n for n, _ in part], pa.int32()), word=_byte_ids([b for _, b in part], known))
-            if made:  # after its pieces: below zero, how many words, the first, how many pieces each, and the pieces
-                yield row(types, 1, given=pa.array([np.array([-len(made), first_word, *map(len, made), *flat], np.int32).tobytes()], pa.binary()))
             yield row(types, batch.num_rows, numbers=pa.array(coded, pa.binary()), kept=batch.columns[:k])
 
     def answer(batches):
-        known, pieces, words = shared.value, _Pool(), _Pool()
-        by_id, texts, decoded = _pieces_by_id(known), [], []
+        known, pool = shared.value, _Pool()
+        by_id = _pieces_by_id(known)
         decimals = [str(i) for i in range(len(by_id))]
-
-        def learn(data: bytes) -> None:
-            n = int(np.frombuffer(data, np.int32, 1)[0])
-            if n >= 0:
-                head = np.frombuffer(data, np.int32, 2 * n, 4)
-                pieces.add(head[:n], head[n:].astype(np.int64), np.frombuffer(data, "<u2", -1, 4 + 8 * n))
-                return
-            first, n = int(np.frombuffer(data, np.int32, 1, 4)[0]), -n
-            counts, flat = np.frombuffer(data, np.int32, n, 8).astype(np.int64), np.frombuffer(data, np.int32, -1, 8 + 4 * n)
-            ends = np.cumsum(np.concatenate([[0], pieces.size[flat]]))[np.concatenate([[0], np.cumsum(counts)])]
-            ids = pieces.ids(flat)
-            words.add(np.arange(first, first + n), np.diff(ends), ids)
-            listed, cuts = ids.tolist(), ends.tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                texts.append(",".join([decimals[i] for i in listed[a:b]]))
-                decoded.append(b"".join([by_id[i] for i in listed[a:b]]))
-
         for batch in batches:
             docs_, number, given, forget, folded = (batch.column(k + i) for i in (0, 1, 3, 4, 5))
             out = []
@@ -468,15 +411,17 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
                 if at == to:
                     continue
                 if kind[at] == 3:
-                    pieces, words, texts, decoded = _Pool(), _Pool(), [], []
+                    pool = _Pool()
                 elif kind[at] == 2:
                     for data in given.slice(at, to - at).to_pylist():
-                        learn(data)
+                        n = int(np.frombuffer(data, np.int32, 1)[0])
+                        head = np.frombuffer(data, np.int32, 2 * n, 4)
+                        pool.add(head[:n], head[n:].astype(np.int64), np.frombuffer(data, "<u2", -1, 4 + 8 * n))
                 elif kind[at] == 1:
                     lists = folded.slice(at, to - at)
-                    pieces.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
+                    pool.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
                 else:
-                    out += [finish(Coded(np.frombuffer(data, np.int32), words, texts, decoded)) for data in docs_.slice(at, to - at).to_pylist()]
+                    out += [finish(Coded(pool.ids(np.frombuffer(data, np.int32)), decimals, by_id)) for data in docs_.slice(at, to - at).to_pylist()]
             if out:
                 some = pa.array(kind == 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(some) for i in range(k)), *(pa.array(c) for c in zip(*out, strict=True))], names=[*(f"_k{i}" for i in range(k)), *names])
@@ -491,7 +436,7 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, **options) -> DataFrame:
     """(id, the columns ``rest``, ids, n_tokens): every text's ids as array<int>."""
-    return encode_with(docs, ranks, pattern, lambda c: (c.ids().astype(np.int32), len(c)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
+    return encode_with(docs, ranks, pattern, lambda c: (c.ids.astype(np.int32), len(c)), "ids array<int>, n_tokens long", ["ids", "n_tokens"], **options)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", as_col: str = "bytes") -> DataFrame:
