@@ -7,6 +7,9 @@ all rows that the one before kept.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +42,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, n_tokens)."""
+    """(doc_id, lang, source, ids, n_tokens, decoded_sha256): a null text has no ids; the digest is that of the bytes that the ids decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, rest=("lang", "source"))
+    told = lambda c: (c.ids.astype(np.int32), len(c), hashlib.sha256(c.decoded()).hexdigest())
+    return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, told, "ids array<int>, n_tokens long, decoded_sha256 string", ["ids", "n_tokens", "decoded_sha256"], rest=("lang", "source"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("shingle near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
