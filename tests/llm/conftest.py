@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 WORDS = "the river runs past an old mill and tall trees stand along this quiet road to market town in green valley below".split()
 
@@ -26,7 +27,9 @@ def odd_docs(spark):
         (14, "Orre " * 300, "b"), (15, long[1000:9000], "c"), (16, "one two", "b"),
     ]
     rows = [(i, t, "en", s, None if t is None else len(t), 1, "y") for i, t, s in texts]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` long, `_fp` string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `row` long, `_fp` string")
+    clashes = "_row _id _of _trusted _mix_id _mix_n _text _k0 _hash _shard id of all i r first no digest raw target bucket kept score".split()
+    return df.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit(""))).alias(c) for c in clashes])
 
 
 @pytest.fixture(scope="session")

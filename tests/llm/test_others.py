@@ -50,6 +50,7 @@ def test_warc(spark, min_bytes):
     got = warc_archive.digest_archive(records)
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got.collect()) == sorted(want)
     for r in records.collect():
+        assert b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in bytes(r.header) and r.sha1 == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
         assert bytes(r.header) == head + b"\r\n\r\n" and b"\r\nX: y" not in head
         assert block == (b"" if b"WARC-Type: revisit" in head else bytes(r.payload)) + b"\r\n\r\n"
@@ -92,6 +93,20 @@ def test_embeddings(spark, interval, leaf):
     assert embedding_dedup.near_embeddings(df.where("vec_id = 1001")).collect()[0].kept
 
 
+def test_embeddings_of_several_lengths_and_ids(spark):
+    """Planted links in 64 dimensions and in 3, equal vectors, null and repeated ids."""
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(300, 64))
+    near = far[:60] + 0.02 * rng.normal(size=(60, 64))
+    good = [*far, *near, far[0], far[0]]
+    short = [[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 2.0, 0.0]]
+    rows = [*((i, v.tolist()) for i, v in enumerate(good)), *((1000 + i, v) for i, v in enumerate(short)), (None, [5.0, 0.0]), (2000, [5.0, 0.0]), (2000, [5.0, 0.0]), (3000, None)]
+    got = embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), interval=64, leaf=8).collect()
+    told = {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None and r.vec_id < 2000}
+    assert told == links(list(range(len(good))), good, 0.95) | links([1000 + i for i in range(4)], short, 0.95)
+    assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None or r.vec_id >= 2000) == [("2000", 2, 2000, True), ("2000", 2, 2000, True), ("3000", 0, 3000, True), ("None", 2, 2000, False)]
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracles(spark, name):
     import duckdb

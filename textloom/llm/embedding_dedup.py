@@ -16,8 +16,8 @@ task returns link counts per node and a spanning forest of its links, never the
 links themselves; components are joined from those forests over the cluster.
 
 Defined results: vectors that are null, empty, zero or hold a null or
-non-finite component link with nothing, and so do vectors whose length is not
-that of most (the larger at a tie); null or repeated ids are rows like others,
+non-finite component link with nothing; vectors of unlike lengths do not link,
+those of each length are joined among themselves; null or repeated ids are rows like others,
 and a component's id is its smallest non-null one; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -215,15 +215,23 @@ def node_links(intervals: DataFrame, pairs: DataFrame, counts: DataFrame, axes:
     return met.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "x long, y long, n long")
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = 0.95, lead: int = 16, interval: int = 2048, leaf: int = 128, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_embeddings(vectors: DataFrame, threshold: float = 0.95, lead: int = 16, interval: int = 8192, leaf: int = 128, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per row of ``vectors``."""
+    size = F.coalesce(F.size(vec_col), F.lit(0))
+    lengths = sorted(r["d"] for r in vectors.select(size.alias("d")).distinct().collect())
+    alone = vectors.where(size < 1).select(F.col(id_col).alias("id"))
+    out = alone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in lengths:
+        if dim > 0:
+            out = out.unionByName(_near(vectors.where(size == dim), dim, threshold, lead, interval, leaf, id_col, vec_col))
+    return out
+
+
+def _near(vectors: DataFrame, dim: int, threshold: float, lead: int, interval: int, leaf: int, id_col: str, vec_col: str) -> DataFrame:
+    """The same for vectors of one length."""
     eps = math.sqrt(2 - 2 * threshold)
-    lengths = vectors.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = lengths["d"] if lengths else 0
-    units = written(unit_vectors(vectors, dim, id_col, vec_col), "units") if dim else None
+    units = written(unit_vectors(vectors, dim, id_col, vec_col), "units")
     lone = lambda x: x.select(x["id"].alias(id_col), F.lit(0).cast("long").alias("n_links"), x["id"].alias("component_id"), F.lit(True).alias("kept"))
-    if units is None:
-        return lone(vectors.select(F.col(id_col).alias("id")))
     nodes = units.where("unit is not null").groupBy("unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "unit-nodes")
     if nodes.isEmpty():

@@ -64,7 +64,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, band: float = 0.25, id_col
     cut = hit.groupBy("_ld_row_a", "_ld_row_b").agg(F.collect_set("_ld_no").alias("_ld_cut"))
     out = docs.withColumn("_ld_row_a", row_a).withColumn("_ld_row_b", row_b).join(cut, ["_ld_row_a", "_ld_row_b"], "left")
     parts = F.split(text_col, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_ld_cut", i)), "\n")
+    # In time linear in the lines: the numbers that stay are a difference of sets, and the lines are cut once.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_ld_cut")
+    left = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n")), 0)
     return out.select(
         *[F.when(F.col("_ld_cut").isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_ld_lines"),

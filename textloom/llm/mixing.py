@@ -4,7 +4,7 @@ Targets: sources in code-point order (null last) get the weights in turn and
 share ``share`` times all words; a target stops at ``max_repeat`` times its
 source's words and the excess is shared again by weight (water filling).
 
-Blocks: each source is dealt by a seeded hash of the id into shards of about
+Blocks: each source is dealt by a seeded hash of id and text into shards of about
 ``shard_words`` words; a shard's documents, in hash order, form one stream that
 is cut into blocks of ``block_words`` words. Seats (blocks to take) go to
 sources by the highest quotients target / (2k - 1), then to a source's shards
@@ -15,8 +15,9 @@ nothing but (id, source, size) is shuffled and no block becomes a row; as
 blocks follow the hash order, nearly every document is taken whole or not.
 
 Defined results: null and blank texts have size 0 and give 0 words; a null
-source is a source of its own; repeated rows count and are taken one by one;
-null ids share one hash; an empty table gives an empty result; further columns
+source is a source of its own; repeated rows count and are taken one by one
+(``mixed`` repeats rows of one id alike); null ids are told apart by their texts,
+so only rows alike in both share a hash; an empty table gives an empty result; further columns
 are ignored. The same rows give the same result in any order and partitioning.
 """
 
@@ -75,15 +76,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, max
     return by.select("source", "source_size", F.least("_cap", F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 32, shard_words: int = 1 << 18, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_repeat: int = 2, block_words: int = 8, shard_words: int = 1 << 18, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of ``docs``."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("_hash"))
     sized = written(sized, "mix-sizes")
     sources = source_targets(sized, weights, share, max_repeat).withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     sources = written(sainte_lague(sources, [], ["source"], "target", "_seats").drop("_seats"), "mix-sources")
     d = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    d = d.withColumn("_hash", key).withColumn("_shard", F.pmod(F.shiftright("_hash", 20), F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)))
+    d = d.withColumn("_shard", F.pmod(F.shiftright("_hash", 20), F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)))
     shard = Window.partitionBy("source", "_shard")
     stream = shard.orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_from", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("_words", F.sum("size").over(shard)).drop("_hash")
@@ -109,5 +109,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     # Rows that share an id share their number of times, the largest that one of them has.
     times = rows.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_n"))
-    out = docs.join(times, docs[id_col].eqNullSafe(F.col("_mix_id"))).where("_mix_n > 0")
-    return out.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), "_mix_n")).alias("_mix_i")).drop("_mix_i")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(f"`{id_col}`").alias("id"))
+    out = packed.join(times, F.col("id").eqNullSafe(F.col("_mix_id"))).where("_mix_n > 0")
+    return out.select("all", F.explode(F.sequence(F.lit(1), "_mix_n"))).select("all.*")

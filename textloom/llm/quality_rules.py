@@ -80,8 +80,9 @@ def trusted_ids(labels: DataFrame, max_trusted: int, id_col: str = "doc_id") ->
 
 def ratio_table(docs: DataFrame, labels: DataFrame, n: int = 4, max_trusted: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """log(target / raw) of each bucket; zeros where there is no trusted text."""
-    rows = docs.join(F.broadcast(trusted_ids(labels, max_trusted, id_col)), F.col(id_col) == F.col("_trusted"), "left")
-    rows = rows.select(F.col(text_col).cast("binary").alias("text"), F.col("_trusted").isNotNull().alias("trusted"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = rows.join(F.broadcast(trusted_ids(labels, max_trusted, id_col)), F.col("_id") == F.col("_trusted"), "left")
+    rows = rows.select("text", F.col("_trusted").isNotNull().alias("trusted"))
     counts = rows.mapInArrow(_counts(n), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     both = np.zeros((2, 1 << BUCKET_BITS))
     at = counts["bucket"].to_numpy()

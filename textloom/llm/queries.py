@@ -98,7 +98,7 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN top END AS refers_to,
   (length('WARC/1.1') + 2 + CASE WHEN again THEN 18 + 84 + length('WARC-Refers-To: <urn:textloom:page:>') + 2 + length(top::VARCHAR) ELSE 21 END - 2 + 2
-   + length('WARC-Record-ID: <urn:textloom:page:>') + 2 + length(page_id::VARCHAR) + coalesce(length('WARC-Target-URI: ') + strlen(url) + 2, 0)
+   + length('WARC-Record-ID: <urn:textloom:page:>') + 2 + length(page_id::VARCHAR) + length('WARC-Date: 1970-01-01T00:00:00Z') + 2 + coalesce(length('WARC-Target-URI: ') + strlen(url) + 2, 0)
    + length('WARC-Payload-Digest: sha1:') + 34 + length('Content-Type: text/html; charset=utf-8') + 2
    + length('Content-Length: ') + 2 + CASE WHEN again THEN 1 ELSE length(octet_length(payload)::VARCHAR) + octet_length(payload) END + 2 + 4)::BIGINT AS record_bytes
 FROM h

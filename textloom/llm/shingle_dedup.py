@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .simhash_dedup import rows_of
 from .storage import written
 
 SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS = 1 << 13, 1 << 16, 1024
@@ -164,7 +165,4 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5
     nodes = written(heads.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
     roots = connected_components(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col)).withColumnRenamed("node", "_set")
     kept = nodes.select("_set", "_rep").join(roots, "_set", "left").groupBy(F.coalesce("component", "_set")).agg(F.min("_rep").alias("_rep"))
-    kept = kept.select(F.col("_rep.i").alias("_id"), F.col("_rep.r").alias("_of"))
-    rows = docs.withColumn("_row", F.xxhash64(text_col))
-    rows = rows.join(kept, (F.col("_row") == F.col("_of")) & rows[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates([id_col, "_row"]).select(*[f"`{c}`" for c in docs.columns])
+    return rows_of(docs, kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), id_col, text_col)

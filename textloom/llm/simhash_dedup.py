@@ -197,7 +197,12 @@ def row_key(text_col: str = "text") -> Column:
 
 def keep_one(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id (and text hash); of rows alike in both, any one."""
-    kept = simhash_classes(docs, shingle_words, radius, id_col, text_col).where("_kept").select(F.col(id_col).alias("_id"), F.col("_row").alias("_of")).distinct()
-    rows = docs.withColumn("_row", row_key(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")), "left_semi")
-    return rows.dropDuplicates([id_col, "_row"]).select(*[f"`{c}`" for c in docs.columns])
+    kept = simhash_classes(docs, shingle_words, radius, id_col, text_col).where("_kept").select(F.col(id_col).alias("id"), F.col("_row").alias("of")).distinct()
+    return rows_of(docs, kept, id_col, text_col)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each of ``kept(id, of)``, of being the text's hash. The columns of ``docs`` may have any names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(f"`{id_col}`").alias("i"), row_key(f"`{text_col}`").alias("r"))
+    rows = rows.join(kept, F.col("i").eqNullSafe(F.col("id")) & F.col("r").eqNullSafe(F.col("of")), "left_semi")
+    return rows.dropDuplicates(["i", "r"]).select("all.*")

@@ -15,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: A job's shuffle files go as soon as it ends.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,7 +54,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 def written(df: DataFrame, name: str, compression: str = "zstd", during: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as read back. The job's shuffle files go as soon as it ends."""
     path = new_path(df.sparkSession, name)
-    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (during or {})):
+    with settings(df.sparkSession, CLEANUP | (during or {})):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
