@@ -146,3 +146,47 @@ def test_cache_and_sinks(spark, tmp_path):
 def test_machine_text(spark):
     row = detect_machine_text(spark.createDataFrame([(1, BODY)], "id long, text string")).first()
     assert row.verdict == "MIXED" and row.ai_probability == 0.5
+
+
+def test_page_lines():
+    from textloom.functions.pages import page_lines
+
+    page = "<h1>A &amp; B</h1>\n\n\n<p>one  two</p><script>x()</script><ul><li>a<br/>b</ul><section>c</section><a href='/q?x=1&amp;y'>here</a> <a href=plain>there</a><a name=z>no</a>&#8211;"
+    assert page_lines(page) == "A & B\n\none two\na\nbc\n[/q?x=1&y] here \n[plain] thereno\u2013"
+
+
+def test_references_and_composition(spark):
+    page = "<p>caf&#233; e\u0301t&eacute; &mdash; &lt;b&gt; &#x1F600;</p><style>p{}</style>"
+    assert value(spark, T.html_text(F.lit(page))) == "caf\u00e9 \u00e9t\u00e9 \u2014 <b> \U0001f600"
+
+
+def test_upload_text(spark):
+    df = spark.createDataFrame([(bytearray("gr\u00fcn".encode()),), (bytearray("gr\u00fcn".encode("latin-1")),)], "c binary")
+    assert [r.t for r in df.select(files.upload_text(F.col("c")).alias("t")).collect()] == ["gr\u00fcn", "gr\u00fcn"]
+
+
+def test_embedding_cache(spark, tmp_path):
+    from textloom.operators import cache
+    from textloom.operators.encoders import ENCODERS
+
+    path, calls = str(tmp_path / "cache"), []
+
+    def encode(rows, id_col, text_col):
+        calls.append(rows.count())
+        return ENCODERS["hashed-words"](rows, id_col, text_col)
+
+    chunks = spark.createDataFrame([("a", "one two three"), ("b", "four five six")], "chunk_id string, text string")
+    assert cache.prewarm(spark, path, {"m": encode, "n": encode}, chunks) == {"m": 2, "n": 2}
+    more = chunks.unionByName(spark.createDataFrame([("c", "seven eight nine"), ("b", "changed text here")], "chunk_id string, text string"))
+    assert cache.embeddings(spark, path, "m", more, encode).count() == 4 and cache.embeddings(spark, path, "m", chunks, encode).count() == 2
+    assert calls == [2, 2, 2, 0]
+    spark.createDataFrame([("k", [1.0])], "key string, embedding array<float>").write.mode("append").parquet(f"{path}/model=m")  # of another length
+    assert cache.stored(spark, path, "m") is None and cache.embeddings(spark, path, "m", chunks, encode).count() == 2 and calls[-1] == 2
+    cache.invalidate(spark, path, "n")
+    assert cache.stored(spark, path, "n") is None
+
+
+def test_measures(spark, tmp_path):
+    df = spark.createDataFrame([("all", 0.5)], "name string, f1 double")
+    sinks.write_measures(df, str(tmp_path))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()[0].f1 == "0.5" and spark.read.json(str(tmp_path / "json")).collect()[0].f1 == 0.5

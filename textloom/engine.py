@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.citations import strip_citations
-from textloom.functions.style import blended, perplexity_score, style_features, style_score, verdict
-from textloom.functions.text import char_chunks, preprocess_indonesian, split_paragraphs, words
+from textloom.functions.style import blended, perplexity_score, plain_verdict, style_features, style_score, verdict
+from textloom.functions.text import INDONESIAN_STOPWORDS, char_chunks, preprocess_indonesian, highlighted, split_paragraphs, trimmed
 from textloom.operators import similarity as S
 from textloom.operators.encoders import CLASSIFIERS, ENCODERS, PAIR_SCORERS, PERPLEXITIES
 from textloom.operators.relational import document_scores, top_matches
@@ -24,6 +25,7 @@ class Config:
     encoders: tuple[str, ...] = ("hashed-words",)
     pair_scorer: str | None = None
     query_preprocess: bool = False
+    stopwords: Sequence[str] = tuple(INDONESIAN_STOPWORDS)
     chunk_chars: int = 1500
     chunk_stride: int = 1300
 
@@ -51,7 +53,6 @@ class Result:
     scores: DataFrame
     matches: DataFrame
     stats: DataFrame
-    extra: dict = field(default_factory=dict)
 
 
 class Engine:
@@ -83,7 +84,7 @@ class Engine:
         stats = strip_citations(docs.select("doc_id", "text")) if strip else docs.select("doc_id", F.col("text").alias("cleaned"))
         cleaned = stats.select("doc_id", F.col("cleaned").alias("text"))
         if self.config.query_preprocess:
-            cleaned = cleaned.withColumn("text", preprocess_indonesian(F.col("text")))
+            cleaned = cleaned.withColumn("text", preprocess_indonesian(F.col("text"), self.config.stopwords))
         paras = split_paragraphs(cleaned, min_chars=min_paragraph_chars, fallback=True)
         paras = paras.select("doc_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("para_no").cast("string")).alias("para_id"), F.col("para").alias("text"))
         near = S.windowed_matches(paras, self.chunks, self.candidates(paras), "para_id", "chunk_id", self.config.near_threshold)
@@ -94,11 +95,16 @@ class Engine:
             best = best.unionByName(more)
         named = best.join(paras.select("para_id", "doc_id", F.col("text").alias("query_text")), "para_id")
         title = F.col("title") if "title" in self.chunks.columns else F.col("parent_id").cast("string")
-        matches = named.join(self.chunks.select("chunk_id", "parent_id", title.alias("source_title")), "chunk_id")
+        told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in self.chunks.columns else F.lit("")
+        matches = named.join(self.chunks.select("chunk_id", "parent_id", title.alias("source_title"), told("url").alias("source_url")), "chunk_id")
+        shown = F.concat(F.lit("<p>"), highlighted(F.col("query_text"), F.col("matched_text")), F.lit("</p><p>"), highlighted(F.col("matched_text"), F.col("query_text")), F.lit("</p>"))
+        matches = matches.withColumn("preview_html", shown)
         if use_cross_encoder and self.config.pair_scorer:
             logit = PAIR_SCORERS[self.config.pair_scorer](F.col("query_text"), F.col("matched_text"))
             matches = S.reranked(matches.withColumn("logit", logit), "logit", self.config.cross_encoder_threshold)
         scores = document_scores(docs, paras, matches, "doc_id").crossJoin(F.broadcast(self.chunks.agg(F.count(F.lit(1)).alias("corpus_size"))))
+        # What kind of match it is; re-ranking may have changed it.
+        matches = matches.withColumn("source_type", F.col("kind"))
         ranked = top_matches(matches, 1 << 30, "doc_id", ["para_id"]).join(scores.select("doc_id", "total_paragraphs"), "doc_id")
         return Result(scores, ranked.where(F.col("rank") <= top_k * F.col("total_paragraphs")).drop("total_paragraphs"), stats)
 
@@ -117,5 +123,8 @@ def detect_machine_text(docs: DataFrame, classifier: str = "none", perplexity: s
     return d.withColumn("_p", p).withColumn("ai_probability", F.round("_p", 3)).withColumn("_v", verdict(F.col("_p"))).select("*", "_v.verdict", "_v.confidence").drop("_p", "_v")
 
 
-def word_count(text):
-    return F.size(words(text))
+def paragraph_verdicts(docs: DataFrame, classify, min_chars: int = 100) -> DataFrame:
+    """(doc_id, para_no, text, ai_probability, verdict) of paragraphs of ``min_chars`` characters or more, judged by their first 1000; ``classify`` takes a text column to a probability."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("para_no", "para")).withColumn("para", trimmed(F.col("para")))
+    parts = parts.where(F.length("para") >= min_chars).withColumn("p", classify(F.substring("para", 1, 1000)))
+    return parts.select("doc_id", F.col("para_no").cast("long").alias("para_no"), F.concat(F.substring("para", 1, 200), F.lit("...")).alias("text"), F.round("p", 3).alias("ai_probability"), plain_verdict(F.col("p"))["verdict"].alias("verdict"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.pages import decoded
+
 WORD = r"[\p{L}\p{N}_]+"
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\x{2028}\x{2029}]"
 
@@ -110,18 +112,12 @@ def char_chunks(text: Column, size: int = 1500, stride: int = 1300) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(windows)
 
 
-# Named character references that pages use; others stay as they are.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
 def html_text(html: Column) -> Column:
-    """Scripts and styles out, tags to blanks, character references decoded, white space collapsed."""
+    """Scripts and styles out, tags to blanks, character references decoded and composed, white space collapsed."""
     out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[\s\p{Z}\x85]+", " "))
+    return F.trim(F.regexp_replace(decoded(out), r"[\s\p{Z}\x85]+", " "))
 
 
 def abstract_line(text: Column) -> Column:

@@ -118,9 +118,9 @@ def page_text(x: str) -> str:
     x = rf"regexp_replace({x}, '(?is)<script[^>]*>.*?</script>', ' ', 'g')"
     x = rf"regexp_replace({x}, '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
     x = rf"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
         x = f"replace({x}, {lit(a)}, {lit(b)})"
-    return rf"trim(regexp_replace({x}, '[\s\p{{Z}}\x85]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(nfc_normalize({x}), '[\s\p{{Z}}\x85]+', ' ', 'g'))"
 
 
 OG, TITLE = "<meta property=\"og:title\" content=\"([^\"]+)\"", "<title>([^<]+)</title>"
@@ -255,6 +255,9 @@ SELECT doc_id, a AS abstract, CASE WHEN a <> t AND length(a) > 100 THEN a ELSE t
     "citation_strip_stats": CITED,
     "citation_sentences": f"SELECT id, t <> '' AND regexp_matches(t, {lit(INLINE)}) AND (length(t) < 200 OR regexp_matches(t, {lit('(?i)' + PHRASE)})) AS cites FROM (SELECT id, {TRIMMED.format('text')} AS t FROM {rows('cited')})",
     "stylometry_features": STYLE,
+    "paragraph_verdicts": f"""WITH l AS (SELECT doc_id, unnest(range(len(p))) AS para_no, unnest(p) AS para FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS p FROM documents)),
+t AS (SELECT doc_id, para_no, {TRIMMED.format('para')} AS para FROM l), q AS (SELECT *, (length(substr(para, 1, 1000)) % 101) / 101.0::DOUBLE AS p FROM t WHERE length(para) >= 100)
+SELECT doc_id, para_no::BIGINT AS para_no, substr(para, 1, 200) || '...' AS text, round(p, 3) AS ai_probability, CASE WHEN p > 0.8 THEN 'AI-LIKELY' WHEN p > 0.5 THEN 'MIXED' ELSE 'HUMAN' END AS verdict FROM q""",
     "machine_text_verdicts": f"""WITH b AS (SELECT *, 0.70::DOUBLE * p + 0.15::DOUBLE * CASE WHEN n_words > 50 THEN {PERPLEXITY} ELSE p END + 0.15::DOUBLE * CASE WHEN n_words > 100 THEN style ELSE p END AS x FROM {values('probabilities')})
 SELECT id, round(x, 6) AS blend, {band('x', '0.70', '0.45', ('AI-LIKELY', 'MIXED', 'HUMAN'))} AS verdict, CASE WHEN x > 0.85 OR 1 - x > 0.85 THEN 'high' ELSE 'medium' END AS confidence,
   {band('p', '0.8', '0.5', ('AI-LIKELY', 'MIXED', 'HUMAN'))} AS plain_verdict, CASE WHEN p > 0.95 OR 1 - p > 0.95 THEN 'high' ELSE 'medium' END AS plain_confidence FROM b""",

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from textloom.functions import citations as C
 from textloom.functions import style as Y
 from textloom.functions import text as T
+from textloom.functions.pages import linked_text
 from textloom.operators import relational as R
 from textloom.operators import similarity as S
+from textloom.engine import Engine, paragraph_verdicts as judged
+from textloom.operators.encoders import ENCODERS
 from textloom.plans.inline import table
 from textloom.sources import files, payloads, sinks
 
@@ -54,8 +57,9 @@ def inline_and_docs(spark: SparkSession, folder: str, name: str = "texts") -> Da
 
 @query
 def shingle_counts(spark, folder):
-    w = T.words(F.col("text"))
-    return inline_and_docs(spark, folder).select("id", F.size(w).cast("long").alias("n_words"), F.size(T.blank_words(F.col("text"))).cast("long").alias("n_blank_words"), F.size(T.shingles(w)).cast("long").alias("n_shingles"))
+    counts = T.bound(T.words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.size(T.shingles(w)).cast("long").alias("n_shingles")))
+    rows = inline_and_docs(spark, folder).select("id", F.size(T.blank_words(F.col("text"))).cast("long").alias("n_blank_words"), counts.alias("c"))
+    return rows.select("id", "c.n_words", "n_blank_words", "c.n_shingles")
 
 
 @query
@@ -101,7 +105,7 @@ def page_articles(spark, folder):
 
 @query
 def page_link_text(spark, folder):
-    return read(spark, folder, "pages").select("page_id", payloads.linked_text(F.col("html")).alias("text"))
+    return read(spark, folder, "pages").select("page_id", linked_text(F.col("html")).alias("text"))
 
 
 @query
@@ -254,6 +258,35 @@ def semantic_fallback(spark, folder):
     return paragraphs(spark, folder).join(near, "item_id", "left_anti").select("item_id")
 
 
+@query
+def semantic_matches(spark, folder):
+    """The best near match of each passage; for those without one, the most similar chunk by the default encoder, where its cosine is 0.75 or more."""
+    best = S.best_per(_benchmark_matches(spark, folder), "item_id", "score", "chunk_id")
+    left = paragraphs(spark, folder).join(best, "item_id", "left_anti").select("item_id", "text")
+    encode = ENCODERS["hashed-words"]
+    asked = encode(left, "item_id", "text").withColumnRenamed("item_id", "id")
+    known = encode(chunks(spark, folder), "chunk_id", "text").withColumnRenamed("chunk_id", "id")
+    top = S.cosine_top(asked, known, "id", "embedding").where("cosine >= 0.75")
+    more = top.select(F.col("q").alias("item_id"), F.col("c").alias("chunk_id"), F.round("cosine", 6).alias("score"), F.lit("semantic").alias("kind"))
+    return best.select("item_id", "chunk_id", F.round("score", 6).alias("score"), S.match_kind(F.col("score")).alias("kind")).unionByName(more)
+
+
+@query
+def engine_check(spark, folder):
+    """Documents (lines as paragraphs) checked end to end against the benchmark passages: quotations and citations out, candidates, windows, best match a paragraph, scores."""
+    d = docs(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    corpus = paragraphs(spark, folder).select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"))
+    scores = Engine(spark, corpus).check(d).scores
+    return scores.select("doc_id", "total_paragraphs", "flagged_paragraphs", F.round("overall_score", 9).alias("overall_score"), "corpus_size")
+
+
+@query
+def paragraph_verdicts(spark, folder):
+    """Lines of 100 characters or more, judged by a stand-in for a classifier: their length modulo 101."""
+    d = docs(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return judged(d, lambda text: F.length(text) % 101 / 101)
+
+
 @query
 def rerank(spark, folder):
     return S.reranked(table(spark, "logits")).select("para", "kind", F.round("score", 9).alias("score"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import clean_lines, looks_indonesian, preprocess_indonesian
+from textloom.functions.text import INDONESIAN_STOPWORDS, clean_lines, looks_indonesian, preprocess_indonesian
 
 # Fixed value: the namespace of text in DOCX files.
 DOCX_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -76,12 +77,17 @@ def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_" else f"\\{c}" for c in text)
 
 
-def load_corpus(spark: SparkSession, folder: str, preprocess: bool = True) -> DataFrame:
-    """Document rows of all files that can be read and have text."""
+def upload_text(content: Column) -> Column:
+    """Bytes of a plain text upload as text: UTF-8 where they are that, else Latin-1."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+
+
+def load_corpus(spark: SparkSession, folder: str, preprocess: bool = True, stopwords: Sequence[str] = INDONESIAN_STOPWORDS) -> DataFrame:
+    """Document rows of all files that can be read and have text. ``stopwords`` beyond the built-in ones are the caller's."""
     rows = read_files(spark, folder).where(F.col("kind").isin(KINDS) & F.col("error").isNull() & (F.col("text") != ""))
     rows = rows.withColumns(document_columns(F.col("path"), folder, F.col("text")))
     if preprocess:
-        rows = rows.withColumn("text", preprocess_indonesian(F.col("text")))
+        rows = rows.withColumn("text", preprocess_indonesian(F.col("text"), stopwords))
     return rows.select("doc_id", "title", "text", "source", "url", "language", F.lit(preprocess).alias("preprocessed"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from textloom.functions.text import html_text
 
 #: Columns that every payload is brought to.
-ROW = "doc_id", "title", "text", "source", "url"
 
 
 def _filled(x: Column) -> Column:
@@ -130,14 +129,3 @@ def linked_ids(html: Column, path: str) -> Column:
 def issue_links(html: Column) -> Column:
     """Issues named in links, decoded, each once, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r'href="[^"]*issue=([^"&]+)'), 1), lambda x: F.url_decode(x)))
-
-
-def linked_text(html: Column) -> Column:
-    """Text of a page with a line for each block and, before each link's text, a line with its address in brackets."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>', "\n[$1] ")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|br|h[1-6]|li|tr|section|article)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    out = F.replace(F.replace(F.replace(out, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(lines, "\n")

@@ -13,6 +13,12 @@ def export_json(corpus: DataFrame, path: str) -> None:
     corpus.write.mode("overwrite").json(path)
 
 
+def write_measures(measures: DataFrame, path: str) -> None:
+    """A table of measures as CSV with a header and as JSON lines, each in a folder of its own."""
+    measures.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+    measures.write.mode("overwrite").json(f"{path}/json")
+
+
 def append_new(rows: DataFrame, stored: DataFrame | None, key: str, path: str) -> DataFrame:
     """Append the rows whose key is not stored yet; returns them."""
     new = rows.join(stored.select(key), key, "left_anti") if stored is not None else rows
