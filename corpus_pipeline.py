@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. Rows that a stage takes as input are
-all rows that the one before kept.
+all rows that the one before kept. Nulls may be in any column, texts may be empty
+or very long, rows may be repeated, and tables may be empty; what becomes of such
+rows is said below, and in the operators' modules.
 """
 
 from __future__ import annotations
@@ -21,23 +23,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts, and texts that repeat themselves, among them. Repeated rows share their fate; an empty table stays empty."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from all documents but the first that has them; every document stays."""
+    """Boilerplate lines go from all documents but the first that has them; every document stays, null and empty texts as they are. n_chars of a changed text is counted again."""
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.when(F.col("_ld_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: links are five-word Jaccard similarities of 0.8 or more, all of them."""
+    """One document of each class of near duplicates stays, that with the smallest id (null last): links are five-word Jaccard similarities of 0.8 or more, all of them.
+
+    Null, empty and blank texts are one class; of rows alike in id and text one stays.
+    Fingerprints of 64 bits can't tell that similarity (some ten bits differ), so the stage compares the shingles themselves.
+    """
     return shingle_dedup.keep_one(docs, shingle_words=5, num=4, den=5).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as the mix takes them."""
+    """Documents stay as often as the mix takes them, to the nearest whole time; texts without words stay once, a null source is one of its own, and rows of one id are taken alike."""
     return mixing.mixed(docs).select(*COLUMNS)
 
 
@@ -45,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, decoded_sha256): a null text has no ids; the digest is that of the bytes that the ids decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     told = lambda c: (c.ids.astype(np.int32), len(c), hashlib.sha256(c.decoded()).hexdigest())
-    return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, told, "ids array<int>, n_tokens long, decoded_sha256 string", ["ids", "n_tokens", "decoded_sha256"], rest=("lang", "source"))
+    return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, told, "ids array<int>, n_tokens long, decoded_sha256 string", ["ids", "n_tokens", "decoded_sha256"], rest=("lang", "source"), max_frequent=1 << 18)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("shingle near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
