@@ -95,13 +95,17 @@ class PairTable:
     def slot(self, key: int, side: int) -> int:
         return (key * self.factors[side] >> 26) & ((1 << self.bits) - 1)
 
-    def ranked(self, elements: Column) -> Column:
+    def bound(self, body) -> Column:
+        """``body(arrays)`` with both arrays as variables: where a plan or its text has a literal, each copy takes megabytes of the driver."""
+        first, second = (F.from_json(F.lit(text), "array<bigint>") for text in self.texts)
+        return _let(first, lambda a: _let(second, lambda b: body([a, b])))
+
+    def ranked(self, elements: Column, arrays: list[Column]) -> Column:
         """Elements key * 2**28 + rest become rank * 2**28 + rest; the rank is NO_RANK where a key has none."""
-        tables = [F.from_json(F.lit(text), "array<bigint>") for text in self.texts]
 
         def one(x: Column) -> Column:
             key = F.shiftright(x, 28)
-            found = [F.get(t, F.shiftright(key * f, 26).bitwiseAND((1 << self.bits) - 1).cast("int")) for t, f in zip(tables, self.factors, strict=True)]
+            found = [F.get(t, F.shiftright(key * f, 26).bitwiseAND((1 << self.bits) - 1).cast("int")) for t, f in zip(arrays, self.factors, strict=True)]
             rest = x.bitwiseAND((1 << 28) - 1)
             hit = [(F.shiftright(v, 16) == key, F.shiftleft(v.bitwiseAND(65535), 28) + rest) for v in found]
             return F.when(*hit[0]).when(*hit[1]).otherwise(rest + (NO_RANK << 28))
@@ -134,7 +138,7 @@ def fold_merges(word: Column, table: PairTable) -> Column:
     keyed = lambda x, left, right: F.shiftleft(left * 65536 + right, 28) + x
     last = lambda x: x + (((1 << 32) - 1) << 28)  # noqa: E731  a key that no pair has
 
-    def step(s: Column, i: Column, least: Column, p: Column) -> Column:
+    def step(arrays: list[Column], s: Column, i: Column, least: Column, p: Column) -> Column:
         size, opening = F.size(s), i == 1
         every = F.transform(F.sequence(F.lit(0), size - 2), lambda k: keyed(F.get(s, k), ident(F.get(s, k)), ident(F.get(s, k + 1))))
         made = F.shiftright(least, 28)
@@ -142,18 +146,18 @@ def fold_merges(word: Column, table: PairTable) -> Column:
         new = F.when(p + 1 < size, keyed(start, made, ident(F.get(s, p + 1)))).otherwise(last(start))
         before = F.get(s, p - 2)
         near = F.when(p > 1, F.array(keyed(stem(before), ident(before), made), new)).otherwise(F.array(new))
-        found = table.ranked(F.when(opening, every).otherwise(near))
+        found = table.ranked(F.when(opening, every).otherwise(near), arrays)
         none = F.array().cast("array<bigint>")
         left = F.when(opening, none).otherwise(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))))
         right = F.when(opening, F.array(F.get(s, size - 1) + (NO_RANK << 28))).otherwise(F.slice(s, p + 2, n))
         return F.concat(left, found, right)
 
-    def next_state(s: Column, i: Column) -> Column:
-        return _let(F.array_min(s), lambda m: F.when((i == 1) | (m < NO_RANK << 28), _let(F.array_position(s, m).cast("int"), lambda p: step(s, i, m, p))).otherwise(s))
+    def next_state(arrays: list[Column], s: Column, i: Column) -> Column:
+        return _let(F.array_min(s), lambda m: F.when((i == 1) | (m < NO_RANK << 28), _let(F.array_position(s, m).cast("int"), lambda p: step(arrays, s, i, m, p))).otherwise(s))
 
     tokens = F.transform(word, lambda x, k: F.shiftleft(k.cast("bigint"), 16) + x)
     ids = lambda s: F.transform(s, lambda x: ident(x).cast("int"))
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), n), tokens, next_state, ids))
+    return F.when(n < 2, word).otherwise(table.bound(lambda arrays: F.aggregate(F.sequence(F.lit(1), n), tokens, lambda s, i: next_state(arrays, s, i), ids)))
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
