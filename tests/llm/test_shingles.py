@@ -1,9 +1,11 @@
-"""The pipeline's near-dedup stage against all pairs compared."""
+"""The pipeline's near-dedup stage against all pairs compared, by fingerprint and by shingles."""
 
 import itertools
 import random
 import re
 
+import xxhash
+
 from corpus_pipeline import COLUMNS, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -14,8 +16,15 @@ def grams(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def fingerprint(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 5]).encode(), 42) for k in range(max(1, len(w) - 4))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def kept(docs):
     sets, up = [grams(t) for _, t in docs], list(range(len(docs)))
+    prints = [fingerprint(t) for _, t in docs]
 
     def root(x):
         while up[x] != x:
@@ -23,7 +32,7 @@ def kept(docs):
         return x
 
     for a, b in itertools.combinations(range(len(docs)), 2):
-        if sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+        if (prints[a] ^ prints[b]).bit_count() <= 4 or sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     least = {}
@@ -60,3 +69,17 @@ def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = near_duplicates(spark, docs, "").select("doc_id").collect()
     assert sorted(str(r.doc_id) for r in got) == kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_fingerprints_link_below_the_similarity(spark):
+    """Two texts whose fingerprints are within the radius are one class although too few shingles are the same."""
+    rng, found = random.Random(5), None
+    while found is None:
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        copy = [w if k not in (15, 30, 45) else "other" for k, w in enumerate(words)]
+        a, b = " ".join(words), " ".join(copy)
+        if (fingerprint(a) ^ fingerprint(b)).bit_count() <= 4:
+            found = [(0, a), (1, b), (2, "quite another text of some few words")]
+    assert len(grams(found[0][1]) & grams(found[1][1])) < 0.8 * len(grams(found[0][1]) | grams(found[1][1]))
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in found], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in near_duplicates(spark, table, "").collect()) == [0, 2]

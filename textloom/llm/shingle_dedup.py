@@ -1,9 +1,12 @@
-"""Near-dedup by word shingles: every pair of texts with Jaccard similarity of ``num / den`` or more links.
+"""Near-dedup by SimHash, made whole: fingerprints within ``radius`` link, and so does every pair of texts with Jaccard similarity of ``num / den`` or more.
 
+Fingerprints and their classes are those of the SimHash operator (BK-trees). At
+a similarity of 0.8 some ten of 64 bits differ, beyond any radius at which trees
+skip much, so links of that similarity are searched by the shingles themselves.
 Texts are sets of the XXH64 hashes of their word shingles, equal sets are one
-node, and classes are the connected components of links.
+node, and classes are the connected components of both kinds of links.
 
-Search: hashes are ordered, those frequent in a sample of texts last. Two sets
+Search by shingles: hashes are ordered, those frequent in a sample of texts last. Two sets
 of Jaccard num / den or more share a hash among the first m - ceil(m num / den)
 + 1 of each (m is a set's size), so the pairs that meet there hold all links;
 sizes, the places of the first common hash, and maps of ``MAP_BITS`` bits rule
@@ -27,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash_dedup import rows_of
+from .simhash_dedup import majority, near_classes, rows_of
 from .storage import written
 
 SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS = 1 << 13, 1 << 16, 1024
 
 
-def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
-    """Sorted distinct hashes."""
+def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """Of every shingle in order, repeats included."""
     words = (text or b"").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.zeros(0, np.uint64)
@@ -43,7 +46,12 @@ def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
         return np.array([h(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-shingle_words] + 1).tolist()]
-    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(shingle_hashes(text, shingle_words))
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -77,9 +85,11 @@ def _heads(shingle_words: int, num: int, den: int, frequent, names: list[str]):
 
     def run(batches):
         for batch in batches:
-            sets, sizes, heads, maps = [], [], [], []
+            sets, sizes, heads, maps, prints = [], [], [], [], []
             for text in batch.column(2).to_pylist():
-                s = shingle_set(text, shingle_words)
+                s = shingle_hashes(text, shingle_words)
+                prints.append(majority(s))
+                s = np.unique(s)
                 n = len(s)
                 sets.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(n)
@@ -88,7 +98,7 @@ def _heads(shingle_words: int, num: int, den: int, frequent, names: list[str]):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     s = s[np.argsort(np.where(hot[at] == s, counts[at], 0), kind="stable")]
                 heads.append(s[: n - -(-n * num // den) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=names)
 
     return run
 
@@ -155,14 +165,24 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: in
     return met.mapInArrow(_similar(shingle_words, num, den), "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_links(rows: DataFrame, radius: int, id_col: str) -> DataFrame:
+    """(a, b): links of sets that connect what the classes of fingerprints connect: each set of a class with the smallest one."""
+    classes = near_classes(rows.select(id_col, "_row", "_fp"), radius, id_col).select("_fp", "_rep")
+    sets = written(rows.select("_set", "_fp").distinct().join(classes, "_fp").select("_set", "_rep"), "shingle-classes")
+    least = sets.groupBy("_rep").agg(F.min("_set").alias("_least"), F.max("_set").alias("_most")).where("_least <> _most")
+    same = lambda k: F.col(f"s._rep.{k}").eqNullSafe(F.col(f"l._rep.{k}"))
+    return sets.alias("s").join(least.alias("l"), same("z") & same("i") & same("r")).select(F.col("_set").alias("a"), F.col("_least").alias("b")).where("a <> b")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id (and text hash); of rows alike in both, any one."""
-    names = [id_col, "_row", "_set", "_size", "_head", "_map"]
+    names = [id_col, "_row", "_set", "_size", "_head", "_map", "_fp"]
     frequent = frequent_shingles(docs, shingle_words, text_col)
-    heads = docs.select(id_col, F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    heads = heads.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary")
+    rows = docs.select(id_col, F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
+    rows = written(rows.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows")
     place = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
-    nodes = written(heads.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
-    roots = connected_components(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col)).withColumnRenamed("node", "_set")
+    nodes = written(rows.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
+    links = simhash_links(rows, radius, id_col).unionByName(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col))
+    roots = connected_components(links).withColumnRenamed("node", "_set")
     kept = nodes.select("_set", "_rep").join(roots, "_set", "left").groupBy(F.coalesce("component", "_set")).agg(F.min("_rep").alias("_rep"))
     return rows_of(docs, kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), id_col, text_col)
