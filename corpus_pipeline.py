@@ -34,12 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the smallest id (null last): links are five-word Jaccard similarities of 0.8 or more, all of them.
+    """One document of each class of near duplicates stays, that with the smallest id (null last): SimHash fingerprints of five-word shingles within 4 bits link, and so do all pairs with a Jaccard similarity of 0.8 or more.
 
     Null, empty and blank texts are one class; of rows alike in id and text one stays.
-    Fingerprints of 64 bits can't tell that similarity (some ten bits differ), so the stage compares the shingles themselves.
+    Fingerprints alone can't tell that similarity (some ten of 64 bits differ), so shingles are compared as well.
     """
-    return shingle_dedup.keep_one(docs, shingle_words=5, num=4, den=5).select(*COLUMNS)
+    return shingle_dedup.keep_one(docs, shingle_words=5, num=4, den=5, radius=4).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_with(docs, ranks, public_tokenizers.PATTERN, told, "ids array<int>, n_tokens long, decoded_sha256 string", ["ids", "n_tokens", "decoded_sha256"], rest=("lang", "source"), max_frequent=1 << 18)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("shingle near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mix), ("byte-level BPE", encode)]
 
 #: Hashed likelihood ratios, similarities and ranked merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
