@@ -36,6 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -268,11 +269,12 @@ class _Frequent:
         n = frequent.num_rows
         pieces = frequent["piece"].chunk(0) if n else pa.array([], pa.binary())
         ids = frequent["ids"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
-        self.pieces = pieces
+        ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int32)
+        self.pieces, self.cuts = b"".join(x.as_buffer() for x in pieces), ends(pc.binary_length(pieces))
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer()) for x in pieces), np.uint64, n)
         self.order = np.argsort(self.hashes).astype(np.int32)
         self.hashes = self.hashes[self.order]
-        self.ids, self.ends = ids.flatten().to_numpy().astype("<u2"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int32)
+        self.ids, self.ends = ids.flatten().to_numpy().astype("<u2").tobytes(), 2 * ends(ids.value_lengths())
 
     def places(self, pieces: list[bytes]) -> np.ndarray:
         """Where each piece may be; -1 where it is not."""
@@ -284,8 +286,11 @@ class _Frequent:
 
     def found(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """The ids, as bytes, of those that are here."""
-        at = self.places(pieces).tolist()
-        return {p: self.ids[self.ends[k] : self.ends[k + 1]].tobytes() for p, k in zip(pieces, at, strict=True) if k >= 0 and self.pieces[k].as_py() == p}
+        at = self.places(pieces)
+        hit = np.flatnonzero(at >= 0)
+        k = at[hit]
+        spans = (x.tolist() for x in (hit, self.cuts[k], self.cuts[k + 1], self.ends[k], self.ends[k + 1]))
+        return {pieces[i]: self.ids[c:d] for i, a, b, c, d in zip(*spans, strict=True) if self.pieces[a:b] == pieces[i]}
 
 
 class _Numbers(dict):
