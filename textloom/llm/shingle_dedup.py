@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_dedup import majority, near_classes, rows_of
-from .storage import written
+from .storage import erase, written
 
 SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS = 1 << 13, 1 << 16, 1024
 
@@ -149,7 +149,7 @@ def candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): pairs of nodes with Jaccard num / den or more, each compared whole."""
+    """(a, b): pairs of nodes with Jaccard num / den or more, each compared whole. The tables on the way are deleted."""
     pairs = candidates(nodes, num, den)
     for k in "xy":
         pairs = pairs.join(nodes.select(F.col("_set").alias(k), F.col("_size").alias(f"n{k}"), F.col("_map").alias(f"m{k}")), k)
@@ -159,10 +159,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: in
     rows = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
     texts = rows.join(wanted, (F.col("_row") == F.col("_of")) & F.col("_i").eqNullSafe(F.col("_id"))).groupBy("_row", "_set").agg(F.first("_text").alias("_text"))
     texts = written(texts.select("_set", "_text"), "shingle-texts")
+    erase(wanted)
     own = texts.join(pairs.select(F.col("x").alias("_set")).distinct(), "_set").select(F.col("_set").alias("g"), F.lit(None).cast("long").alias("other"), "_text")
     others = pairs.join(texts, pairs["y"] == texts["_set"]).select(F.col("x").alias("g"), F.col("y").alias("other"), "_text")
     met = own.unionByName(others).repartition("g").sortWithinPartitions("g", F.col("other").asc_nulls_first())
-    return met.mapInArrow(_similar(shingle_words, num, den), "a long, b long")
+    links = written(met.mapInArrow(_similar(shingle_words, num, den), "a long, b long"), "shingle-links")
+    erase(pairs)
+    erase(texts)
+    return links
 
 
 def simhash_links(rows: DataFrame, radius: int, id_col: str) -> DataFrame:
@@ -182,7 +186,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5
     rows = written(rows.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows")
     place = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
     nodes = written(rows.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
-    links = simhash_links(rows, radius, id_col).unionByName(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col))
+    links = simhash_links(rows, radius, id_col)
+    erase(rows)
+    links = links.unionByName(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col))
     roots = connected_components(links).withColumnRenamed("node", "_set")
     kept = nodes.select("_set", "_rep").join(roots, "_set", "left").groupBy(F.coalesce("component", "_set")).agg(F.min("_rep").alias("_rep"))
     return rows_of(docs, kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), id_col, text_col)
