@@ -160,6 +160,12 @@ def test_references_and_composition(spark):
     assert value(spark, T.html_text(F.lit(page))) == "caf\u00e9 \u00e9t\u00e9 \u2014 <b> \U0001f600"
 
 
+def test_references_cut_off(spark):
+    """As in SQL, a reference without its semicolon stays, and so does an unknown name that begins like a known one."""
+    page = "<p>a&amp b&ampc; d&lt e&amp;lt; f&#38 g&#38; h&copy;&</p>"
+    assert value(spark, T.html_text(F.lit(page))) == "a&amp b&ampc; d&lt e&lt; f&#38 g& h\u00a9&"
+
+
 def test_upload_text(spark):
     df = spark.createDataFrame([(bytearray("gr\u00fcn".encode()),), (bytearray("gr\u00fcn".encode("latin-1")),)], "c binary")
     assert [r.t for r in df.select(files.upload_text(F.col("c")).alias("t")).collect()] == ["gr\u00fcn", "gr\u00fcn"]
