@@ -166,6 +166,12 @@ def test_references_cut_off(spark):
     assert value(spark, T.html_text(F.lit(page))) == "a&amp b&ampc; d&lt e&lt; f&#38 g& h\u00a9&"
 
 
+def test_article_with_reference_cut_off(spark):
+    page = F.lit("<title>Law &amp; order&amp</title><article>" + "word " * 50 + "this&amp</article>")
+    assert value(spark, payloads.article_title(page)) == "Law & order&amp"
+    assert value(spark, payloads.article_body(page)) == "word " * 50 + "this&amp"
+
+
 def test_upload_text(spark):
     df = spark.createDataFrame([(bytearray("gr\u00fcn".encode()),), (bytearray("gr\u00fcn".encode("latin-1")),)], "c binary")
     assert [r.t for r in df.select(files.upload_text(F.col("c")).alias("t")).collect()] == ["gr\u00fcn", "gr\u00fcn"]
