@@ -172,6 +172,11 @@ def test_article_with_reference_cut_off(spark):
     assert value(spark, payloads.article_body(page)) == "word " * 50 + "this&amp"
 
 
+def test_names_of_title_with_reference_cut_off(spark):
+    title = payloads.article_title(F.lit("<title>der&&amp</title>"))
+    assert value(spark, sinks.document_file(F.lit("arxiv"), title)) == "arxiv__der__amp.txt"
+
+
 def test_upload_text(spark):
     df = spark.createDataFrame([(bytearray("gr\u00fcn".encode()),), (bytearray("gr\u00fcn".encode("latin-1")),)], "c binary")
     assert [r.t for r in df.select(files.upload_text(F.col("c")).alias("t")).collect()] == ["gr\u00fcn", "gr\u00fcn"]
