@@ -83,3 +83,24 @@ def test_fingerprints_link_below_the_similarity(spark):
     assert len(grams(found[0][1]) & grams(found[1][1])) < 0.8 * len(grams(found[0][1]) | grams(found[1][1]))
     table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in found], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in near_duplicates(spark, table, "").collect()) == [0, 2]
+
+
+def test_rows_are_dealt_out_once(spark):
+    """The kept rows are joined and their copies dropped behind one exchange of texts; a second one took as much disk again."""
+    from pyspark.sql import functions as F
+
+    from textloom.llm.simhash_dedup import row_key, rows_of
+
+    rows = [(1, "a", "x"), (1, "a", "y"), (None, "b", "z"), (None, "b", "w"), (2, None, "q"), (3, "c", None), (None, None, "p"), (1, "d", "k"), (4, "e", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = docs.where("doc_id is null or doc_id < 4").groupBy("doc_id", row_key("text").alias("of")).count().select(F.col("doc_id").alias("id"), "of")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rows_of(docs, kept, "doc_id", "text")
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple").split("Initial Plan")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted({(i, t) for i, t, _ in rows if i != 4}, key=str)
+    assert plan.count("Exchange") == 3  # of texts; of kept keys, and of their own grouping

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_dedup import majority, near_classes, rows_of
-from .storage import erase, written
+from .storage import CLEANUP, erase, settings, written
 
 SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS = 1 << 13, 1 << 16, 1024
 
@@ -68,7 +68,8 @@ def frequent_shingles(docs: DataFrame, shingle_words: int, text_col: str = "text
 
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
     counts = _texts(some, text_col).mapInArrow(run, "h long").groupBy("h").count().where("count >= 3")
-    found = counts.orderBy(F.desc("count")).limit(MAX_FREQUENT).collect()
+    with settings(docs.sparkSession, CLEANUP):
+        found = counts.orderBy(F.desc("count")).limit(MAX_FREQUENT).collect()
     h, n = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
     order = np.argsort(h)
     return h[order], n[order]

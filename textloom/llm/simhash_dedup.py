@@ -203,6 +203,8 @@ def keep_one(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: s
 
 def rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of ``docs`` for each of ``kept(id, of)``, of being the text's hash. The columns of ``docs`` may have any names."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col(f"`{id_col}`").alias("i"), row_key(f"`{text_col}`").alias("r"))
-    rows = rows.join(kept, F.col("i").eqNullSafe(F.col("id")) & F.col("r").eqNullSafe(F.col("of")), "left_semi")
-    return rows.dropDuplicates(["i", "r"]).select("all.*")
+    kind = f"struct<i:{docs.schema[id_col].dataType.simpleString()},r:bigint>"
+    key = lambda i, r: F.struct(i.alias("i"), r.alias("r")).cast(kind)  # noqa: E731  one key of one type, never null, so that what the join deals out is not dealt out again
+    rows = docs.select(key(F.col(f"`{id_col}`"), row_key(f"`{text_col}`")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+    kept = kept.select(key(F.col("id"), F.col("of")).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("all.*")
