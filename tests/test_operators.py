@@ -207,3 +207,29 @@ def test_measures(spark, tmp_path):
     df = spark.createDataFrame([("all", 0.5)], "name string, f1 double")
     sinks.write_measures(df, str(tmp_path))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()[0].f1 == "0.5" and spark.read.json(str(tmp_path / "json")).collect()[0].f1 == 0.5
+
+
+def test_similar_pairs(spark):
+    """All pairs of a threshold against plain sets, over several rounds; a common phrase in every text makes no candidates, copies and short texts stay."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for k in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([4, 30, 60]))]
+        texts += [" ".join(words), " ".join(words[: len(words) * 2 // 3] + [f"z{rng.randrange(99)}"]), " ".join(words)]
+    texts = [t + " of the same old kind" * (i % 2) for i, t in enumerate(texts)] + ["one two", "One, two", "", None, "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    runs = {}
+    for i, t in enumerate(texts):
+        w = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        runs[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    want = {(a, b): len(runs[a] & runs[b]) for a in runs for b in runs if a != b and 10 * len(runs[a] & runs[b]) >= 3 * len(runs[a] | runs[b]) > 0}
+    before, S.ROUND_TEXTS, S.ROUND_PAIRS = (S.ROUND_TEXTS, S.ROUND_PAIRS), 40, 30
+    try:
+        got = {(r.a, r.b): r.common for r in S.similar_pairs(docs, "id", "text", 3, 10).collect()}
+        best = {(r.a, r.b) for r in R.top_matches(S.similar_pairs(docs, "id", "text", 3, 10, best=2).select("a", "b", F.col("jaccard").alias("score")), 2, "a", ["b"]).collect()}
+    finally:
+        S.ROUND_TEXTS, S.ROUND_PAIRS = before
+    assert got == want and len(want) > 100
+    share = {(a, b): c / len(runs[a] | runs[b]) for (a, b), c in want.items()}
+    assert best == {p for a in runs for p in sorted((p for p in share if p[0] == a), key=lambda p: (-share[p], p[1]))[:2]}

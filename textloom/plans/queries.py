@@ -191,9 +191,7 @@ def slot_candidates(spark, folder):
 
 @query
 def near_duplicate_pairs(spark, folder):
-    rows = S.shingle_rows(docs(spark, folder), "doc_id", "text")
-    left, right = rows.withColumnRenamed("doc_id", "a"), rows.withColumnRenamed("doc_id", "b")
-    pairs = S.jaccard_pairs(left, right, "a", "b", 0.3).where("a < b")
+    pairs = S.similar_pairs(docs(spark, folder), "doc_id", "text", 3, 10).where("a < b")
     return pairs.select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"))
 
 
