@@ -441,8 +441,7 @@ def session_ids(spark, folder):
 
 @query
 def ranked_matches(spark, folder):
-    rows = S.shingle_rows(docs(spark, folder), "doc_id", "text")
-    pairs = S.jaccard_pairs(rows.withColumnRenamed("doc_id", "a"), rows.withColumnRenamed("doc_id", "b"), "a", "b", 0.3).where("a <> b")
+    pairs = S.similar_pairs(docs(spark, folder), "doc_id", "text", 3, 10, best=3)
     top = R.top_matches(pairs.select("a", "b", F.col("jaccard").alias("score")), 3, "a", ["b"])
     return top.select("a", "b", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
