@@ -99,8 +99,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return met.withColumn("jaccard", F.col("common") / (F.col("_n") + F.col("_m") - F.col("common"))).drop("_n", "_m").where(F.col("jaccard") >= min_score)
 
 
-# Texts that are counted to tell frequent shingles, how many of these are told, texts a round of the search, pairs a round of comparisons, and shingles that candidates share.
-SAMPLE_TEXTS, MAX_FREQUENT, ROUND_TEXTS, ROUND_PAIRS, MEETS = 1 << 13, 1 << 16, 1 << 17, 1 << 16, 3
+# Texts that are counted to tell frequent shingles, how many of these are told, texts a round of the search, pairs a round of comparisons (or half as many as there are sets to compare), and shingles that candidates share.
+SAMPLE_TEXTS, MAX_FREQUENT, ROUND_TEXTS, ROUND_PAIRS, MEETS = 1 << 12, 1 << 16, 1 << 14, 1 << 13, 3
 
 
 def _prefixes(num: int, den: int, hot: np.ndarray, counts: np.ndarray):
@@ -165,7 +165,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int
     for gone in (*met, nodes, wanted):
         erase(gone)
     of = lambda k: whole.select(F.col("set").alias(k), F.col("s").alias(f"s{k}"))
-    rounds, found = max(1, pairs.count() // ROUND_PAIRS), []
+    rounds, found = max(1, pairs.count() // max(ROUND_PAIRS, whole.count() // 2)), []
     for k in range(rounds):
         one = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k).join(of("x"), "x").join(of("y"), "y")
         one = one.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"), (F.size("sx") + F.size("sy")).alias("both")).where(F.col("common") * (num + den) >= F.col("both") * num)
