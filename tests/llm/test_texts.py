@@ -374,6 +374,27 @@ def test_pitman_yor_sums_to_one(spark):
     assert 0 < end < 1 and abs(sum(p[w] for w in words) - end * (1 - p[""])) < 1e-9
 
 
+def test_pitman_yor_whole_contexts(spark):
+    """Seatings of one table a dish against a plain restatement: words that end alike are contexts of their own, at any number of buckets."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {i: " ".join(f"w{(i * k + k * k) % (5 + i % 9)}ending" for k in range(i % 12)) for i in range(400)}
+    seqs = {i: [None, *t.split(), "\n"] for i, t in texts.items()}
+    c = collections.Counter(x for i, s in seqs.items() if not held(i) for x in zip(s, s[1:], strict=False))
+    of, root = collections.Counter(), collections.Counter(w for _, w in c)
+    for (u, _), k in c.items():
+        of[u] += k
+    tables = collections.Counter(u for u, _ in c)
+    share = lambda v: min(0.95, max(0.05, v.count(1) / max(1, v.count(1) + 2 * v.count(2))))
+    d, d_root = share([*c.values()]), share([*root.values()])
+    base = lambda w: ((root[w] - d_root) if w in root else 1 + d_root * len(root)) / (1 + len(c))
+    p = lambda u, w: (max(0, c[u, w] - d * ((u, w) in c)) + (1 + d * tables[u]) * base(w)) / (1 + of[u])
+    want = {i: sum(math.log10(p(u, w)) for u, w in zip(s, s[1:], strict=False)) for i, s in seqs.items()}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    for size in (1 << 25, 512):
+        got = {r.doc_id: r.score for r in pitman_yor.score_texts(docs, sweeps=0, long=None, bucket_bytes=size).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_pitman_yor_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = pitman_yor.score_texts(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

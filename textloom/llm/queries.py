@@ -118,7 +118,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
-    return pitman_yor.score_texts(_table(spark, folder, "documents").select("doc_id", "text"))
+    return pitman_yor.score_texts(_table(spark, folder, "documents").select("doc_id", "text"), long=None)
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat_format": op4_chat_format, "op5_quality_rules": op5_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_embeddings": op8_embeddings, "op9_simhash": op9_simhash, "op10_pitman_yor": op10_pitman_yor}
