@@ -57,6 +57,15 @@ def test_warc(spark, min_bytes):
     assert warc_archive.digest_archive(warc_archive.archive_pages(df.limit(0))).count() == 0
 
 
+def test_warc_leaves_archive_only(spark, tmp_path, monkeypatch):
+    """Of the tables in the shared folder only payloads and headers stay."""
+    monkeypatch.setattr("textloom.llm.storage.shared_folder", lambda spark: f"file://{tmp_path}")
+    df = spark.createDataFrame([(1, "u", "a"), (2, "v", "a"), (3, None, None)], "page_id long, url string, html string")
+    assert warc_archive.digest_archive(warc_archive.archive_pages(df)).count() == 3
+    assert [p.name.split("-")[0] + "/" + q.name for p in (tmp_path / "textloom").iterdir() for q in sorted(p.iterdir()) if q.is_dir()] == ["warc/headers", "warc/payloads"]
+    assert len([*(tmp_path / "textloom").iterdir()]) == 1
+
+
 def links(ids, vectors, threshold):
     x = np.array(vectors, np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import CLEANUP, new_path, settings, written
+from .storage import CLEANUP, erase, new_path, settings, written
 
 #: WARC/1.1 names.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,7 +57,7 @@ def _keyed(id_type: str):
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(pack, batch.column(1).to_pylist()), pa.binary())], names=["key", "frame"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(pack, batch.column(2).to_pylist()), pa.binary())], names=["page_id", "of", "frame"])
 
 
 def _unpacked(batches):
@@ -97,7 +97,7 @@ def record_header(page_id: Column, url: Column, revisit: Column, refers_to: Colu
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write ``payloads`` and ``headers`` below ``path``. Every payload is hashed once; only those that are kept are moved and compressed."""
+    """Write ``payloads`` and ``headers`` below ``path``. Payloads are moved as the frames that are kept."""
     run, fields = _keyed(pages.schema[id_col].dataType.simpleString())
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = written(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).mapInArrow(run, fields), "warc-rows")
@@ -107,13 +107,16 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = D
     keys = written(keys.select("key", "t.top"), "warc-keys")
     first = F.col("page_id").eqNullSafe(F.col("top"))
     # By page as well as by payload, so that a payload that many pages have is dealt over all tasks.
-    whole = pages.select(F.col(id_col).alias("page_id"), html.alias("html")).withColumn("of", F.unhex(F.sha2("html", 256)))
-    whole = whole.join(keys, (F.col("of") == F.col("key")) & first).dropDuplicates(["key"]).select("key", "html")
+    whole = pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha2(html, 256)).alias("of"), html.alias("html"))
+    whole = whole.mapInArrow(_packed, f"page_id {pages.schema[id_col].dataType.simpleString()}, of binary, frame binary")
+    whole = whole.join(keys, (F.col("of") == F.col("key")) & first).dropDuplicates(["key"]).select("key", "frame")
     with settings(pages.sparkSession, CLEANUP):
-        whole.mapInArrow(_packed, "key binary, frame binary").write.parquet(f"{path}/payloads", compression="none")
+        whole.write.parquet(f"{path}/payloads", compression="none")
         told = rows.join(keys, "key")
         header = record_header(F.col("page_id"), F.col("url"), ~first & (F.col("n") >= min_bytes), F.col("top"), F.col("sha1"), F.col("n"), date)
         told.select("key", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers", compression="zstd")
+    for done in (rows, keys):
+        erase(done)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
