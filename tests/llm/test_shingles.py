@@ -104,3 +104,14 @@ def test_rows_are_dealt_out_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == sorted({(i, t) for i, t, _ in rows if i != 4}, key=str)
     assert plan.count("Exchange") == 3  # of texts; of kept keys, and of their own grouping
+
+
+def test_near_duplicates_leave_little(spark, tmp_path, monkeypatch):
+    """Heads and maps of sets are deleted before the texts that stay are moved."""
+    monkeypatch.setattr("textloom.llm.storage.shared_folder", lambda spark: f"file://{tmp_path}")
+    rows = [(i, f"one two three four five six {i // 2}", "en", "s", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = near_duplicates(spark, docs, "")
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "textloom").iterdir()}
+    assert "shingle-kept" in left and not left & {"shingle-rows", "shingle-nodes", "shingle-pairs", "shingle-texts"}
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]

@@ -192,4 +192,6 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5
     links = links.unionByName(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col))
     roots = connected_components(links).withColumnRenamed("node", "_set")
     kept = nodes.select("_set", "_rep").join(roots, "_set", "left").groupBy(F.coalesce("component", "_set")).agg(F.min("_rep").alias("_rep"))
-    return rows_of(docs, kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), id_col, text_col)
+    kept = written(kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), "shingle-kept")
+    erase(nodes)  # before the texts are moved
+    return rows_of(docs, kept, id_col, text_col)
