@@ -52,6 +52,8 @@ from pyspark.sql import functions as F
 from .storage import CLEANUP, erase, new_path, settings, written
 
 EXACT, GROUP, NODES, ROUNDS = 256, 64, 20, 4
+#: Rows have some MB: whole batches of them stand in Spark (where Parquet is read, and on the way to Python) and in Python.
+FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "4"}
 #: Keys of pairs: the word's place above, its context's place below.
 PLACE_BITS, PLACE = np.uint64(32), np.uint64((1 << 32) - 1)
 #: A chunk ends after so many tokens, or documents (whose places have 15 bits; the 16th marks held-out ones).
@@ -297,7 +299,7 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray,
     order = np.argsort(c, kind="stable")
     cuts = np.searchsorted(c[order], np.arange(EXACT + 2))
     for n in range(2, EXACT + 1):
-        step = (1 << 22) // n
+        step = (1 << 19) // n
         for lo in range(cuts[n], cuts[n + 1], step):
             at = order[lo : min(cuts[n + 1], lo + step)]
             w = stirling[n, 1 : n + 1] + np.arange(1, n + 1) * log_a[at, None]
@@ -311,22 +313,30 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, stirling: np.ndarray,
 
 
 def _seatings(bucket: int, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray, every: list[np.ndarray], state: dict):
-    """Replays the sweeps for which totals are known (``every``, of the bucket's contexts) and one more: yields (tables, root customers per word) of each."""
+    """Replays the sweeps for which totals are known (``every``, of the bucket's contexts) and one more: yields (tables, root customers per word) of each.
+
+    One customer has one table, so only pairs with more are drawn, and all that is kept per draw is theirs.
+    """
     starts = np.cumsum(per_word) - per_word
-    t = np.ones(len(counts), np.int64)
+    t = np.ones(len(counts), np.int32)
     root = per_word.astype(np.int64)
     yield t, root
+    if not every:
+        return
+    some = np.flatnonzero(counts > 1)
+    word, contexts, counts = (np.searchsorted(starts, some, side="right") - 1).astype(np.int32), contexts[some], counts[some]
     for sweep, totals in enumerate(every):
         rng = np.random.default_rng([state["seed"], bucket, sweep])
         p_root = (root - state["d_root"]) / (state["strength"] + state["sums"][sweep])
-        a = (state["strength"] + state["d"] * totals[contexts]) * np.repeat(p_root, per_word)
-        t = sample_tables(counts, a, state["d"], state["stirling"], rng)
-        root = np.add.reduceat(t, starts) if len(starts) else root
+        a = (state["strength"] + state["d"] * totals[contexts]) * p_root[word]
+        t = np.ones(len(t), np.int32)
+        t[some] = sample_tables(counts, a, state["d"], state["stirling"], rng)
+        root = np.add.reduceat(t, starts, dtype=np.int64) if len(starts) else root
         yield t, root
 
 
 def _row_arrays(pairs: bytes, contexts: bytes, counts: bytes):
-    return _open(pairs, "<u4").astype(np.int64), _open(contexts, "<u4").astype(np.int64), _open(counts, "<i8")
+    return _open(pairs, "<u4").astype(np.int64), _open(contexts, "<u4"), _open(counts, "<i8")
 
 
 def _counted(batches):
@@ -412,7 +422,7 @@ def totals(model: DataFrame, n_buckets: int, every: list[DataFrame], state: dict
     """(bucket, tables, customers) of the restaurants of each bucket's contexts after the last sweep, and the number of all tables."""
     sent = _with_totals(model, every).select("bucket", "heads", "every", "pairs", "contexts", "counts").mapInArrow(_sent(n_buckets, state), "range long, bucket long, heads binary, tables binary, customers binary")
     sums = sent.repartition(n_buckets, "range").sortWithinPartitions("range").mapInArrow(_added, "bucket long, range long, tables binary, customers binary")
-    out = written(sums.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "range").mapInArrow(_in_order, "bucket long, tables binary, customers binary"), "totals", "none")
+    out = written(sums.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "range").mapInArrow(_in_order, "bucket long, tables binary, customers binary"), "totals", "none", FEW)
     whole = out.where("bucket = -1").first()
     return out, int(_open(whole["tables"], "<i8").sum()) if whole else 0
 
@@ -427,10 +437,12 @@ def _score(shared):
     def load(bucket, words, heads, row, every, customers, state):
         per_word, contexts, counts = _row_arrays(*row)
         known, every = _open_sorted(words), [_open(x, "<i8") for x in every]
-        keys = np.repeat(np.arange(len(known), dtype=np.uint64), per_word) << PLACE_BITS | contexts.astype(np.uint64)
         sweeps = []
-        for (t, root), tables, n_tables in list(zip(_seatings(bucket, per_word, contexts, counts, every[:-1], state), every, state["sums"], strict=True))[state["skip"] :]:
-            sweeps.append((counts - state["d"] * t, (root - state["d_root"]) / (state["strength"] + n_tables), tables))
+        for k, ((t, root), tables, n_tables) in enumerate(zip(_seatings(bucket, per_word, contexts, counts, every[:-1], state), every, state["sums"], strict=True)):
+            if k >= state["skip"]:
+                sweeps.append((counts, t, (root - state["d_root"]) / (state["strength"] + n_tables), tables))
+        keys = np.repeat(np.arange(len(known), dtype=np.uint64) << PLACE_BITS, per_word)
+        keys |= contexts
         of_word = np.add.reduceat(counts, np.cumsum(per_word) - per_word) if len(per_word) else np.zeros(0, np.int64)
         return known, _open_sorted(heads), keys, sweeps, of_word, _open(customers, "<i8")
 
@@ -459,9 +471,9 @@ def _score(shared):
                 hit[hit] = keys[pos[hit]] == key[hit]
                 pos[~hit] = 0
                 p = np.zeros(len(u))
-                for (own, root, tables), rest in zip(sweeps, unseen_root, strict=True):
+                for (own, t, root, tables), rest in zip(sweeps, unseen_root, strict=True):
                     parent = np.where(ps, root[pw], rest) if len(known) else np.full(len(u), rest)
-                    mine = np.where(hit, own[pos], 0.0) if len(keys) else 0.0
+                    mine = np.where(hit, own[pos] - state["d"] * t[pos], 0.0) if len(keys) else 0.0
                     p += (mine + (state["strength"] + state["d"] * tables[u]) * parent) / (state["strength"] + customers[u])
                 logs = np.log10(np.maximum(p / len(sweeps), 1e-300))
                 o = _open(occurs, "<u4")
@@ -500,14 +512,14 @@ def _by_document(batches):
 def _in_rounds(rows: DataFrame, job, name: str) -> DataFrame:
     """``job`` of a share of the buckets at a time, so that no shuffle has all rows at once; the results are one table."""
     spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
-    with settings(spark, CLEANUP | {"spark.sql.execution.arrow.maxRecordsPerBatch": "32"}):  # rows of some MB
+    with settings(spark, CLEANUP | FEW):
         for k in range(ROUNDS):
             out = job(rows.where(F.pmod("bucket", F.lit(ROUNDS)) == k))
             out.write.mode("append").parquet(path, compression="none")
     return spark.read.schema(out.schema).parquet(path)
 
 
-def score_texts(docs: DataFrame, sweeps: int = 3, skip: int = 2, strength: float = 1.0, seed: int = 11, held_modulus: int = 7, held_remainder: int = 2, bucket_bytes: int = 1 << 25, long: int | None = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, sweeps: int = 3, skip: int = 2, strength: float = 1.0, seed: int = 11, held_modulus: int = 7, held_remainder: int = 2, bucket_bytes: int = 3 << 23, long: int | None = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
     Contexts are whole words if ``long`` is None. Of the seatings (first, all tables taken by one customer each, then ``sweeps`` samples), the first ``skip`` are not averaged.
@@ -521,7 +533,8 @@ def score_texts(docs: DataFrame, sweeps: int = 3, skip: int = 2, strength: float
     fields = "bucket long, words binary, pairs binary, heads binary, contexts binary, counts binary"
     model = _in_rounds(merged, lambda x: x.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_counts, fields), "counts")
     counted = model.select("pairs", "counts").mapInArrow(_counted, ", ".join(f"n{k} long" for k in range(6)))
-    vocabulary, n, c1, c2, r1, r2 = (x or 0 for x in counted.agg(*(F.sum(c) for c in counted.columns)).first())
+    with settings(spark, FEW):
+        vocabulary, n, c1, c2, r1, r2 = (x or 0 for x in counted.agg(*(F.sum(c) for c in counted.columns)).first())
     state = {"sums": [], "strength": strength, "seed": seed, "d": _discount(c1, c2), "d_root": _discount(r1, r2), "skip": min(skip, sweeps), "vocabulary": int(vocabulary), "n": int(n)}
     state["stirling"] = log_stirling(state["d"], EXACT)
     every = []
