@@ -4,9 +4,11 @@ import itertools
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from corpus_pipeline import COLUMNS, near_duplicates
+from textloom.llm import shingle_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +117,18 @@ def test_near_duplicates_leave_little(spark, tmp_path, monkeypatch):
     left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "textloom").iterdir()}
     assert "shingle-kept" in left and not left & {"shingle-rows", "shingle-nodes", "shingle-pairs", "shingle-texts"}
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
+def test_wide_maps_spare_texts():
+    """Long texts fill the narrow maps, which then rule out next to nothing; the wide ones do, and never a pair that links."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(1, 1 << 63, 20000).astype(np.uint64)
+    for common, links in ((1500, False), (1700, False), (1778, True), (1900, True), (2000, True)):
+        a, b = np.sort(hashes[:2000]), np.sort(np.concatenate([hashes[:common], hashes[5000 : 7000 - common]]))
+        narrow = [np.frombuffer(shingle_dedup.bit_map(s), np.uint8) for s in (a, b)]
+        assert 9 * (2000 - int(np.bitwise_count(narrow[0] & ~narrow[1]).sum())) >= 4 * 4000
+        wide = shingle_dedup.most_common(2000, 2000, shingle_dedup.wide_map(a), shingle_dedup.wide_map(b))
+        assert wide >= common and (9 * wide >= 4 * 4000) == links
+    for n, m in ((0, 0), (1, 1), (128, 129), (1000, 1100), (300, 2000)):  # maps of unlike sizes are folded
+        a, b = np.sort(hashes[:n]), np.sort(hashes[:m])
+        assert min(n, m) <= shingle_dedup.most_common(n, m, shingle_dedup.wide_map(a), shingle_dedup.wide_map(b))

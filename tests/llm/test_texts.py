@@ -116,6 +116,15 @@ def test_merges_by_heap():
         assert byte_bpe.merge_by_heap(piece, RANKS) == TOKENIZER.encode_ordinary(piece.decode())
 
 
+def test_good_texts_pass_python_once(spark):
+    """What is kept is read from a table that was written with few texts at a time; nulls and all columns are as they were."""
+    docs = spark.createDataFrame([(1, "z", " ".join(f"w{k}" for k in range(80))), (2, None, None), (None, "y", "é " * 3 + " ".join(f"v{k}" for k in range(60)))], "doc_id long, more string, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.inputFiles() and kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.text)
+
+
 # --- suffix-array dedup ---------------------------------------------------------------------------------------------
 
 

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import FEW_TEXTS, written
+
 BUCKET_BITS = 16
 #: Odd multipliers for mixing 64-bit words.
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -134,6 +136,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, n: int = 4, threshold: flo
     """One row per document: id, the five counts (long), base_failed, score (double), kept; then the columns ``rest`` as they are."""
     table = docs.sparkSession.sparkContext.broadcast(ratio_table(docs, labels, n, max_trusted, id_col, text_col))
 
+    others = [c for c in rest if c != text_col]
+    places = [1 if c == text_col else 2 + others.index(c) for c in rest]  # the text goes to Python once
+
     def run(batches):
         hashes, ratios = _WordHashes(), table.value
         for batch in batches:
@@ -145,15 +150,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, n: int = 4, threshold: flo
             c = np.array(counts, np.int64).reshape(-1, 5)
             failed = (c[:, 0] < min_words) | (100 * c[:, 4] > max_repeat_percent * c[:, 0])
             s = np.array(scores, np.float64)
-            columns = [batch.column(0), *(pa.array(c[:, i]) for i in range(5)), pa.array(failed), pa.array(s), pa.array(~failed & (s >= threshold)), *(batch.column(2 + i) for i in range(len(rest)))]
+            columns = [batch.column(0), *(pa.array(c[:, i]) for i in range(5)), pa.array(failed), pa.array(s), pa.array(~failed & (s >= threshold)), *(batch.column(at) for at in places)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *NAMES, "base_failed", "score", "kept", *(f"_rest_{c}" for c in rest)])
 
-    fields = [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{x} long" for x in NAMES), "base_failed boolean", "score double", "kept boolean", *(f"`_rest_{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)]
-    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_rest_{c}") for c in rest])
-    return rows.mapInArrow(run, ", ".join(fields))
+    kinds = {c: "binary" if c == text_col else docs.schema[c].dataType.simpleString() for c in rest}
+    fields = [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{x} long" for x in NAMES), "base_failed boolean", "score double", "kept boolean", *(f"`_rest_{c}` {k}" for c, k in kinds.items())]
+    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_rest_{c}") for c in rest if c != text_col])
+    scored = rows.mapInArrow(run, ", ".join(fields))
+    return scored.withColumn(f"_rest_{text_col}", F.col(f"`_rest_{text_col}`").cast(docs.schema[text_col].dataType)) if text_col in rest else scored
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns they had."""
+    """The rows of ``docs`` that are kept, with the columns they had. They are written in the shared folder, as whole texts pass Python, and few of them at a time."""
     scored = score_quality(docs, labels, rest=tuple(docs.columns), **options)
-    return scored.where("kept").select(*[F.col(f"`_rest_{c}`").alias(c) for c in docs.columns])
+    return written(scored.where("kept").select(*[F.col(f"`_rest_{c}`").alias(c) for c in docs.columns]), "good", during=FEW_TEXTS)

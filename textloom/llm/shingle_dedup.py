@@ -10,8 +10,9 @@ Search by shingles: hashes are ordered, those frequent in a sample of texts last
 of Jaccard num / den or more share a hash among the first m - ceil(m num / den)
 + 1 of each (m is a set's size), so the pairs that meet there hold all links;
 sizes, the places of the first common hash, and maps of ``MAP_BITS`` bits rule
-out most others (each bit that only one set has is a hash the other lacks). What
-is left is compared whole. The sample decides the cost alone: nothing is lost at
+out most others (each bit that only one set has is a hash the other lacks). Of the texts
+of what is left, wider maps are made (``WIDE_BITS`` a hash) and rule out most of the rest, so that
+few texts are moved. What is left then is compared whole. The sample decides the cost alone: nothing is lost at
 any order.
 
 Defined results: null, empty and blank texts have the empty set and are one
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_dedup import majority, near_classes, rows_of
-from .storage import CLEANUP, erase, settings, written
+from .storage import CLEANUP, FEW_TEXTS, erase, settings, written
 
-SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS = 1 << 13, 1 << 16, 1024
+SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS, WIDE_BITS = 1 << 13, 1 << 16, 1024, 8
 
 
 def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
@@ -75,12 +76,26 @@ def frequent_shingles(docs: DataFrame, shingle_words: int, text_col: str = "text
     return h[order], n[order]
 
 
-def bit_map(s: np.ndarray) -> bytes:
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[(s % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+def bit_map(s: np.ndarray, size: int = MAP_BITS) -> bytes:
+    bits = np.zeros(size, np.uint8)
+    bits[(s % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def wide_map(s: np.ndarray) -> bytes:
+    """A map of ``WIDE_BITS`` bits or more a hash, their number a power of two, so that a wider one can be folded."""
+    return bit_map(s, 1 << max(MAP_BITS, WIDE_BITS * len(s) - 1).bit_length())
+
+
+def most_common(n: int, m: int, a: bytes, b: bytes) -> int:
+    """No more hashes than this are common to sets of n and m hashes with these wide maps."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0).view(np.uint64) for v in (x, y))
+    lone = [int(np.bitwise_count(v).sum(dtype=np.int64)) for v in (x & ~y, y & ~x)]
+    return min(n - lone[0], m - lone[1])
+
+
 def _heads(shingle_words: int, num: int, den: int, frequent, names: list[str]):
     hot, counts = frequent
 
@@ -118,6 +133,29 @@ def _may_link(num: int, den: int):
     return run
 
 
+def _widely(shingle_words: int):
+    """Texts to their wide maps."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, shingle_words) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_map(s) for s in sets], pa.binary())], names=["_set", "n", "wide"])
+
+    return run
+
+
+def _may_link_widely(num: int, den: int):
+    """(x, y, sizes, wide maps) to the pairs whose maps leave room for enough common hashes."""
+
+    def run(batches):
+        for batch in batches:
+            n, m, a, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            at = pa.array([k for k, row in enumerate(zip(n, m, a, b, strict=True)) if most_common(*row) * (num + den) >= num * (row[0] + row[1])], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (0, 1)], names=["x", "y"])
+
+    return run
+
+
 def _similar(shingle_words: int, num: int, den: int):
     """Rows in order of ``g``, its own text (``other`` null) before those of its candidates, to links."""
 
@@ -161,10 +199,18 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: in
     texts = rows.join(wanted, (F.col("_row") == F.col("_of")) & F.col("_i").eqNullSafe(F.col("_id"))).groupBy("_row", "_set").agg(F.first("_text").alias("_text"))
     texts = written(texts.select("_set", "_text"), "shingle-texts")
     erase(wanted)
+    maps = written(texts.select("_set", "_text").mapInArrow(_widely(shingle_words), "_set long, n long, wide binary"), "shingle-maps", during=FEW_TEXTS)
+    left = pairs
+    for k in "xy":
+        left = left.join(maps.select(F.col("_set").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")), k)
+    left = written(left.select("x", "y", "nx", "ny", "wx", "wy").mapInArrow(_may_link_widely(num, den), "x long, y long"), "shingle-left", during=FEW_TEXTS)
+    erase(maps)
+    erase(pairs)
+    pairs = left  # before texts are moved, one for each pair
     own = texts.join(pairs.select(F.col("x").alias("_set")).distinct(), "_set").select(F.col("_set").alias("g"), F.lit(None).cast("long").alias("other"), "_text")
     others = pairs.join(texts, pairs["y"] == texts["_set"]).select(F.col("x").alias("g"), F.col("y").alias("other"), "_text")
     met = own.unionByName(others).repartition("g").sortWithinPartitions("g", F.col("other").asc_nulls_first())
-    links = written(met.mapInArrow(_similar(shingle_words, num, den), "a long, b long"), "shingle-links")
+    links = written(met.mapInArrow(_similar(shingle_words, num, den), "a long, b long"), "shingle-links", during=FEW_TEXTS)
     erase(pairs)
     erase(texts)
     return links
@@ -184,7 +230,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5
     names = [id_col, "_row", "_set", "_size", "_head", "_map", "_fp"]
     frequent = frequent_shingles(docs, shingle_words, text_col)
     rows = docs.select(id_col, F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    rows = written(rows.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows")
+    rows = written(rows.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows", during=FEW_TEXTS)
     place = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
     nodes = written(rows.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
     links = simhash_links(rows, radius, id_col)

@@ -18,6 +18,9 @@ _own: dict[str, str] = {}
 #: A job's shuffle files go as soon as it ends.
 CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
+#: Whole texts pass between Spark and Python so many at a time, as each batch stands in both.
+FEW_TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one if all of Spark runs in this process; else an error, as executors would not see each other's files."""
