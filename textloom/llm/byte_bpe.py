@@ -31,7 +31,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import erase, written
+from .storage import erase, lean, written
 
 NO_RANK = 1 << 16
 #: White space as in the Unicode property; Python's own \s has four control characters more.
@@ -91,6 +92,7 @@ class PairTable:
             else:
                 return False
         self.texts = [json.dumps(row, separators=(",", ":")) for row in self.rows]
+        del self.rows
         return True
 
     def slot(self, key: int, side: int) -> int:
@@ -183,15 +185,35 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+@cache
+def _plain_classes() -> dict[str, str]:
+    """Letters and numbers below 2**16, as `regex` has them, as ranges for `re`, which looks them up in a table."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 1 << 16)]))
+    runs = {k: [(m.start(), m.end() - 1) for m in regex.finditer(rf"\p{{{k}}}+", every)] for k in "LN"}
+    return {k: "".join(f"\\u{ord(every[a]):04x}-\\u{ord(every[b]):04x}" for a, b in v) for k, v in runs.items()}
+
+
 def _finder(pattern: str):
+    """All matches in a text; by `re`, which takes half the time, where the pattern has no other properties than letters and numbers and the text nothing beyond 2**16."""
     own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-    return regex.compile(own).findall
+    slow, plain = regex.compile(own).findall, own
+    for k, ranges in _plain_classes().items():
+        inside = rf"(\[[^\]]*)\\p\{{{k}\}}"
+        while re.search(inside, plain):
+            plain = re.sub(inside, lambda m: m[1] + ranges, plain)  # noqa: B023
+        plain = plain.replace(rf"\p{{{k}}}", f"[{ranges}]")
+    if re.search(r"\\[pPNX]|\(\?[a-zA-Z<]|\[\[", plain):
+        return slow
+    fast, beyond = re.compile(plain).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: fast(text) if text.isascii() or not beyond(text) else slow(text)
 
 
 #: What a partition's passes remember is forgotten after so many distinct pieces.
 FORGET = 1 << 18
 #: Documents that a pass handles at a time, so that few texts are in memory twice.
 SLICE = 256
+#: Ids that are spelled at a time.
+AT_ONCE = 1 << 18
 #: The share of documents that the cache is made from.
 CACHE_SHARE = 0.125
 #: Frequent pieces have no more bytes than this.
@@ -217,10 +239,12 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
         known, find = shared.value, _finder(pattern)
 
         def counted(chunks):
-            found = Counter()
+            found, alike = Counter(), defaultdict(list)
             for chunk, n in chunks.items():
-                for piece in find(f" {chunk}"):
-                    found[piece] += n
+                alike[n].append(chunk)
+            for n, some in alike.items():
+                for piece, m in Counter(find(" " + " ".join(some))).items():
+                    found[piece] += n * m
             words = [(b, n) for x, n in found.items() if len(b := x.encode()) <= FREQUENT_BYTES and b not in known]
             for at in range(0, len(words), 1 << 14):
                 part = words[at : at + (1 << 14)]
@@ -240,7 +264,7 @@ def frequent_pieces(rows: DataFrame, shared, pattern: str, table: PairTable, max
             pieces = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), _byte_ids(pieces, shared.value)], names=["piece", "word"])
 
-    counts = rows.select("_text").sample(CACHE_SHARE, seed=1).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = rows.select("_text").sample(CACHE_SHARE, seed=1).mapInArrow(lean(count), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     counts = written(counts, "bpe-counts", during=DURING)
     # How many pieces have each count tells the least count to take, so that no task sorts or holds all of them.
     least, taken = 1 << 62, 0
@@ -270,8 +294,9 @@ class _Frequent:
         pieces = frequent["piece"].chunk(0) if n else pa.array([], pa.binary())
         ids = frequent["ids"].chunk(0) if n else pa.array([], pa.list_(pa.int32()))
         ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int32)
-        self.pieces, self.cuts = b"".join(x.as_buffer() for x in pieces), ends(pc.binary_length(pieces))
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.as_buffer()) for x in pieces), np.uint64, n)
+        self.cuts, first = ends(pc.binary_length(pieces)), int(np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset]) if n else 0
+        self.pieces = bytes(memoryview(pieces.buffers()[2] or b"")[first : first + int(self.cuts[-1])]) if n else b""  # no object for each piece: the driver has little memory
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(self.pieces[self.cuts[i] : self.cuts[i + 1]]) for i in range(n)), np.uint64, n)
         self.order = np.argsort(self.hashes).astype(np.int32)
         self.hashes = self.hashes[self.order]
         self.ids, self.ends = ids.flatten().to_numpy().astype("<u2").tobytes(), 2 * ends(ids.value_lengths())
@@ -330,19 +355,46 @@ class _Pool:
 
 
 class Coded:
-    """A document: its ids, their decimals joined by commas, and the bytes that they decode to."""
+    """A document: its ids, and views of their decimals joined by commas and of the bytes that they decode to."""
 
-    def __init__(self, ids: np.ndarray, decimals: list[str], pieces: list[bytes]) -> None:
-        self.ids, self._listed, self._decimals, self._pieces = ids, ids.tolist(), decimals, pieces
+    def __init__(self, ids: np.ndarray, id_text: memoryview, decoded: memoryview) -> None:
+        self.ids, self._id_text, self._decoded = ids, id_text, decoded
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def id_text(self) -> str:
-        return ",".join(map(self._decimals.__getitem__, self._listed))
+    def id_text(self) -> memoryview:
+        return self._id_text
+
+    def decoded(self) -> memoryview:
+        return self._decoded
+
+
+class _Spelled:
+    """Decimals and bytes of many ids at once, gathered from one array of each."""
+
+    def __init__(self, by_id: list[bytes]) -> None:
+        self.decimals, self.pieces = (pa.array(x, pa.large_binary()) for x in ([b"%d," % i for i in range(len(by_id))], by_id))
+
+    def _gathered(self, values: pa.LargeBinaryArray, ids: pa.Array, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+        found = values.take(ids)
+        _, offsets, data = found.buffers()
+        return memoryview(data or b""), np.frombuffer(offsets, np.int64, len(found) + 1)[ends].tolist()
 
-    def decoded(self) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self._listed))
+    def coded(self, documents: list[np.ndarray]):
+        """In runs of at most ``AT_ONCE`` ids, or of one document."""
+        at = 0
+        while at < len(documents):
+            to, n = at + 1, len(documents[at])
+            while to < len(documents) and n + len(documents[to]) <= AT_ONCE:
+                n += len(documents[to])
+                to += 1
+            ids, ends = pa.array(np.concatenate(documents[at:to])), np.concatenate([[0], np.cumsum([len(x) for x in documents[at:to]])])
+            (text, cuts), (decoded, edges) = (self._gathered(x, ids, ends) for x in (self.decimals, self.pieces)) if n else ((memoryview(b""), [0] * len(ends)),) * 2
+            for k in range(at, to):
+                i = k - at
+                yield Coded(documents[k], text[cuts[i] : max(cuts[i], cuts[i + 1] - 1)], decoded[edges[i] : edges[i + 1]])
+            at = to
 
 
 def _pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:
@@ -363,6 +415,7 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     keep_ddl = ", ".join(f"`_k{i}` {k}" for i, k in enumerate(kinds))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     frequent = sc.broadcast(frequent_pieces(rows, shared, pattern, table, max_frequent))
+    pa.default_memory_pool().release_unused()
 
     k = len(keep)
     sent_names = [*(f"_k{i}" for i in range(k)), "_numbers", "_number", "_word", "_given", "_forget"]
@@ -408,8 +461,7 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
 
     def answer(batches):
         known, pool = shared.value, _Pool()
-        by_id = _pieces_by_id(known)
-        decimals = [str(i) for i in range(len(by_id))]
+        spelled = _Spelled(_pieces_by_id(known))
         for batch in batches:
             docs_, number, given, forget, folded = (batch.column(k + i) for i in (0, 1, 3, 4, 5))
             out = []
@@ -430,14 +482,16 @@ def encode_with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
                     lists = folded.slice(at, to - at)
                     pool.add(number.slice(at, to - at).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype("<u2"))
                 else:
-                    out += [finish(Coded(pool.ids(np.frombuffer(data, np.int32)), decimals, by_id)) for data in docs_.slice(at, to - at).to_pylist()]
+                    for lo in range(at, to, SLICE):
+                        some = docs_.slice(lo, min(to - lo, SLICE)).to_pylist()
+                        out += map(finish, spelled.coded([pool.ids(np.frombuffer(data, np.int32)) for data in some]))
             if out:
                 some = pa.array(kind == 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(some) for i in range(k)), *(pa.array(c) for c in zip(*out, strict=True))], names=[*(f"_k{i}" for i in range(k)), *names])
 
-    asked = rows.mapInArrow(ask, ", ".join([*([keep_ddl] if keep else []), "_numbers binary, _number int, _word array<int>, _given binary, _forget boolean"]))
+    asked = rows.mapInArrow(lean(ask), ", ".join([*([keep_ddl] if keep else []), "_numbers binary, _number int, _word array<int>, _given binary, _forget boolean"]))
     folded = asked.withColumn("_ids", F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), table)))
-    out = written(folded.mapInArrow(answer, f"{keep_ddl}, {fields}"), "bpe", during=DURING)
+    out = written(folded.mapInArrow(lean(answer), f"{keep_ddl}, {fields}"), "bpe", during=DURING)
     frequent.destroy()
     shared.destroy()
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *names)

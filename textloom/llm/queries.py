@@ -39,7 +39,7 @@ FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id
 
 
 def _bpe_digest(coded: byte_bpe.Coded) -> tuple[int, str, str]:
-    return len(coded), hashlib.sha256(coded.id_text().encode()).hexdigest(), hashlib.sha256(coded.decoded()).hexdigest()
+    return len(coded), hashlib.sha256(coded.id_text()).hexdigest(), hashlib.sha256(coded.decoded()).hexdigest()
 
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
