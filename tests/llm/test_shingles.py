@@ -132,3 +132,12 @@ def test_wide_maps_spare_texts():
     for n, m in ((0, 0), (1, 1), (128, 129), (1000, 1100), (300, 2000)):  # maps of unlike sizes are folded
         a, b = np.sort(hashes[:n]), np.sort(hashes[:m])
         assert min(n, m) <= shingle_dedup.most_common(n, m, shingle_dedup.wide_map(a), shingle_dedup.wide_map(b))
+
+
+def test_near_copies_cost_no_square(spark):
+    """Sets in one class already are not paired; sets of other classes are, all of them."""
+    head = [(k, 10, list(range(100, 103)), 1 if k < 40 else k) for k in range(60)]
+    nodes = spark.createDataFrame(head, "_set long, _size int, _head array<long>, _class long")
+    assert shingle_dedup.first_candidates(nodes, 4, 5).count() == 59
+    got = {(r.x, r.y) for r in shingle_dedup.candidates(nodes, 4, 5).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(60), 2) if b >= 40}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import FEW_TEXTS, written
+from .storage import FEW_TEXTS, lean, written
 
 BUCKET_BITS = 16
 #: Odd multipliers for mixing 64-bit words.
@@ -156,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, n: int = 4, threshold: flo
     kinds = {c: "binary" if c == text_col else docs.schema[c].dataType.simpleString() for c in rest}
     fields = [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{x} long" for x in NAMES), "base_failed boolean", "score double", "kept boolean", *(f"`_rest_{c}` {k}" for c, k in kinds.items())]
     rows = docs.select(id_col, F.col(text_col).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_rest_{c}") for c in rest if c != text_col])
-    scored = rows.mapInArrow(run, ", ".join(fields))
+    scored = rows.mapInArrow(lean(run), ", ".join(fields))
     return scored.withColumn(f"_rest_{text_col}", F.col(f"`_rest_{text_col}`").cast(docs.schema[text_col].dataType)) if text_col in rest else scored
 
 

@@ -13,7 +13,9 @@ sizes, the places of the first common hash, and maps of ``MAP_BITS`` bits rule
 out most others (each bit that only one set has is a hash the other lacks). Of the texts
 of what is left, wider maps are made (``WIDE_BITS`` a hash) and rule out most of the rest, so that
 few texts are moved. What is left then is compared whole. The sample decides the cost alone: nothing is lost at
-any order.
+any order. First each hash's smallest set meets the others; sets that these links and the
+fingerprints already put into one class are not paired again, as classes are all that is
+asked for, so a large group of near copies does not cost its square.
 
 Defined results: null, empty and blank texts have the empty set and are one
 class; a text shorter than a shingle is one shingle; words are split at the six
@@ -27,12 +29,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_dedup import majority, near_classes, rows_of
-from .storage import CLEANUP, FEW_TEXTS, erase, settings, written
+from .storage import CLEANUP, FEW_TEXTS, erase, lean, settings, written
 
 SAMPLE_DOCS, MAX_FREQUENT, MAP_BITS, WIDE_BITS = 1 << 13, 1 << 16, 1024, 8
 
@@ -177,40 +179,52 @@ def _similar(shingle_words: int, num: int, den: int):
     return run
 
 
+def _occurrences(nodes: DataFrame, *more: str) -> DataFrame:
+    return nodes.select("_set", "_size", *more, F.posexplode("_head").alias("_at", "_h")).select("_h", "_set", "_size", *more, (F.col("_size") - F.col("_at")).alias("_left"))
+
+
+def _may(a: str, b: str, num: int, den: int):
+    return (F.col(f"{a}._size") * den >= F.col(f"{b}._size") * num) & (F.least(f"{a}._left", f"{b}._left") * (num + den) >= (F.col(f"{a}._size") + F.col(f"{b}._size")) * num)
+
+
+def first_candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): of each head hash, the smallest set with each other one, if they may link. As many as there are hashes at most, whatever the groups' sizes."""
+    rows = _occurrences(nodes).withColumn("a", F.min(F.struct("_size", "_set", "_left")).over(Window.partitionBy("_h"))).withColumn("b", F.struct("_size", "_set", "_left"))
+    return rows.where((F.col("a._set") != F.col("_set")) & _may("a", "b", num, den)).select(F.col("a._set").alias("x"), F.col("_set").alias("y")).distinct()
+
+
 def candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y): all pairs of ``nodes(_set, _size, _head)`` that may link, x the smaller set."""
-    rows = nodes.select("_set", "_size", F.posexplode("_head").alias("_at", "_h")).select("_h", "_set", "_size", (F.col("_size") - F.col("_at")).alias("_left"))
+    """(x, y): all pairs of ``nodes(_set, _size, _head, _class)`` that may link and are not in one class already, x the smaller set."""
+    rows = _occurrences(nodes, "_class")
     a, b = rows.alias("a"), rows.alias("b")
     smaller = (F.col("a._size") < F.col("b._size")) | ((F.col("a._size") == F.col("b._size")) & (F.col("a._set") < F.col("b._set")))
-    both = F.col("a._size") + F.col("b._size")
-    may = (F.col("a._size") * den >= F.col("b._size") * num) & (F.least("a._left", "b._left") * (num + den) >= both * num)
-    return a.join(b, (F.col("a._h") == F.col("b._h")) & smaller & may).select(F.col("a._set").alias("x"), F.col("b._set").alias("y")).distinct()
+    met = (F.col("a._h") == F.col("b._h")) & (F.col("a._class") != F.col("b._class"))
+    return a.join(b, met & smaller & _may("a", "b", num, den)).select(F.col("a._set").alias("x"), F.col("b._set").alias("y")).distinct()
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): pairs of nodes with Jaccard num / den or more, each compared whole. The tables on the way are deleted."""
-    pairs = candidates(nodes, num, den)
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle_words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): those of ``pairs(x, y)`` of nodes with Jaccard num / den or more, each compared whole. The tables on the way are deleted."""
     for k in "xy":
         pairs = pairs.join(nodes.select(F.col("_set").alias(k), F.col("_size").alias(f"n{k}"), F.col("_map").alias(f"m{k}")), k)
-    pairs = written(pairs.select("x", "y", "nx", "ny", "mx", "my").mapInArrow(_may_link(num, den), "x long, y long"), "shingle-pairs")
+    pairs = written(pairs.select("x", "y", "nx", "ny", "mx", "my").mapInArrow(lean(_may_link(num, den)), "x long, y long"), "shingle-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("_set")).distinct().join(nodes, "_set").select("_set", F.col("_rep.i").alias("_id"), F.col("_rep.r").alias("_of"))
     wanted = written(wanted, "shingle-wanted")  # as a table of known size it is broadcast while small, and texts stay where they are
     rows = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
     texts = rows.join(wanted, (F.col("_row") == F.col("_of")) & F.col("_i").eqNullSafe(F.col("_id"))).groupBy("_row", "_set").agg(F.first("_text").alias("_text"))
     texts = written(texts.select("_set", "_text"), "shingle-texts")
     erase(wanted)
-    maps = written(texts.select("_set", "_text").mapInArrow(_widely(shingle_words), "_set long, n long, wide binary"), "shingle-maps", during=FEW_TEXTS)
+    maps = written(texts.select("_set", "_text").mapInArrow(lean(_widely(shingle_words)), "_set long, n long, wide binary"), "shingle-maps", during=FEW_TEXTS)
     left = pairs
     for k in "xy":
         left = left.join(maps.select(F.col("_set").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")), k)
-    left = written(left.select("x", "y", "nx", "ny", "wx", "wy").mapInArrow(_may_link_widely(num, den), "x long, y long"), "shingle-left", during=FEW_TEXTS)
+    left = written(left.select("x", "y", "nx", "ny", "wx", "wy").mapInArrow(lean(_may_link_widely(num, den)), "x long, y long"), "shingle-left", during=FEW_TEXTS)
     erase(maps)
     erase(pairs)
     pairs = left  # before texts are moved, one for each pair
     own = texts.join(pairs.select(F.col("x").alias("_set")).distinct(), "_set").select(F.col("_set").alias("g"), F.lit(None).cast("long").alias("other"), "_text")
     others = pairs.join(texts, pairs["y"] == texts["_set"]).select(F.col("x").alias("g"), F.col("y").alias("other"), "_text")
     met = own.unionByName(others).repartition("g").sortWithinPartitions("g", F.col("other").asc_nulls_first())
-    links = written(met.mapInArrow(_similar(shingle_words, num, den), "a long, b long"), "shingle-links", during=FEW_TEXTS)
+    links = written(met.mapInArrow(lean(_similar(shingle_words, num, den)), "a long, b long"), "shingle-links", during=FEW_TEXTS)
     erase(pairs)
     erase(texts)
     return links
@@ -230,12 +244,16 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, num: int = 4, den: int = 5
     names = [id_col, "_row", "_set", "_size", "_head", "_map", "_fp"]
     frequent = frequent_shingles(docs, shingle_words, text_col)
     rows = docs.select(id_col, F.xxhash64(text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    rows = written(rows.mapInArrow(_heads(shingle_words, num, den, frequent, names), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows", during=FEW_TEXTS)
+    rows = written(rows.mapInArrow(lean(_heads(shingle_words, num, den, frequent, names)), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, _row long, _set long, _size int, _head array<long>, _map binary, _fp long"), "shingle-rows", during=FEW_TEXTS)
     place = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_row").alias("r"))
     nodes = written(rows.groupBy("_set").agg(F.min(place).alias("_rep"), F.first("_size").alias("_size"), F.first("_head").alias("_head"), F.first("_map").alias("_map")), "shingle-nodes")
     links = simhash_links(rows, radius, id_col)
     erase(rows)
-    links = links.unionByName(similar_links(docs, nodes, shingle_words, num, den, id_col, text_col))
+    similar = lambda pairs: similar_links(docs, nodes, pairs, shingle_words, num, den, id_col, text_col)
+    links = links.unionByName(similar(first_candidates(nodes, num, den)))
+    classes = connected_components(links).withColumnRenamed("node", "_set")
+    labelled = nodes.join(classes, "_set", "left").withColumn("_class", F.coalesce("component", "_set"))
+    links = links.unionByName(similar(candidates(labelled, num, den)))
     roots = connected_components(links).withColumnRenamed("node", "_set")
     kept = nodes.select("_set", "_rep").join(roots, "_set", "left").groupBy(F.coalesce("component", "_set")).agg(F.min("_rep").alias("_rep"))
     kept = written(kept.select(F.col("_rep.i").alias("id"), F.col("_rep.r").alias("of")), "shingle-kept")
