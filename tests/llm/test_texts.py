@@ -201,6 +201,29 @@ def test_suffixes_with_hot_prefixes(spark, make_prose, monkeypatch):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(list(enumerate(texts)), 100)
 
 
+def test_suffix_names(spark, make_prose, monkeypatch):
+    """Names cover 100 bytes after four levels, rows are sorted by all their keys, and cuts are looked up in them."""
+    levels = []
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2500)
+    monkeypatch.setattr(suffix_dedup._Names, "named", lambda self, *a, f=suffix_dedup._Names.named: (levels.append(1), f(self, *a))[1])
+    texts = [make_prose(15, k) + make_prose(40, 77) + make_prose(15, 50 + k) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.dedup_runs(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(list(enumerate(texts)), 100)
+    assert 0 < len(levels) <= 4
+    rng = np.random.default_rng(4)
+    for bits in (9, 20, 24, 40):
+        s = rng.integers(0, 1 << bits, 400).astype(np.uint64)
+        s[rng.random(400) < 0.8] = 7
+        at, span = np.arange(400), suffix_dedup._span(bits)
+        keys, which = suffix_dedup._distinct(suffix_dedup._windows(s, at, bits))
+        windows = [(*s[i : i + span].tolist(), *[0] * (i + span - 400)) for i in at]
+        assert [sorted(set(windows)).index(w) for w in windows] == which.tolist()
+        some = np.sort(rng.choice(len(keys[0]), 9, replace=False))
+        cuts = [k[some] + np.uint64(j == len(keys) - 1) for j, k in enumerate(keys)]
+        assert suffix_dedup._before_rising(keys, cuts).tolist() == suffix_dedup._before(keys, cuts).tolist()
+
+
 def test_merge_order():
     rng = np.random.default_rng(5)
     s = rng.integers(1, 4, 200).astype(np.uint64)

@@ -11,8 +11,9 @@ is sorted, in segments.
 Sort: segments are packed into blocks, in the order of documents and starts.
 Every block is a string of its own, so the recursion stays inside blocks and
 only sorting is shared by the cluster:
- - triples at places 1 and 2 mod 3 of all blocks are sorted by sampled splitters
-   and named by rank; a block sends each triple once, however often it has it;
+ - windows of three symbols (of more, where they take no further key) at places 1
+   and 2 mod 3 of all blocks are sorted by sampled splitters
+   and named by rank; a block sends each window once, however often it has it;
    its names at 1 mod 3, then at 2 mod 3, are its string of the next level;
  - the recursion ends when names are unique or cover ``length`` bytes, beyond
    which an order is of no interest;
@@ -50,12 +51,15 @@ from pyspark.sql import functions as F
 
 from .storage import erase, written
 
-#: Bytes of text in a block (of up to a GB of texts; it doubles with each four times as much, so that pieces of blocks in ranges
-#: don't get too small), in a task's group of texts while anchors are found, and places of a block that are sampled.
-BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 18, 1 << 24, 16
+#: Bytes of text in a block (of up to 16 GB of texts; it doubles with each four times as much, so that pieces of blocks in ranges don't
+#: get too small; a range has half as much, and doubles from a GB on), in a task's group of texts while anchors are found, and places of a
+#: block that are sampled.
+BLOCK_BYTES, CHUNK_BYTES, SAMPLES = 1 << 20, 1 << 24, 64
 #: Texts are searched for anchors so many bytes at a time, which fit in a processor's cache; longer ones in parts that overlap.
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 14
 GRAM = 50
+#: Their working memory is kept from call to call, which costs more than many a small array.
+_SQUEEZE, _SPREAD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,17 +67,19 @@ def _pack(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as the greatest needs (the first byte says how many), low bytes before high ones."""
     top = int(x.max(initial=0))
     size = next(k for k in (1, 2, 4, 8) if k == 8 or top < 1 << (8 * k))
-    x = x.astype(f"<u{size}")
+    x = x.astype(f"<u{size}").view(np.uint8)
     if size > 1:
-        x = np.ascontiguousarray(x.view(np.uint8).reshape(-1, size).T)
-    return bytes([size]) + zstandard.compress(x.tobytes(), 1)
+        x = np.concatenate([x[k::size] for k in range(size)])
+    return bytes([size]) + _SQUEEZE.compress(x)
 
 
 def _open(data: bytes) -> np.ndarray:
-    size, x = data[0], np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
-    if size > 1:
-        x = np.ascontiguousarray(x.reshape(size, -1).T)
-    return x.view(f"<u{size}").ravel().astype(np.uint64)
+    size, x = data[0], np.frombuffer(_SPREAD.decompress(memoryview(data)[1:]), np.uint8)
+    n = len(x) // size
+    out = np.zeros((n, 8), np.uint8)
+    for k in range(size):
+        out[:, k] = x[k * n : (k + 1) * n]
+    return out.view("<u8").ravel()
 
 
 def _pack_rising(x: np.ndarray) -> bytes:
@@ -99,7 +105,8 @@ def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
 
 def _joined(a: np.ndarray, shift: int, b: np.ndarray) -> np.ndarray:
     n = max(0, min(len(a), len(b) - shift))
-    y = (a[:n] * MIX) ^ b[shift : shift + n]
+    y = a[:n] * MIX
+    y ^= b[shift : shift + n]
     y *= TURN
     y ^= y >> np.uint64(29)
     return y
@@ -123,6 +130,12 @@ def run_hashes(text: np.ndarray, *lengths: int) -> list[np.ndarray]:
     return out
 
 
+def _hashes_in_parts(s: np.ndarray, length: int) -> np.ndarray:
+    """As :func:`run_hashes` of one length, a part at a time, as parts fit in a processor's cache."""
+    found = [run_hashes(s[a : a + PART_BYTES + length - 1], length)[0] for a in range(0, max(1, len(s) - length + 1), PART_BYTES)]
+    return np.concatenate(found)
+
+
 def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     """Least or greatest of every ``width`` neighbours."""
     size = 1
@@ -351,18 +364,46 @@ def _blocks(block_bytes: int):
 # --- the sort --------------------------------------------------------------------------------------------------------
 
 
-def _triples(s: np.ndarray, at: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The triples at ``at`` in as few keys as symbols of ``bits`` bits allow, the first key first."""
-    padded, n = np.concatenate([s, np.zeros(3, np.uint64)]), np.uint64(bits)
-    a, b, c = (padded[at + k] for k in range(3))
-    if 3 * bits <= 64:
-        return [(a << n | b) << n | c]
-    return [a << n | b, c] if 2 * bits <= 64 else [a, b, c]
+def _span(bits: int) -> int:
+    """How many symbols a name covers: three, or more that take no further key."""
+    return max(3, 64 // bits) if 3 * bits <= 64 else 4 if 2 * bits <= 64 else 3
+
+
+def _windows(s: np.ndarray, at: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The ``_span(bits)`` symbols from each of ``at`` on in as few keys as symbols of ``bits`` bits allow, the first key first."""
+    span, n = _span(bits), np.uint64(bits)
+    padded = np.concatenate([s, np.zeros(span, np.uint64)])
+    each = span if 3 * bits <= 64 else 2 if 2 * bits <= 64 else 1
+    keys = []
+    for k in range(0, span, each):
+        key = padded[at + k]
+        for i in range(k + 1, k + each):
+            key = key << n | padded[at + i]
+        keys.append(key)
+    return keys
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Of each value, how many lower ones there are."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.uint64)
+    out[order] = np.cumsum(_heads(x[order])) - 1
+    return out
+
+
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by the first key, then the next; plain sorts of one key are some times as fast as a sort of several."""
+    whole = keys[0]
+    for key in keys[1:]:
+        if (both := _one_key([whole, key])) is None:
+            both = _one_key([_ranks(whole), _ranks(key)])
+        whole = both[0]
+    return np.argsort(whole)
 
 
 def _distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of the columns in order, and of each row which one it is."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    order = _order(keys)
     new = _heads(*(k[order] for k in keys))
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
@@ -402,6 +443,18 @@ def _before(columns: list[np.ndarray], cuts: list[np.ndarray], side: str = "righ
     return out
 
 
+def _before_rising(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """As :func:`_before`, of rising rows: each cut is looked up, not each row."""
+    out = np.zeros(len(columns[0]) + 1, np.int64)
+    for cut in zip(*cuts, strict=True):
+        a, b = 0, len(columns[0])
+        for column, value in zip(columns, cut, strict=True):
+            first = a + int(np.searchsorted(column[a:b], value))
+            a, b = first, a + int(np.searchsorted(column[a:b], value, "right"))
+        out[a] += 1
+    return np.cumsum(out[:-1])
+
+
 def _sample(rows, n: int, pick):
     """``n`` of a block's places, seeded by its number, as rows of the arrays that ``pick(row, places)`` gives."""
     rng, size = np.random.default_rng(rows[0]), len(_open(rows[1]))
@@ -516,23 +569,23 @@ class _Exchange:
 
 
 class _Names(_Exchange):
-    """Names of the triples at 1 and 2 mod 3: their ranks."""
+    """Names of the windows (of three symbols or more) at 1 and 2 mod 3: their ranks."""
 
     def __init__(self, level: DataFrame, n_parts: int, bits: int) -> None:
-        width = 1 if 3 * bits <= 64 else 2 if 2 * bits <= 64 else 3
+        width = len(_windows(np.zeros(1, np.uint64), np.zeros(1, np.int64), bits))
 
         def keys(row):
             s = _open(row[1])
-            return _distinct(_triples(s, np.flatnonzero(np.arange(len(s)) % 3), bits))
+            return _distinct(_windows(s, np.flatnonzero(np.arange(len(s)) % 3), bits))
 
         keys = _Once(keys)
-        cuts, self.n_places = _splitters(level, n_parts, width, lambda row, at: _triples(_open(row[1]), at, bits))
+        cuts, self.n_places = _splitters(level, n_parts, width, lambda row, at: _windows(_open(row[1]), at, bits))
 
         def pack(arrays):
             return [_pack_rising(arrays[0]), *map(_pack, arrays[1:])]
 
         def parts(row):
-            return _before(keys(row)[0], cuts)
+            return _before_rising(keys(row)[0], cuts)
 
         def send(row):
             return keys(row)[0], pack
@@ -605,7 +658,7 @@ class _Merge(_Exchange):
             if not length:
                 return np.arange(len(s)), None
             sizes = _open(row[3]).astype(np.int64)
-            (h,) = run_hashes(s, length)
+            h = _hashes_in_parts(s, length)
             left = np.concatenate([np.arange(n, -1, -1) for n in sizes.tolist()])
             at = np.flatnonzero(left >= length)
             # Of places with one prefix the first is sent: the others are repeats.
@@ -714,18 +767,22 @@ def _ranked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "symbols", "values"])
 
 
-def sample_ranks(level: DataFrame, n_parts: int, bits: int, covered: int, length: int) -> DataFrame:
-    """(block, symbols, values): ranks at 1 and 2 mod 3 of ``level(block, symbols)``: their names, or, where these do not tell, the ranks of the next level."""
+def sample_ranks(level: DataFrame, n_parts: int, bits: int, stride: int, covered: int, length: int) -> DataFrame:
+    """(block, symbols, values): ranks at 1 and 2 mod 3 of ``level(block, symbols)``: their names, or, where these do not tell, the ranks of the next level.
+
+    A symbol tells ``covered`` bytes from its place on, and the next one is ``stride`` bytes further.
+    """
+    covered += (_span(bits) - 1) * stride
     names = _Names(level, n_parts, bits)
     found = names.ranges(level)
     n_names = names.count(found)
     named = names.named(found, level)
     erase(found)
-    if n_names == names.n_places or 3 * covered >= length:
+    if n_names == names.n_places or covered >= length:
         return named
     following = written(named.select("block", "values").mapInArrow(_next_level, "block long, symbols binary"), "suffix-level", "none")
     erase(named)
-    below = sample_ranks(following, n_parts, max(1, n_names.bit_length()), 3 * covered, length)
+    below = sample_ranks(following, n_parts, max(1, n_names.bit_length()), 3 * stride, covered, length)
     erase(following)
     merge = _Merge(below, n_parts)
     found = merge.ranges(below)
@@ -780,14 +837,15 @@ def repeated_stretches(texts: DataFrame, length: int, n_bytes: int) -> DataFrame
     repeats = hits.where("repeats is not null").select("row", F.col("repeats").alias("stretches"))
     segments = texts.join(hits.where("wanted is not null").select("row", "wanted"), "row").select("row", "text", "wanted").mapInArrow(_segments, "row long, start long, segment binary")
     segments = segments.repartitionByRange(max(1, n_bytes >> 24), "row", "start").sortWithinPartitions("row", "start")
-    block_bytes = BLOCK_BYTES << (max(0, n_bytes.bit_length() - 30) // 2)
+    block_bytes = BLOCK_BYTES << (max(0, n_bytes.bit_length() - 34) // 2)
+    range_bytes = max(1, BLOCK_BYTES // 2) << (max(0, n_bytes.bit_length() - 30) // 2)
     blocks = written(segments.mapInArrow(_blocks(block_bytes), "block long, rows binary, starts binary, sizes binary, symbols binary"), "suffix-text", "none")
     n_blocks = blocks.count()
     if not n_blocks:
         return repeats
-    n_parts = max(4, -(-n_blocks // 2))
+    n_parts = max(4, -(-n_blocks * block_bytes // range_bytes))
     level = blocks.select("block", "symbols")
-    ranked = sample_ranks(level, n_parts, 9, 1, length)
+    ranked = sample_ranks(level, n_parts, 9, 1, 1, length)
     ready = written(ranked.join(blocks.select("block", "sizes", "rows", "starts"), "block").select("block", "symbols", "values", "sizes", "rows", "starts"), "suffix-ready", "none")
     erase(ranked)
     erase(blocks)
