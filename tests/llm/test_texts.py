@@ -456,6 +456,15 @@ def test_pitman_yor_whole_contexts(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_pitman_yor_workers_give_memory_back(spark, monkeypatch):
+    """Every function that runs in Python workers, the last one included, ends by giving free memory back."""
+    docs = spark.createDataFrame([(k, f"a b c {k}") for k in range(20)], "doc_id long, text string")
+    frame, lean = type(docs), []
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, f=frame.mapInArrow: (lean.append(run.__qualname__), f(self, run, *a))[1])
+    assert pitman_yor.score_texts(docs, sweeps=1).count() == 20
+    assert lean and all(name.startswith("lean.") for name in lean)
+
+
 def test_pitman_yor_beats_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = pitman_yor.score_texts(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()

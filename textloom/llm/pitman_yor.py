@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import CLEANUP, erase, new_path, settings, written
+from .storage import CLEANUP, FEW_TEXTS, erase, lean, new_path, settings, written
 
 EXACT, GROUP, NODES, ROUNDS = 256, 64, 20, 4
 #: Rows have some MB: whole batches of them stand in Spark (where Parquet is read, and on the way to Python) and in Python.
@@ -177,7 +177,7 @@ def invert(docs: DataFrame, n_buckets: int, id_col: str, text_col: str, held_mod
     names = ["bucket", "chunk", "words", "pairs", "heads", "contexts", "train", "occurs", "places", "place", "id", "held", "n_tokens"]
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % held_modulus == held_remainder
     rows = docs.select(id_col, held.alias("_held"), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(_invert(n_buckets, names, long), f"bucket long, chunk long, words binary, pairs binary, heads binary, contexts binary, train binary, occurs binary, places binary, place long, id {id_type}, held boolean, n_tokens long")
+    return rows.mapInArrow(lean(_invert(n_buckets, names, long)), f"bucket long, chunk long, words binary, pairs binary, heads binary, contexts binary, train binary, occurs binary, places binary, place long, id {id_type}, held boolean, n_tokens long")
 
 
 def _merged(words: list, per_word: list, contexts: list, counts: list):
@@ -420,9 +420,9 @@ def _with_totals(model: DataFrame, every: list[DataFrame]) -> DataFrame:
 
 def totals(model: DataFrame, n_buckets: int, every: list[DataFrame], state: dict) -> tuple[DataFrame, int]:
     """(bucket, tables, customers) of the restaurants of each bucket's contexts after the last sweep, and the number of all tables."""
-    sent = _with_totals(model, every).select("bucket", "heads", "every", "pairs", "contexts", "counts").mapInArrow(_sent(n_buckets, state), "range long, bucket long, heads binary, tables binary, customers binary")
-    sums = sent.repartition(n_buckets, "range").sortWithinPartitions("range").mapInArrow(_added, "bucket long, range long, tables binary, customers binary")
-    out = written(sums.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "range").mapInArrow(_in_order, "bucket long, tables binary, customers binary"), "totals", "none", FEW)
+    sent = _with_totals(model, every).select("bucket", "heads", "every", "pairs", "contexts", "counts").mapInArrow(lean(_sent(n_buckets, state)), "range long, bucket long, heads binary, tables binary, customers binary")
+    sums = sent.repartition(n_buckets, "range").sortWithinPartitions("range").mapInArrow(lean(_added), "bucket long, range long, tables binary, customers binary")
+    out = written(sums.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "range").mapInArrow(lean(_in_order), "bucket long, tables binary, customers binary"), "totals", "none", FEW)
     whole = out.where("bucket = -1").first()
     return out, int(_open(whole["tables"], "<i8").sum()) if whole else 0
 
@@ -527,12 +527,12 @@ def score_texts(docs: DataFrame, sweeps: int = 3, skip: int = 2, strength: float
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_buckets = max(8, -(-n_bytes // bucket_bytes))
-    rows = written(invert(docs, n_buckets, id_col, text_col, held_modulus, held_remainder, long), "inverted", "none")
+    rows = written(invert(docs, n_buckets, id_col, text_col, held_modulus, held_remainder, long), "inverted", "none", FEW_TEXTS)
     chunks = rows.where("bucket >= 0")
     merged = chunks.select("bucket", "words", "pairs", "heads", "contexts", "train")
     fields = "bucket long, words binary, pairs binary, heads binary, contexts binary, counts binary"
-    model = _in_rounds(merged, lambda x: x.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_counts, fields), "counts")
-    counted = model.select("pairs", "counts").mapInArrow(_counted, ", ".join(f"n{k} long" for k in range(6)))
+    model = _in_rounds(merged, lambda x: x.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_merge_counts), fields), "counts")
+    counted = model.select("pairs", "counts").mapInArrow(lean(_counted), ", ".join(f"n{k} long" for k in range(6)))
     with settings(spark, FEW):
         vocabulary, n, c1, c2, r1, r2 = (x or 0 for x in counted.agg(*(F.sum(c) for c in counted.columns)).first())
     state = {"sums": [], "strength": strength, "seed": seed, "d": _discount(c1, c2), "d_root": _discount(r1, r2), "skip": min(skip, sweeps), "vocabulary": int(vocabulary), "n": int(n)}
@@ -550,10 +550,10 @@ def score_texts(docs: DataFrame, sweeps: int = 3, skip: int = 2, strength: float
     heads = _with_totals(model, every).join(every[0].select("bucket", "customers"), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), groups.cast("long") - 1)))
     heads = heads.select("bucket", "part", F.lit(None).cast("long").alias("chunk"), "words", "pairs", "heads", "contexts", "counts", "every", "customers", empty.alias("occurs"), empty.alias("places"))
     met = lambda x: x.repartition(2 * n_buckets, "bucket", "part").sortWithinPartitions("bucket", "part", F.col("chunk").asc_nulls_first())
-    sums = _in_rounds(heads.unionByName(sent), lambda x: met(x).mapInArrow(_score(shared), "chunk long, places binary, score binary, base binary, known binary"), "sums")
+    sums = _in_rounds(heads.unionByName(sent), lambda x: met(x).mapInArrow(lean(_score(shared)), "chunk long, places binary, score binary, base binary, known binary"), "sums")
     told = written(rows.where("bucket < 0").select("chunk", "place", F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens"), "texts")
     for done in (rows, model, *every):
         erase(done)
-    sums = sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_by_document, "chunk long, place long, n_known long, base_score double, score double")
+    sums = sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_by_document), "chunk long, place long, n_known long, base_score double, score double")
     out = told.join(sums, ["chunk", "place"])
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
