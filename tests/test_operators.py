@@ -233,3 +233,39 @@ def test_similar_pairs(spark):
     assert got == want and len(want) > 100
     share = {(a, b): c / len(runs[a] | runs[b]) for (a, b), c in want.items()}
     assert best == {p for a in runs for p in sorted((p for p in share if p[0] == a), key=lambda p: (-share[p], p[1]))[:2]}
+
+
+def test_similar_sets_in_one_pass(spark, monkeypatch):
+    """More batches and blocks repeat no table: a search in rounds read all texts' shingles once a round. Near copies of one text, which meet at most of their shingles, are all paired."""
+    import random
+
+    from textloom.llm import storage
+
+    rng, names, real = random.Random(8), [], storage.written
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"c{rng.randrange(9999)}" for w in [*base, f"own{i}"]) for i in range(40)]
+    texts += [" ".join(f"u{rng.randrange(9999)}" for _ in range(50)) for _ in range(40)]
+    runs = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = {(a, b, len(runs[a] & runs[b])) for a in range(80) for b in range(a + 1, 80) if 10 * len(runs[a] & runs[b]) >= 3 * len(runs[a] | runs[b])}
+    monkeypatch.setattr(storage, "written", lambda df, name, *a, **k: (names.append(name), real(df, name, *a, **k))[1])
+    monkeypatch.setattr(S, "ROUND_TEXTS", 9)
+    monkeypatch.setattr(S, "ROUND_PAIRS", 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    _, links = S.similar_sets(docs, "id", "text", 3, 10)
+    assert links.count() == len(want) > 500 and len(names) == len(set(names))
+    assert {(r.a, r.b, r.common) for r in S.similar_pairs(docs, "id", "text", 3, 10, once=True).collect()} == want
+
+
+def test_shingle_sets():
+    """Hashes tell words and their number and order apart, at any length and whatever stands beside them."""
+    import pyarrow as pa
+
+    from textloom.operators import set_search
+
+    words = ["", "a", "b", "ab", "abcdefgh", "abcdefghi", "abcdefg", "é" * 4, "x" * 64, "x" * 65, "x" * 66, "abcdefgh" * 2]
+    h = set_search.word_hashes(pa.array(words))
+    assert len(set(h.tolist())) == len(words) and (set_search.word_hashes(pa.array(words[::-1])) == h[::-1]).all()
+    texts = ["a b c d", "d c b a", "a b", "b a", "a", "a a a", "a a a a a", "", None, "ab c", "a bc"]
+    sets = set_search.shingle_sets(pa.array(texts))
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 1, 0, 0, 1, 1]
+    assert sets[5].tolist() == sets[6].tolist() and len({tuple(s.tolist()) for s in sets}) == 9

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import shingles, words
+from textloom.operators import set_search as search
 
 SLOTS, BANDS, ROWS = 128, 37, 3
 PRIME = (1 << 31) - 1
@@ -99,96 +99,73 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return met.withColumn("jaccard", F.col("common") / (F.col("_n") + F.col("_m") - F.col("common"))).drop("_n", "_m").where(F.col("jaccard") >= min_score)
 
 
-# Texts that are counted to tell frequent shingles, how many of these are told, texts a round of the search, pairs a round of comparisons (or half as many as there are sets to compare), and shingles that candidates share.
-SAMPLE_TEXTS, MAX_FREQUENT, ROUND_TEXTS, ROUND_PAIRS, MEETS = 1 << 12, 1 << 16, 1 << 14, 1 << 13, 3
-
-
-def _prefixes(num: int, den: int, hot: np.ndarray, counts: np.ndarray):
-    """(id, hashes) to (id, set, n, head): the set's digest, its size, and its rarest hashes, those of which two similar sets share ``MEETS`` (all they share, if fewer)."""
-
-    def run(batches):
-        for batch in batches:
-            sets, sizes, heads = [], [], []
-            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-            for a, b in zip(offsets, offsets[1:], strict=False):
-                s = np.unique(values[a:b])
-                n = len(s)
-                sets.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sizes.append(n)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    s = s[np.argsort(np.where(hot[at] == s, counts[at], 0), kind="stable")]
-                heads.append(s[: n - -(-n * num // den) + MEETS])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["id", "set", "n", "head"])
-
-    return run
+# Sets in a batch of the search, and sets in a block of comparisons.
+ROUND_TEXTS, ROUND_PAIRS = 1 << 12, 1 << 10
 
 
 def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(id, set, n) of every text that has shingles, and (x, y, common, jaccard) of all pairs x < y of unlike sets with Jaccard ``num / den`` or more.
 
-    Equal sets are one. Hashes are ordered, those frequent in a sample last: similar sets
-    share ``MEETS`` (all they share, if fewer) among the first n - ceil(n num / den) + ``MEETS``
-    of each, at places that leave room for the rest; pairs that do are compared whole.
-    The sample decides the cost alone. The search goes by ranges of hashes, each
-    with its own shuffle, and so do comparisons by pairs. Shingles and sets are told apart by 64-bit hashes.
+    Equal sets are one. The search is that of :mod:`set_search`. Candidates are compared in blocks:
+    a set's label is the smallest set that it or a candidate of it is, and a pair goes to the block of its
+    first set's label, so that a group of near copies is moved once; few labels share a block, many sets of one label are split.
+    Shingles and sets are told apart by 64-bit hashes.
     """
-    from textloom.llm.storage import CLEANUP, erase, settings, written  # that package may be absent; only this needs it
-
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    hashes = lambda d: d.select(F.col(id_col).alias("id"), F.transform(shingles(words(F.col(text_col))), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0)
-    total = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, total // SAMPLE_TEXTS))) == 0)
-    with settings(spark, CLEANUP):
-        found = hashes(some).select(F.explode("s").alias("h")).groupBy("h").count().where("count >= 3").orderBy(F.desc("count")).limit(MAX_FREQUENT).collect()
-    h, c = np.array([r["h"] for r in found], np.int64), np.array([r["count"] for r in found], np.int64)
-    order = np.argsort(h)
-    rows = written(hashes(docs).mapInArrow(_prefixes(num, den, h[order], c[order]), f"id {kind}, set long, n long, head array<long>"), "prefixes")
+    from textloom.llm.storage import erase, lean, written  # that package may be absent; only this needs it
+
+    kind, few = docs.schema[id_col].dataType.simpleString(), {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("_text"))
+    plain = F.trim(F.regexp_replace(F.lower("_text"), r"[^\p{L}\p{N}_]+", " ")).alias("plain")
+    rows = written(given.select("id", "row", plain).mapInArrow(lean(search.parsed()), f"id {kind}, row long, set long, n long, s binary"), "set-rows", during=few)
     members = written(rows.select("id", "set", "n"), "members")
-    nodes = written(rows.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("head").alias("head")), "prefix-sets")
+    nodes = written(rows.groupBy("set").agg(F.min(F.struct("id", "row")).alias("of"), F.first("s").alias("s")), "set-nodes", during=few)
     erase(rows)
-    rounds, met = max(1, total // ROUND_TEXTS), []
-    for k in range(rounds):
-        one = nodes.select("set", "n", F.posexplode("head").alias("at", "h")).where(F.pmod(F.xxhash64("h"), F.lit(rounds)) == k)
-        one = one.select("h", "set", "n", (F.col("n") - F.col("at")).alias("left"))
-        a, b = one.alias("a"), one.alias("b")
-        both = F.col("a.n") + F.col("b.n")
-        may = (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num) & ((F.least("a.left", "b.left") + MEETS - 1) * (num + den) >= both * num)
-        near = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.set") < F.col("b.set")) & may)
-        met.append(written(near.groupBy(F.col("a.set").alias("x"), F.col("b.set").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first(both).alias("both")), "prefix-pairs"))
-    pairs = reduce(DataFrame.unionByName, met).groupBy("x", "y").agg(F.sum("k").alias("k"), F.first("both").alias("both"))
-    pairs = written(pairs.where((F.col("k") >= MEETS) | (F.col("k") * (num + den) >= F.col("both") * num)).select("x", "y"), "set-pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(nodes, "set").select("set", F.col("id").alias("_id"))
+    places = written(nodes.select("set", "of"), "set-places")
+    parts = nodes.select("set", "s").mapInArrow(lean(search.dealt(ROUND_TEXTS)), "range int, batch long, part binary")
+    shared = written(parts.groupBy("range").applyInArrow(search.frequent, "range int, batch long, part binary"), "set-shingles", during=few)
+    erase(nodes)
+    first = shared.groupBy("batch").applyInArrow(search.heads(num, den), "range int, part binary")
+    pairs = written(first.groupBy("range").applyInArrow(search.met(num, den), "x long, y long").distinct(), "set-pairs")
+    erase(shared)
+    ways = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    labels = written(ways.groupBy("x").agg(F.least("x", F.min("y")).alias("label")), "set-labels")
+    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / ROUND_PAIRS).alias("cuts"))
+    bins = max(1, labels.count() // ROUND_PAIRS)
+    cut = lambda k: F.pmod(F.xxhash64(k), F.col("cuts"))
+    block = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(-1 - F.pmod(F.xxhash64("label", cut("x"), cut("y")), F.lit(1 << 48)))
+    placed = written(pairs.join(labels.join(sizes, "label"), "x").select(block.alias("block"), "x", "y"), "set-blocks")
+    erase(pairs)
+    wanted = labels.join(places, F.col("x") == F.col("set")).select("set", F.col("of.id").alias("_id"), F.col("of.row").alias("_row"))
     wanted = written(wanted, "wanted-sets")
-    texts = docs.join(wanted, F.col(id_col) == F.col("_id")).groupBy("set").agg(F.first(text_col).alias("_text"))
-    whole = written(texts.select("set", F.array_distinct(F.transform(shingles(words(F.col("_text"))), lambda s: F.xxhash64(s))).alias("s")), "whole-sets")
-    for gone in (*met, nodes, wanted):
+    texts = given.join(wanted, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["set"]).select("set", plain)
+    whole = written(texts.mapInArrow(lean(search.wholly()), "set long, s binary"), "whole-sets", during=few)
+    moved = placed.select(F.col("block").alias("at"), F.explode(F.array("x", "y")).alias("set")).distinct().join(whole, "set")
+    links = placed.groupBy("block").cogroup(moved.groupBy("at")).applyInArrow(search.compared(num, den), "x long, y long, common long, jaccard double")
+    links = written(links, "set-links", during=few)
+    for gone in (places, labels, placed, wanted, whole):
         erase(gone)
-    of = lambda k: whole.select(F.col("set").alias(k), F.col("s").alias(f"s{k}"))
-    rounds, found = max(1, pairs.count() // max(ROUND_PAIRS, whole.count() // 2)), []
-    for k in range(rounds):
-        one = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k).join(of("x"), "x").join(of("y"), "y")
-        one = one.select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"), (F.size("sx") + F.size("sy")).alias("both")).where(F.col("common") * (num + den) >= F.col("both") * num)
-        found.append(written(one.select("x", "y", "common", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard")), "set-links"))
-    links = reduce(DataFrame.unionByName, found)
-    erase(pairs)
-    erase(whole)
     return members, links
 
 
-def similar_pairs(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, best: int | None = None) -> DataFrame:
-    """(a, b, common, jaccard): all ordered pairs of texts with Jaccard ``num / den`` or more; with ``best``, at least each text's so many best, smallest ids first at ties.
+def similar_pairs(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, best: int | None = None, once: bool = False) -> DataFrame:
+    """(a, b, common, jaccard): all ordered pairs of texts with Jaccard ``num / den`` or more, with ``once`` those with a < b; with ``best``, at least each text's so many best, smallest ids first at ties.
 
     Of a set's texts only the ``best`` + 1 with the smallest ids can then be among them.
     """
     members, links = similar_sets(docs, id_col, text_col, num, den)
-    own = members.select(F.col("set").alias("x"), F.col("set").alias("y"), F.col("n").alias("common"), F.lit(1.0).alias("jaccard")).distinct()
-    way = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "jaccard")).unionByName(own)
+    copies = members.groupBy("set").agg(F.first("n").alias("common"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    own = copies.select(F.col("set").alias("x"), F.col("set").alias("y"), "common", F.lit(1.0).alias("jaccard"))
+    way = links.unionByName(own)
+    if not once:
+        way = way.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "common", "jaccard"))
     others = members
     if best is not None:
         others = members.withColumn("_rank", F.row_number().over(Window.partitionBy("set").orderBy("id"))).where(F.col("_rank") <= best + 1)
     left, right = members.select(F.col("set").alias("x"), F.col("id").alias("a")), others.select(F.col("set").alias("y"), F.col("id").alias("b"))
-    return way.join(left, "x").join(right, "y").where("a <> b").select("a", "b", "common", "jaccard")
+    found = way.join(left, "x").join(right, "y")
+    if once:
+        return found.where("a < b or x <> y and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "jaccard")
+    return found.where("a <> b").select("a", "b", "common", "jaccard")
 
 
 def window_bounds(lengths: list[int], has_word: list[bool], chars: int, stride: int, least: int) -> list[tuple[int, int]]:

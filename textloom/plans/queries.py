@@ -191,7 +191,7 @@ def slot_candidates(spark, folder):
 
 @query
 def near_duplicate_pairs(spark, folder):
-    pairs = S.similar_pairs(docs(spark, folder), "doc_id", "text", 3, 10).where("a < b")
+    pairs = S.similar_pairs(docs(spark, folder), "doc_id", "text", 3, 10, once=True)
     return pairs.select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"))
 
 
