@@ -269,3 +269,20 @@ def test_shingle_sets():
     sets = set_search.shingle_sets(pa.array(texts))
     assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 1, 0, 0, 1, 1]
     assert sets[5].tolist() == sets[6].tolist() and len({tuple(s.tolist()) for s in sets}) == 9
+
+
+def test_best_partners_spare_links(spark):
+    """Of a group of near copies, links that are nobody's best are dropped where they are made, ties with the last one kept; the best are those of all pairs."""
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(w if rng.random() > 0.05 else f"c{rng.randrange(9999)}" for w in [*(f"w{k}" for k in range(80)), f"own{i}"]) for i in range(50)]
+    texts += [texts[3], texts[3], texts[7], " ".join(f"v{k}" for k in range(9)), *(" ".join([*(f"v{k}" for k in range(9)), f"tie{i}"]) for i in range(6))]
+    runs = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    share = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a in range(len(texts)) for b in range(len(texts)) if a != b}
+    share = {p: s for p, s in share.items() if s >= 0.3}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = S.similar_pairs(docs, "id", "text", 3, 10, best=3)
+    assert 150 < pairs.count() < len(share) / 3
+    best = {(r.a, r.b) for r in R.top_matches(pairs.select("a", "b", F.col("jaccard").alias("score")), 3, "a", ["b"]).collect()}
+    assert best == {p for a in range(len(texts)) for p in sorted((p for p in share if p[0] == a), key=lambda p: (-share[p], p[1]))[:3]}

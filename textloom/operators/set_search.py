@@ -247,8 +247,19 @@ def met(num: int, den: int):
     return run
 
 
-def compared(num: int, den: int):
-    """Of one block: its pairs and its whole sets to links."""
+def _among_best(of: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
+    """Which scores are among the ``best`` highest of the same ``of``, ties with the last of these included."""
+    order = np.lexsort((-score, of))
+    starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(starts, len(of)))
+    least = score[order][starts + np.minimum(runs, best) - 1]
+    out = np.empty(len(of), bool)
+    out[order] = score[order] >= np.repeat(least, runs)
+    return out
+
+
+def compared(num: int, den: int, best: int | None = None):
+    """Of one block: its pairs and its whole sets to links; with ``best``, at least those among either set's so many best of the block, ties included."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         ids, data = sets.column("set").to_numpy(), sets.column("s").to_pylist()
@@ -282,6 +293,10 @@ def compared(num: int, den: int):
             x, y, common, both = x[ok], y[ok], common[ok], both[ok]
         else:
             both = common
-        return pa.table({"x": x, "y": y, "common": common, "jaccard": common / np.maximum(both - common, 1)})
+        score = common / np.maximum(both - common, 1)
+        if best is not None:
+            ok = _among_best(x, score, best) | _among_best(y, score, best)
+            x, y, common, score = x[ok], y[ok], common[ok], score[ok]
+        return pa.table({"x": x, "y": y, "common": common, "jaccard": score})
 
     return run

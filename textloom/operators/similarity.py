@@ -103,12 +103,13 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 ROUND_TEXTS, ROUND_PAIRS = 1 << 12, 1 << 10
 
 
-def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, best: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, set, n) of every text that has shingles, and (x, y, common, jaccard) of all pairs x < y of unlike sets with Jaccard ``num / den`` or more.
 
     Equal sets are one. The search is that of :mod:`set_search`. Candidates are compared in blocks:
     a set's label is the smallest set that it or a candidate of it is, and a pair goes to the block of its
     first set's label, so that a group of near copies is moved once; few labels share a block, many sets of one label are split.
+    With ``best``, links that are not among either set's so many best of their block may be left out, ties with these never.
     Shingles and sets are told apart by 64-bit hashes.
     """
     from textloom.llm.storage import erase, lean, written  # that package may be absent; only this needs it
@@ -140,7 +141,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int, den: int
     texts = given.join(wanted, (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["set"]).select("set", plain)
     whole = written(texts.mapInArrow(lean(search.wholly()), "set long, s binary"), "whole-sets", during=few)
     moved = placed.select(F.col("block").alias("at"), F.explode(F.array("x", "y")).alias("set")).distinct().join(whole, "set")
-    links = placed.groupBy("block").cogroup(moved.groupBy("at")).applyInArrow(search.compared(num, den), "x long, y long, common long, jaccard double")
+    links = placed.groupBy("block").cogroup(moved.groupBy("at")).applyInArrow(search.compared(num, den, best), "x long, y long, common long, jaccard double")
     links = written(links, "set-links", during=few)
     for gone in (places, labels, placed, wanted, whole):
         erase(gone)
@@ -152,7 +153,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
 
     Of a set's texts only the ``best`` + 1 with the smallest ids can then be among them.
     """
-    members, links = similar_sets(docs, id_col, text_col, num, den)
+    members, links = similar_sets(docs, id_col, text_col, num, den, best)
     copies = members.groupBy("set").agg(F.first("n").alias("common"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
     own = copies.select(F.col("set").alias("x"), F.col("set").alias("y"), "common", F.lit(1.0).alias("jaccard"))
     way = links.unionByName(own)
